@@ -1 +1 @@
-
+"""Query registry; importing ``registry`` users below fills it."""

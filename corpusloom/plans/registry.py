@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from corpusloom.plans import library_queries  # noqa: F401
