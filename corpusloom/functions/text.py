@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType
 
 from corpusloom.functions.lexicon import ABBREVIATIONS, ABSOLUTIST, CLICKBAIT, EMOTIONAL, HEDGING, PORTER_2, PORTER_3, PORTER_4, STOPWORDS, SYLLABLES
 
@@ -246,7 +247,10 @@ def week_key(ts: Column) -> Column:
 # --- Arrow UDFs ------------------------------------------------------------------------------------------------
 
 
-def _udf(fn, kind: str):
+TEXT, TEXTS = StringType(), ArrayType(StringType())
+
+
+def _udf(fn, kind: DataType):
     @F.pandas_udf(kind)
     def over(s: pd.Series) -> pd.Series:
         return s.map(fn)
@@ -254,12 +258,12 @@ def _udf(fn, kind: str):
     return over
 
 
-normalize_udf = _udf(normalize, "string")
-tokenize_udf = _udf(tokenize, "array<string>")
-content_tokens_udf = _udf(content_tokens, "array<string>")
-sentences_udf = _udf(split_sentences, "array<string>")
-stem_udf = _udf(lambda w: None if w is None else porter_stem(w), "string")
-syllables_udf = _udf(lambda t: sum(map(count_syllables, tokenize(t))), "int")
+normalize_udf = _udf(normalize, TEXT)
+tokenize_udf = _udf(tokenize, TEXTS)
+content_tokens_udf = _udf(content_tokens, TEXTS)
+sentences_udf = _udf(split_sentences, TEXTS)
+stem_udf = _udf(lambda w: None if w is None else porter_stem(w), TEXT)
+syllables_udf = _udf(lambda t: sum(map(count_syllables, tokenize(t))), IntegerType())
 
 
 def stems(df, tokens: str):
@@ -370,8 +374,8 @@ def word_diff_html(old: str | None, new: str | None) -> str:
     return " ".join(out)
 
 
-keywords_udf = _udf(extract_keywords, "array<string>")
-summary_udf = _udf(extractive_summary, "array<string>")
+keywords_udf = _udf(extract_keywords, TEXTS)
+summary_udf = _udf(extractive_summary, TEXTS)
 
 
 def rounded(x: float, places: int) -> float:

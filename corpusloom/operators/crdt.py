@@ -13,6 +13,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ENTITY = ["entity", "entity_id"]
 
@@ -142,6 +143,6 @@ def canonical_key(value: object, width: int = 128) -> str:
     return s if len(s) <= width else "#" + hashlib.sha256(s.encode()).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_key_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: canonical_key(json.loads(x)) if x is not None else None)

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from corpusloom.plans import library_queries  # noqa: F401
+    from corpusloom.plans import library_queries, similarity_queries, sync_queries  # noqa: F401
