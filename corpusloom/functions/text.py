@@ -220,18 +220,30 @@ def words_of(c: Column) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
+def let(c: Column, fn) -> Column:
+    """fn of the column's value, which is computed once even where fn's lambdas use it many times."""
+    return F.transform(F.array(c), fn)[0]
+
+
 def word_chunks(c: Column, size: int = 180, overlap: int = 40) -> Column:
     """Windows of ``size`` words, each ``size - overlap`` on; the last is the first to reach the end. No words: no chunk."""
-    w = words_of(c)
     step = size - overlap
-    last = F.greatest(F.ceil((F.size(w) - size) / float(step)), F.lit(0)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * step + 1, F.lit(size)), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(chunks)
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - size) / float(step)), F.lit(0)).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * step + 1, F.lit(size)), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(chunks)
+
+    return let(words_of(c), cut)
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    count = F.size(tokens) - (n - 1)
-    return F.when(count < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.array_join(F.slice(tokens, k, F.lit(n)), " ")))
+
+    def cut(t: Column) -> Column:
+        count = F.size(t) - (n - 1)
+        return F.when(count < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.array_join(F.slice(t, k, F.lit(n)), " ")))
+
+    return let(tokens, cut)
 
 
 def youtube_id(c: Column) -> Column:
