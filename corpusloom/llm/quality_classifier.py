@@ -55,6 +55,10 @@ def shape(word: str) -> str:
     return word[:12]
 
 
+#: Shapes of plain words, in lower case or with a capital, and the sign that ends them.
+PLAIN = {(k, end): (zlib.crc32((head + end).encode()) & 0xFFFFFF) << 2 for k, head in enumerate(("a", "Aa")) for end in ("", ",", ".", ";", ":", "?")}
+
+
 class Reader:
     """Measures and hashed word shapes of a text; remembers words up to a bound."""
 
@@ -64,7 +68,12 @@ class Reader:
 
     def code(self, w: str) -> int:
         """The word's hash, its shape's hash (24 bits), whether it is short and whether it ends oddly."""
-        c = (zlib.crc32(w.lower().encode()) << 26) | (zlib.crc32(shape(w).encode()) & 0xFFFFFF) << 2 | (len(w) <= 3) << 1 | bool(ODD_END.search(w))
+        low, body = w.lower(), w[:-1] if w[-1] in ",.;:?" else w
+        if body.isalpha() and (kind := 1 if body == low[: len(body)] else 2 if body[1:] == low[1 : len(body)] else 0):  # most words
+            mark = PLAIN[kind - 1, w[len(body) :]]
+        else:
+            mark = (zlib.crc32(shape(w).encode()) & 0xFFFFFF) << 2 | bool(ODD_END.search(w))
+        c = zlib.crc32(low.encode()) << 26 | mark | (len(w) <= 3) << 1
         self.known[w] = c
         return c
 
