@@ -12,8 +12,9 @@ from corpusloom.llm.byte_bpe import digests
 from corpusloom.llm.common import DOC_COLUMNS, map_rows, read
 from corpusloom.llm.decontaminate import find_contamination
 from corpusloom.llm.language import identify, model, train, training_rows
-from corpusloom.llm.near_dups import checkpointed, keep_one
+from corpusloom.llm.near_dups import keep_one
 from corpusloom.llm.pii import sanitise
+from corpusloom.operators.graph import checkpointed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,9 +24,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.graph import checkpointed, components
+
 from .common import WORD, lower_ascii, map_rows, read
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -197,34 +199,6 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, shard_rows: int = SHARD_
     return dealt.mapInArrow(_search(radius), "a long, b long").distinct()
 
 
-def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A copy of df in the shared checkpoint folder, without lineage."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/corpusloom-checkpoints"))
-    return df.checkpoint(True)
-
-
-def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of every linked node: root is its component's smallest node. Alternating large and small stars,
-    each followed by a checkpoint, until nothing changes; a round doubles what a node can see."""
-    e = checkpointed(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    last = None
-    for _ in range(max_rounds):
-        # large star: neighbours above me link to the smallest of my neighbours and me
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: neighbours below me, and I, link to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = checkpointed(spark, small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == last:
-            break
-        last = tuple(state)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
     """(rows with their fingerprints, distinct fingerprints with root, least id and first row); first: (id is null, id, key)."""
     spark = docs.sparkSession

@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.graph import checkpointed
+
 from .common import WORD, fold_rows, map_rows, read, spans_text
-from .near_dups import checkpointed
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

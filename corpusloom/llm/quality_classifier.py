@@ -21,8 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.graph import checkpointed
+
 from .common import DIGIT, LOWER, N_CLASSES, OTHER_LETTER, PUNCT, SPACE, SYMBOL, UPPER, WORD, char_classes, code_points, map_rows, read
-from .near_dups import checkpointed
 
 DIM = 1 << 12
 GOOD, NONE, BAD = 1, 0, -1
