@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, read
 
-STORE = 200_000  # distinct pieces kept by a task
+STORE = 500_000  # distinct pieces kept by a task
 
 
 @lru_cache(2)
@@ -40,106 +40,109 @@ def load_ranks(path: str) -> tuple[dict[bytes, int], list[bytes]]:
     return ranks, tokens
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
-    """The ids of each piece, packed as little-endian unsigned 32-bit integers."""
-    # All pieces lie behind one another in flat arrays: the bytes of the token that starts here (None if merged
-    # into an earlier one), the next and the previous token's place (-1 at a piece's ends).
-    part: list[bytes | None] = []
-    after: list[int] = []
-    before: list[int] = []
-    starts: list[int] = []
-    index: dict[int, list[int]] = {}  # rank of a pair's merge -> places of the pair's left token
-    single = [bytes((b,)) for b in range(256)]
-    pair_rank: dict[tuple[bytes, bytes], int | None] = {}
-    get = ranks.get
-    for piece in pieces:
-        at, n = len(part), len(piece)
-        starts.append(at)
-        part.extend([single[b] for b in piece])
-        after.extend(range(at + 1, at + n))
-        after.append(-1)
-        before.append(-1)
-        before.extend(range(at, at + n - 1))
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                if r in index:
-                    index[r].append(at + i)
-                else:
-                    index[r] = [at + i]
+class Merges:
+    """A vocabulary's merges by the ids of the two tokens; an id is the token's rank."""
+
+    def __init__(self, path: str) -> None:
+        self.ranks, self.tokens = load_ranks(path)
+        self.known: dict[int, int] = {}
+        self.single = np.array([self.ranks[bytes((b,))] for b in range(256)], np.int64)
+        self.pairs = np.array([self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)], np.int64)
+
+    def look(self, key: int) -> int:
+        """Id of the token that the pair (key >> 20, key's low 20 bits) merges to, or -1."""
+        r = self.known[key] = self.ranks.get(self.tokens[key >> 20] + self.tokens[key & 0xFFFFF], -1)
+        return r
+
+
+def replay(pieces: list[bytes], merges: Merges) -> list[bytes]:
+    """The ids of each piece, packed as little-endian unsigned 32-bit integers. Pieces are not empty."""
+    # All pieces lie behind one another: the id of the token that starts at a byte (-1 if merged into an earlier
+    # one), and the places of the tokens after and before it (-1 at a piece's ends).
+    flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    starts = np.concatenate([[0], ends[:-1]])
+    n = len(flat)
+    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+    nxt[ends - 1] = prv[starts] = -1
+    rank = np.full(n, -1)
+    rank[:-1] = merges.pairs[flat[:-1] << 8 | flat[1:]]
+    rank[ends - 1] = -1
+    order = np.argsort(rank, kind="stable")
+    order = order[np.searchsorted(rank[order], 0) :]
+    # the index: rank of a merge -> places of the left token, in order
+    cut = np.flatnonzero(np.diff(rank[order])) + 1
+    index: dict[int, list[int]] = {int(rank[g[0]]): g.tolist() for g in np.split(order, cut)} if len(order) else {}
+    part, after, before = merges.single[flat].tolist(), nxt.tolist(), prv.tolist()
+    known, look = merges.known, merges.look
     heap = list(index)
     heapq.heapify(heap)
     while heap:
-        rank = heapq.heappop(heap)
-        places = index.pop(rank, None)
+        r = heapq.heappop(heap)
+        places = index.pop(r, None)
         if not places:
             continue
         places.sort()
-        held = -1  # a piece in which an earlier or equal merge has come up: its later places wait their turn
+        held = -1  # end of a piece in which a merge of this rank or a lower one has come up: its later places wait their turn
         wait: list[int] = []
         for p in places:
             left, q = part[p], after[p]
-            if left is None or q < 0:
+            if left < 0 or q < 0:
                 continue
             if p <= held:
                 wait.append(p)
                 continue
-            both = left + part[q]
-            if get(both) != rank:
+            key = left << 20 | part[q]
+            if (known[key] if key in known else look(key)) != r:
                 continue
-            part[p], part[q] = both, None
+            part[p], part[q] = r, -1
             z = after[p] = after[q]
+            a = before[p]
             soon = False
             if z >= 0:
                 before[z] = p
-                key = (both, part[z])
-                r = pair_rank.get(key, -1)
-                if r == -1:
-                    r = pair_rank[key] = get(both + part[z])
-                if r is not None:
-                    soon = r <= rank
-                    if r in index:
-                        index[r].append(p)
+                key = r << 20 | part[z]
+                m = known[key] if key in known else look(key)
+                if m >= 0:
+                    soon = m <= r
+                    if m in index:
+                        index[m].append(p)
                     else:
-                        index[r] = [p]
-                        heapq.heappush(heap, r)
-            a = before[p]
+                        index[m] = [p]
+                        heapq.heappush(heap, m)
             if a >= 0:
-                key = (part[a], both)
-                r = pair_rank.get(key, -1)
-                if r == -1:
-                    r = pair_rank[key] = get(part[a] + both)
-                if r is not None:
-                    soon = soon or r <= rank
-                    if r in index:
-                        index[r].append(a)
+                key = part[a] << 20 | r
+                m = known[key] if key in known else look(key)
+                if m >= 0:
+                    soon = soon or m <= r
+                    if m in index:
+                        index[m].append(a)
                     else:
-                        index[r] = [a]
-                        heapq.heappush(heap, r)
+                        index[m] = [a]
+                        heapq.heappush(heap, m)
             if soon:
                 held = p
                 while after[held] >= 0:
                     held = after[held]
         if wait:
-            if rank in index:
-                index[rank].extend(wait)
+            if r in index:
+                index[r].extend(wait)
             else:
-                index[rank] = wait
-                heapq.heappush(heap, rank)
-    out = []
-    for at, piece in zip(starts, pieces, strict=True):
-        ids, p = [], at if piece else -1
-        while p >= 0:
-            ids.append(ranks[part[p]])
-            p = after[p]
-        out.append(np.array(ids, "<u4").tobytes())
-    return out
+                index[r] = wait
+                heapq.heappush(heap, r)
+    ids = np.array(part)
+    alive = ids >= 0
+    upto = np.concatenate([[0], np.cumsum(alive)])
+    packed = ids[alive].astype("<u4").tobytes()
+    return [packed[i:j] for i, j in zip((4 * upto[starts]).tolist(), (4 * upto[ends]).tolist(), strict=True)]
 
 
 class Encoder:
     """Encodes texts; keeps up to ``store`` distinct pieces from one call to the next."""
 
     def __init__(self, path: str, pattern: str, store: int = STORE) -> None:
-        self.ranks, self.tokens = load_ranks(path)
+        self.merges = Merges(path)
+        self.ranks, self.tokens = self.merges.ranks, self.merges.tokens
         self.split, self.store = regex.compile(pattern).findall, store
         self.known: dict[str, bytes] = {}
 
@@ -153,7 +156,7 @@ class Encoder:
                 todo.append((w, b))
         for at in range(0, len(todo), 50_000):
             block = todo[at : at + 50_000]
-            for (w, _), ids in zip(block, replay([b for _, b in block], ranks), strict=True):
+            for (w, _), ids in zip(block, replay([b for _, b in block], self.merges), strict=True):
                 known[w] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -167,6 +170,8 @@ class Encoder:
             words = set().union(*group)
             if len(self.known) > self.store:
                 self.known.clear()
+            if len(self.merges.known) > 2 * STORE:
+                self.merges.known.clear()
             self.learn(words.difference(self.known))
             get = self.known.__getitem__
             out.extend(b"".join(map(get, g)) for g in group)
