@@ -80,8 +80,9 @@ def count_words(rows: DataFrame, *, text_col: str = "text", label_col: str = "to
 
 def word_scores(counts: np.ndarray, *, prior: float = 1000.0, flat: float = 0.5, sure: float = 3.0, least: float = 1.0, step: float = 0.05) -> np.ndarray:
     """Score of each bin: its log-odds of label 1 less one standard error, where they are above ``sure`` standard errors and
-    above ``least``; -``step`` elsewhere. The Dirichlet prior is ``prior`` words dealt as in the whole corpus, and ``flat`` each."""
+    above ``least``; -``step`` elsewhere. The Dirichlet prior is ``prior`` words (a tenth of the corpus at most) dealt as in the whole corpus, and ``flat`` each."""
     both = counts.sum(0).astype(float)
+    prior = min(prior, 0.1 * both.sum())
     alpha = prior * both / max(1.0, both.sum()) + flat
     n0, n1 = counts[0].astype(float), counts[1].astype(float)
     odds = lambda n: np.log((n + alpha) / (n.sum() + prior - n - alpha + flat))
@@ -215,8 +216,11 @@ def place(e: float) -> int:
 
 
 def monotone(table: np.ndarray) -> np.ndarray:
-    """Share of label 1 by level, smoothed by one observation at the overall share and made non-decreasing (pool adjacent violators)."""
+    """Share of label 1 by level, made non-decreasing (pool adjacent violators). Levels of some evidence lend their counts to
+    those beside them first, and every level has a tenth of an observation at the overall share."""
     overall = table[1].sum() / table.sum()
+    reach = np.arange(-6, 7)
+    table = np.concatenate([table[:, :1], np.stack([np.convolve(np.pad(t[1:], 6), 1.0 / (1 + reach**2) ** 2, "valid") for t in table])], axis=1)
     blocks: list[list[float]] = []
     for k in range(LEVELS):
         blocks.append([table[1, k] + 0.1 * overall, table[:, k].sum() + 0.1, 1])
