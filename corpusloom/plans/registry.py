@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from corpusloom.plans import extraction_queries, library_queries, provenance_queries, rule_queries, similarity_queries, sync_queries, text_queries  # noqa: F401
+    from corpusloom.plans import extra_queries, extraction_queries, library_queries, provenance_queries, rule_queries, similarity_queries, sync_queries, text_queries  # noqa: F401

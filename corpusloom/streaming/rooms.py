@@ -59,8 +59,8 @@ def room_state(log: DataFrame) -> DataFrame:
     kind = F.split("event_type", r"\.")[0]
     last = log.withColumn("kind", kind).groupBy("room_id", "kind", "item_id").agg(F.max_by("event_type", "seq").alias("last"), F.max_by("payload", "seq").alias("payload"), F.max_by("anchor", "seq").alias("anchor"))
     live = last.where(~F.col("last").endswith(".removed")).drop("last")
-    marks = live.where("kind = 'highlight'").select("room_id", F.col("item_id").alias("_mark"))
-    out = live.join(marks, (live.room_id == marks.room_id) & (live.anchor == marks._mark), "left").drop(marks.room_id)
+    marks = live.where("kind = 'highlight'").select(F.col("room_id").alias("_room"), F.col("item_id").alias("_mark"))
+    out = live.join(marks, (F.col("room_id") == F.col("_room")) & (F.col("anchor") == F.col("_mark")), "left").drop("_room")
     return out.withColumn("anchor", F.col("_mark")).drop("_mark")
 
 
