@@ -56,6 +56,19 @@ def next_op(ops: DataFrame) -> DataFrame:
     return ops.agg((F.coalesce(F.max("lamport"), F.lit(0)) + 1).alias("lamport"))
 
 
+def author(ops: DataFrame, drafts: DataFrame) -> DataFrame:
+    """New operations of replicas: drafts (replica_id, draft_no, ...) get lamports above all that ops hold, in draft order."""
+    k = F.row_number().over(Window.partitionBy("replica_id").orderBy("draft_no"))
+    seen = next_op(ops).select(F.col("lamport").alias("_next"))  # one row
+    return drafts.withColumn("_k", k).join(F.broadcast(seen)).withColumn("lamport", F.col("_next") + F.col("_k") - 1).drop("_k", "_next")
+
+
+def observed_tags(ops: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Tags that a remove of each set member names: its live adds."""
+    by = by or [*ENTITY, "field"]
+    return orset_members(ops, by).groupBy(*by, "value").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
 def unseen(ops: DataFrame, clock: DataFrame, limit: int | None = None) -> DataFrame:
     """Operations that a client's clock does not cover, in order; a limit applies after the difference."""
     seen = clock.select("replica_id", F.col("lamport").alias("_seen"))

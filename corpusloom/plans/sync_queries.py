@@ -176,3 +176,24 @@ def rate_limit(spark, sf):
 @query("tumbling_windows", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_windows(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("hour"), "n", "total")
+
+
+@query("append_chain", f"WITH {CHAIN} SELECT chain_id, sequence, entry_hash FROM c WHERE sequence > 0")
+def append_chain(spark, sf):
+    """A ledger built in two goes equals one built at once."""
+    r = chain_records(spark, sf)
+    cut = 7000
+    first = ledger.build_chain(r.where(F.col("position") < cut))
+    more = ledger.build_chain(r.where(F.col("position") >= cut), heads=ledger.chain_heads(first))
+    return first.unionByName(more).select("chain_id", "sequence", "entry_hash")
+
+
+@query("author_operations", f"WITH {OPERATIONS} SELECT c_custkey AS draft_no, (SELECT max(lamport) FROM ops) + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS lamport FROM customer")
+def author_operations(spark, sf):
+    drafts = table(spark, sf, "customer").selectExpr("concat('r', c_nationkey) AS replica_id", "c_custkey AS draft_no")
+    return crdt.author(operations(spark, sf), drafts).select("draft_no", "lamport")
+
+
+@query("observed_tags", f"WITH {OPERATIONS}, live AS (SELECT a.entity_id, a.value, a.op_id FROM ops a LEFT JOIN (SELECT entity_id, value, max({KEY}) AS b FROM ops WHERE action = 'remove' GROUP BY 1, 2) r ON a.entity_id = r.entity_id AND a.value = r.value WHERE a.action = 'add' AND (b IS NULL OR lpad(CAST(a.lamport AS VARCHAR), 9, '0') || a.replica_id || a.op_id > b)) SELECT entity_id, value, string_agg(op_id, ',' ORDER BY op_id) AS tags FROM live GROUP BY 1, 2")
+def observed_tags(spark, sf):
+    return crdt.observed_tags(crdt.merge(operations(spark, sf))).select("entity_id", "value", F.array_join("tags", ",").alias("tags"))

@@ -33,3 +33,25 @@ def test_room_state_and_frames(spark):
     assert got == {"h1": None, "c1": "h1", "c2": None}
     frames = {r["seq"]: r["frame"] for r in rooms.format_sse(log.select("seq", "event_type", "payload")).collect()}
     assert frames[2] == 'id: 2\nevent: comment.added\ndata: {"payload":"hi"}\n\n'
+
+
+def test_stream_changes_equal_batch(spark, tmp_path):
+    from corpusloom.streaming import watches
+
+    src = spark.range(300).selectExpr("id % 5 AS watch_id", "id AS event_id", "CAST(id * id % 7 % 2 AS STRING) AS content", "id AS polled_at")
+    src.orderBy("event_id").coalesce(1).write.parquet(str(tmp_path / "polls"))
+    run(watches.stream_changes(spark.readStream.schema(src.schema).parquet(str(tmp_path / "polls"))), "changed")
+    want = {r["event_id"] for r in watches.changes(src).collect()}
+    assert {r["event_id"] for r in spark.table("changed").collect()} == want and want
+
+
+def test_fetched_comments(spark):
+    from corpusloom.sources import fetched
+
+    spark.dataSource.register(fetched.FetchedSource)
+    df = spark.read.format("fetched").option("fetcher", "tests.test_streaming:fake_comments").option("keys", "a,b").schema("key string, value string").load()
+    assert sorted((r["key"], r["value"]) for r in df.collect()) == [("a", "a0"), ("a", "a1"), ("b", "b0"), ("b", "b1")]
+
+
+def fake_comments(key):
+    return [f"{key}{k}" for k in range(2)]
