@@ -39,7 +39,7 @@ _LETTER: list[np.ndarray] = []
 
 def _is_letter() -> np.ndarray:
     if not _LETTER:
-        _LETTER.append(np.array([chr(c).isalpha() for c in range(0x30000)] + [False]))
+        _LETTER.append(np.array([chr(c).isalpha() for c in range(0x33480)] + [False]))
     return _LETTER[0]
 
 
