@@ -28,10 +28,14 @@ WINDOWS, WINDOWS_LONG, LONG, WIDEST = 4, 2, 60, 240
 ALIGNED_SHARE, CONTEXT = 0.65, 0.5
 COMMON = 200
 WORD = re.compile(r"[^\W_]+(?:['‘’][^\W_]+)*")
+ASCII_WORD = re.compile(r"[A-Za-z0-9]+")
 
 
 def words_with_offsets(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """Tokens and their spans; a word that folds to several tokens gives each its own place where it can be found."""
+    if text.isascii() and "'" not in text:  # every match is a plain word
+        found = list(ASCII_WORD.finditer(text))
+        return [m[0].lower() for m in found], [m.span() for m in found]
     words: list[str] = []
     spans: list[tuple[int, int]] = []
     for m in WORD.finditer(text):
@@ -47,9 +51,9 @@ def words_with_offsets(text: str) -> tuple[list[str], list[tuple[int, int]]]:
 
 
 class Source:
-    """A source's tokens, their rarity within it, and the postings of their n-grams."""
+    """A source's tokens, their rarity within it, and the postings of their n-grams (of all, or of those ``wanted``)."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, wanted: set[tuple[str, ...]] | None = None) -> None:
         self.text = text
         self.words, self.spans = words_with_offsets(text)
         self.stems = [porter_stem(w) for w in self.words]
@@ -59,9 +63,8 @@ class Source:
         often = max(40, int(0.004 * n))
         self.postings: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for size in (1, 2, 3):
-            for k in range(len(self.stems) - size + 1):
-                gram = tuple(self.stems[k : k + size])
-                if size > 1 or (gram[0] not in STOPWORDS and counts[gram[0]] <= often):
+            for k, gram in enumerate(zip(*(self.stems[i:] for i in range(size)), strict=False)):
+                if (wanted is None or gram in wanted) and (size > 1 or (gram[0] not in STOPWORDS and counts[gram[0]] <= often)):
                     self.postings[gram].append(k)
 
     def weight(self, word: str, stem: str) -> float:
@@ -106,9 +109,12 @@ def pair_scores(stems: list[str], weights: np.ndarray, window: list[str]) -> np.
     """(sentence, window) table of what matching each pair of words brings."""
     number: dict[str, int] = {}
     ids = np.array([number.setdefault(s, len(number)) for s in window])
+    heads: dict[str, list[str]] = defaultdict(list)
+    for w in number:
+        heads[w[:1]].append(w)
     out = np.repeat((MISMATCH * (MISMATCH_FLOOR + (1 - MISMATCH_FLOOR) * weights))[:, None], len(window), axis=1)
     for i, s in enumerate(stems):
-        near = [k for w, k in number.items() if one_edit(s, w)]
+        near = [number[w] for w in heads.get(s[:1], ()) if one_edit(s, w)]
         if near:
             out[i, np.isin(ids, near)] = NEAR * weights[i]
         if s in number:
@@ -194,8 +200,11 @@ def align(sentence: str, index: int, source: Source, min_score: float = PARTIAL)
 
 def align_summary(summary: str | None, source: str | None, min_score: float = PARTIAL) -> list[dict]:
     """One record per sentence of the summary."""
-    indexed = Source(source or "")
-    return [align(s, k, indexed, min_score) for k, s in enumerate(split_sentences(summary))]
+    sentences = split_sentences(summary)
+    stems = [[porter_stem(w) for w in words_with_offsets(s)[0]] for s in sentences]
+    wanted = {gram for x in stems for size in (1, 2, 3) for gram in zip(*(x[i:] for i in range(size)), strict=False)}
+    indexed = Source(source or "", wanted) if sentences else None
+    return [align(s, k, indexed, min_score) for k, s in enumerate(sentences)]
 
 
 SCHEMA = "sentence string, sentence_index int, start int, end int, score double, matched_text string, support string"
