@@ -53,6 +53,7 @@ def _any(words) -> str:
     return "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in sorted(words, key=len, reverse=True))
 
 
+# The forms of numbers, and of dates and times, which are none.
 NUMBER = re.compile(rf"(?<![\w.])(?:\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)(?:e[+-]?\d+)?|(?<![a-z])(?:{_any(SPELLED)})(?![a-z])", re.I)
 BEFORE = re.compile(rf"(?:(?P<marker>{_any(MARKERS)})\s*)?(?P<between>between\s+)?(?:(?P<cur>{_any(SIGNS)})\.?\s*)?(?P<neg>-\s*|minus\s+)?\Z", re.I)
 SCALE = re.compile(rf"\s*({_any(SCALES)})(?![A-Za-z])", re.I)

@@ -38,6 +38,7 @@ CUE = r"(?:in|since|by|during|from|until|till|through|throughout|before|after|ar
 COARSE = {"day": 0, "month": 1, "quarter": 2, "season": 2, "year": 3, "decade": 4, "century": 5}
 VAGUE = {"recently": (-90, 0), "lately": (-90, 0), "soon": (0, 90), "shortly": (0, 90), "nowadays": (-30, 30), "currently": (-30, 30), "these days": (-30, 30)}
 
+# The pieces of date expressions.
 M = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sept(?:ember)?|Sep|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?"
 WD = r"(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tues|tue|wed|thurs|thur|thu|fri|sat|sun)"
 SEASON, MOD, NTH = r"(?:spring|summer|autumn|fall|winter)", r"(?:early|mid|middle|late)", r"(?:st|nd|rd|th)"
@@ -100,6 +101,7 @@ def shifted(day: Day, n: int, unit: str) -> Day:
     return day + dt.timedelta(n * days) if days else add_months(day, n * {"month": 1, "year": 12, "decade": 120}[unit])
 
 
+# The patterns of the rules below, and the confidence that each has.
 # --- Rules ---------------------------------------------------------------------------------------------------------
 
 Rule = Callable[[re.Match, Day], Found | None]
