@@ -39,6 +39,24 @@ def _blocks(rows: int, block_rows: int) -> int:
     return max(1, math.ceil(rows / block_rows))
 
 
+def _block_pairs(vectors: DataFrame, id_col: str, vec_col: str, block_rows: int) -> DataFrame:
+    """Vectors dealt to blocks, once for every pair of blocks (i <= j) that theirs is one of: id, v, blk, i, j."""
+    b = _blocks(vectors.count(), block_rows)
+    block = F.pmod(F.xxhash64(id_col), F.lit(b)).cast("int")
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), block.alias("blk"))
+    dealt = v.select("id", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("other"))
+    return dealt.select("id", "v", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+
+
+def _sides(frame: pd.DataFrame, i: int, j: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the two blocks of a group."""
+    out = []
+    for k in (i, j):
+        part = frame[frame.blk == k]
+        out.append((part.id.to_numpy(), np.stack(part.v.to_numpy()).astype("f8") if len(part) else np.zeros((0, 1))))
+    return out
+
+
 def similarity_join(vectors: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", block_rows: int = 4000) -> DataFrame:
     """Pairs (a < b) with cosine >= threshold, exactly.
 
@@ -46,32 +64,19 @@ def similarity_join(vectors: DataFrame, threshold: float, id_col: str = "id", ve
     bounded by two blocks and only pairs above the threshold leave a task. An exact join is quadratic in arithmetic; for
     thresholds near 1 ``candidate_join`` is the way at scale.
     """
-    n = vectors.count()
-    b = _blocks(n, block_rows)
-    block = F.pmod(F.xxhash64(id_col), F.lit(b)).cast("int")
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), block.alias("blk"))
-    dealt = v.select("id", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("other"))
-    dealt = dealt.select("id", "v", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
 
     def pairs(key, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        left = frame[frame.blk == i]
-        right = frame[frame.blk == j] if j != i else left
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64"), "similarity": np.zeros(0)})
-        x, y = np.stack(left.v.to_numpy()).astype("f8"), np.stack(right.v.to_numpy()).astype("f8")
-        ids, other = left.id.to_numpy(), right.id.to_numpy()
-        out = []
-        for at in range(0, len(x), 1000):
+        (ids, x), (other, y) = _sides(frame, *key)
+        out = [pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64"), "similarity": np.zeros(0)})]
+        for at in range(0, len(x) if len(y) else 0, 1000):
             s = x[at : at + 1000] @ y.T
             p, q = np.nonzero(s >= threshold)
-            p0 = p + at
-            keep = ids[p0] != other[q] if i != j else ids[p0] < other[q]
-            p0, q, val = p0[keep], q[keep], s[p[keep], q[keep]]
-            out.append(pd.DataFrame({"a": np.minimum(ids[p0], other[q]), "b": np.maximum(ids[p0], other[q]), "similarity": val}))
+            left, right = ids[p + at], other[q]
+            keep = left != right if key[0] != key[1] else left < right
+            out.append(pd.DataFrame({"a": np.minimum(left, right)[keep], "b": np.maximum(left, right)[keep], "similarity": s[p, q][keep]}))
         return pd.concat(out, ignore_index=True)
 
-    return dealt.groupBy("i", "j").applyInPandas(pairs, "a long, b long, similarity double")
+    return _block_pairs(vectors, id_col, vec_col, block_rows).groupBy("i", "j").applyInPandas(pairs, "a long, b long, similarity double")
 
 
 def candidate_join(vectors: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", dim: int = 64, tables: int = 16, bits: int = 12, seed: int = 3) -> DataFrame:
@@ -103,11 +108,27 @@ def duplicate_groups(vectors: DataFrame, threshold: float = 0.92, id_col: str =
 
 
 def neighbours(vectors: DataFrame, k: int = 5, floor: float = 0.35, id_col: str = "id", vec_col: str = "embedding", block_rows: int = 4000) -> DataFrame:
-    """For every row its k most similar others above ``floor`` (ties: smaller id), by blocks; each group keeps its own best k."""
-    pairs = similarity_join(vectors, floor, id_col, vec_col, block_rows).where(F.col("similarity") > floor)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity"))
+    """For every row its k most similar others above ``floor`` (ties: smaller id). Each pair of blocks keeps its own best k of a row,
+    so at most k rows per row and block leave the tasks."""
+
+    def best(key, frame: pd.DataFrame) -> pd.DataFrame:
+        sides = _sides(frame, *key)
+        out = [pd.DataFrame({"id": np.zeros(0, "int64"), "other": np.zeros(0, "int64"), "similarity": np.zeros(0)})]
+        for (ids, x), (other, y) in (sides, sides[::-1])[: 1 if key[0] == key[1] else 2]:
+            by_id = np.argsort(other, kind="stable")
+            other, y = other[by_id], y[by_id]
+            for at in range(0, len(x) if len(y) else 0, 1000):
+                s = x[at : at + 1000] @ y.T
+                s[ids[at : at + 1000, None] == other[None, :]] = -np.inf
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                val = np.take_along_axis(s, top, axis=1)
+                r, c = np.nonzero(val > floor)
+                out.append(pd.DataFrame({"id": ids[at + r], "other": other[top[r, c]], "similarity": val[r, c]}))
+        return pd.concat(out, ignore_index=True)
+
+    found = _block_pairs(vectors, id_col, vec_col, block_rows).groupBy("i", "j").applyInPandas(best, "id long, other long, similarity double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def hybrid_search(keyword: DataFrame, semantic: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def duplicate_groups(spark, sf):
 
 @query("canvas_neighbours", f"WITH {VEC}, p AS (SELECT a.id AS id, b.id AS other, {DOT}(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id WHERE {DOT}(a.e, b.e) > 0.35), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rank FROM p) SELECT id, other, rank FROM r WHERE rank <= 5")
 def canvas_neighbours(spark, sf):
-    return sim.neighbours(vectors(spark, sf)).select("id", "other", "rank")
+    return sim.neighbours(vectors(spark, sf), block_rows=150).select("id", "other", "rank")
 
 
 @query("hybrid_search", f"WITH {VEC}, k AS (SELECT id FROM v WHERE id % 9 = 0), s AS (SELECT id, {DOT}(e, {ONE}) AS sim FROM v WHERE {DOT}(e, {ONE}) >= 0.1) SELECT coalesce(k.id, s.id) AS id, round(CASE WHEN k.id IS NULL THEN sim WHEN s.id IS NULL THEN 1 ELSE 1 + sim END, 6) AS score, CASE WHEN k.id IS NULL THEN 'semantic' WHEN s.id IS NULL THEN 'keyword' ELSE 'both' END AS match_type FROM k FULL OUTER JOIN s ON k.id = s.id")
