@@ -40,6 +40,9 @@ NOISE = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Noise that an article inside does not clear, and names that only say what a page also has.
+FIRM = re.compile(r"comment|repl(?:y|ies)|respond|related|recommend|sidebar(?!.*(?:layout|page|wrap))", re.I)
+ALSO = re.compile(r"(?<![\w-])(?:has|with|without|no|is)[-_][\w-]+", re.I)
 SPACE = re.compile(r"\s+")
 
 
@@ -48,17 +51,24 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, container's number or -1, boilerplate
-        self.out: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.stack: list[tuple[str, int, int]] = []  # tag, container's number or -1, number of the noise it stands in (0: none)
+        self.noise: list[list] = [[0, False, True]]  # of each noise: the one it stands in, whether an article inside may clear it, whether one has
+        self.out: list[tuple[str, int, int, tuple[int, ...], int]] = []
         self.kinds: list[str] = []  # of the containers
         self.parts: list[str] = []
         self.tags = self.linked = self.anchors = 0
 
+    def clear(self, k: int) -> bool:
+        """Whether a noise and all that it stands in are none after all."""
+        while k and self.noise[k][2]:
+            k = self.noise[k][0]
+        return not k
+
     def close_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             path = tuple(n for _, n, _ in self.stack if n >= 0)
-            self.out.append((text, self.tags, self.linked, path, bool(self.stack and self.stack[-1][2])))
+            self.out.append((text, self.tags, self.linked, path, self.stack[-1][2] if self.stack else 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def pop_to(self, k: int) -> None:
@@ -78,12 +88,25 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        up = self.stack[-1][2] if self.stack else False
-        noise = up or tag in DROP or (tag in OUTER and not any(t in ("article", "main") for t, _, _ in self.stack))
-        if not noise and attrs and tag not in ("html", "body"):
+        up = self.stack[-1][2] if self.stack else 0
+        firm = tag in DROP or (tag in OUTER and not any(t in ("article", "main") for t, _, _ in self.stack))
+        soft = False
+        if attrs and not firm and tag not in ("html", "body"):
             a = {k: v or "" for k, v in attrs}
-            said = f"{a.get('class', '')} {a.get('id', '')}"
-            noise = "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or (tag not in ("article", "main", "p", "h1", "h2", "h3") or "comment" in said.lower()) and bool(NOISE.search(said)) or "display:none" in a.get("style", "").replace(" ", "").lower()
+            said = ALSO.sub(" ", f"{a.get('class', '')} {a.get('id', '')}")
+            firm = "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower()
+            if tag not in ("article", "main", "p", "h1", "h2", "h3") or "comment" in said.lower():
+                named = bool(NOISE.search(said))
+                firm, soft = firm or (named and bool(FIRM.search(said))), named
+        if tag in ("article", "main") and not firm and not soft:
+            k = up
+            while k and self.noise[k][1]:
+                self.noise[k][2] = True  # what was named like boilerplate holds the article
+                k = self.noise[k][0]
+        if firm or soft:
+            self.noise.append([up, not firm, False])
+            up = len(self.noise) - 1
+        noise = up
         n = -1
         if tag in CONTAINER:
             n = len(self.kinds)
@@ -139,7 +162,7 @@ def extract(html: str | None, sigma: float = 1.0, threshold: float = 0.5, hold:
     p.feed(html)
     p.close()
     p.close_line()
-    lines = [x for x in p.out if not x[4]]
+    lines = [x for x in p.out if p.clear(x[4])]
     if not lines:
         return ""
     ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in lines])

@@ -182,6 +182,8 @@ def test_main_text():
     for odd in (None, "", "<", "<p", "plain words", "<p>a<table><tr><td>b", "</div></p>x", "<!-- <p>no</p> -->", "<script>x", "&#0;&#xD800;&bogus;"):
         assert isinstance(pages.extract(odd), str)
     assert pages.extract("plain words") == "plain words"
+    wrapped = '<div class="page with-sidebar"><div class="social-layout"><main><p>Main part.</p><div class="social">x</div></main></div><div class="sidebar"><article><p>Other.</p></article></div><section class="comments"><article class="comment"><p>Me!</p></article><article><p>Me too!</p></article></section></div>'
+    assert pages.extract(wrapped) == "Main part."
 
 
 def test_main_text_table(spark, sf):
