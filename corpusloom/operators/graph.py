@@ -23,7 +23,8 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     for _ in range(max_rounds):
         # large star: neighbours above me link to the smallest of my neighbours and me
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # (a checkpoint of the minima leaves a plain join below, whose hot keys adaptive execution can split: a star's hub has all its edges)
+        low = checkpointed(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: neighbours below me, and I, link to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -37,7 +37,7 @@ def share_tokens(spark, sf):
     return ex.share_tokens(c.where("entry_id % 3 = 0").selectExpr("entry_id", "concat('t', entry_id) AS token"), c.unionByName(c))
 
 
-@query("annotations", "SELECT o_orderkey AS id, o_custkey AS entry_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders WHERE o_orderkey % 5 <> 0")
+@query("annotations", "SELECT o_orderkey AS id, o_custkey AS entry_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders WHERE o_orderkey % 5 <> 0", ints=("k",))
 def annotations(spark, sf):
     return ex.annotations_of(table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey AS entry_id", "CASE WHEN o_orderkey % 5 = 0 THEN '  ' ELSE 'n' END AS note")).select("id", "entry_id", "k")
 

@@ -25,7 +25,7 @@ def entry_documents(spark, sf):
     return lib.entry_documents(entries(spark, sf), limit=None)
 
 
-@query("keyword_search", f"WITH {ENTRIES} SELECT id, source_ref, {WORDS.format('summary')} AS n_words FROM entries WHERE summary ILIKE '%tion%' OR source_ref ILIKE '%tion%' ORDER BY id DESC LIMIT 8")
+@query("keyword_search", f"WITH {ENTRIES} SELECT id, source_ref, {WORDS.format('summary')} AS n_words FROM entries WHERE summary ILIKE '%tion%' OR source_ref ILIKE '%tion%' ORDER BY id DESC LIMIT 8", ints=("n_words",))
 def keyword_search(spark, sf):
     return lib.keyword_search(entries(spark, sf), " tion ").select("id", "source_ref", lib.word_count(F.col("summary")).alias("n_words"))
 
@@ -74,7 +74,7 @@ def derived_columns(spark, sf):
     return entries(spark, sf).select("id", lib.display_title().alias("display_title"), lib.excerpt().alias("excerpt"), F.array_join(lib.normalise_tags(F.col("tags")), "|").alias("tag_list"))
 
 
-@query("rule_context", f"WITH {ENTRIES}, t AS (SELECT *, coalesce(CASE WHEN source_text <> '' THEN source_text END, summary, '') AS body FROM entries) SELECT id, lower(regexp_extract(source_ref, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS domain, {WORDS.format('body')} AS word_count, coalesce(is_archived, false) AS archived FROM t")
+@query("rule_context", f"WITH {ENTRIES}, t AS (SELECT *, coalesce(CASE WHEN source_text <> '' THEN source_text END, summary, '') AS body FROM entries) SELECT id, lower(regexp_extract(source_ref, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS domain, {WORDS.format('body')} AS word_count, coalesce(is_archived, false) AS archived FROM t", ints=("word_count",))
 def rule_context(spark, sf):
     return lib.rule_context(entries(spark, sf)).select("id", "domain", "word_count", "archived")
 
@@ -119,7 +119,7 @@ def merge_duplicates(spark, sf):
     return lib.merge_duplicates(edges(spark, sf), mapping).select("id", "from_id", "to_id")
 
 
-@query("draft_versions", "SELECT o_orderkey AS id, o_custkey AS entry_id, o_orderstatus AS draft_type, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS version FROM orders")
+@query("draft_versions", "SELECT o_orderkey AS id, o_custkey AS entry_id, o_orderstatus AS draft_type, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS version FROM orders", ints=("version",))
 def draft_versions(spark, sf):
     return lib.versions(table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey AS entry_id", "o_orderstatus AS draft_type"), ["entry_id", "draft_type"], "id")
 

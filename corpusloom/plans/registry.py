@@ -10,13 +10,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query (spark, sf_dir) -> DataFrame, with its SQL if SQL can express it."""
+def query(name: str, sql: str | None = None, ints: tuple[str, ...] = ()):
+    """Register a query (spark, sf_dir) -> DataFrame, with its SQL if SQL can express it. ints: columns that are 32-bit here, as which
+    the SQL's counts and positions are cast."""
 
     def add(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLE_SQL[name] = sql
+            narrow = ", ".join(f"CAST({c} AS INT) AS {c}" for c in ints)
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({narrow}) FROM ({sql}) AS q" if ints else sql
         return fn
 
     return add

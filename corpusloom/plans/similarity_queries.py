@@ -52,7 +52,7 @@ def duplicate_groups(spark, sf):
     return sim.duplicate_groups(vectors(spark, sf), 0.4).select("id", "group_id", "size")
 
 
-@query("canvas_neighbours", f"WITH {VEC}, p AS (SELECT a.id AS id, b.id AS other, {DOT}(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id WHERE {DOT}(a.e, b.e) > 0.35), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rank FROM p) SELECT id, other, rank FROM r WHERE rank <= 5")
+@query("canvas_neighbours", f"WITH {VEC}, p AS (SELECT a.id AS id, b.id AS other, {DOT}(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id WHERE {DOT}(a.e, b.e) > 0.35), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rank FROM p) SELECT id, other, rank FROM r WHERE rank <= 5", ints=("rank",))
 def canvas_neighbours(spark, sf):
     return sim.neighbours(vectors(spark, sf), block_rows=150).select("id", "other", "rank")
 
@@ -64,7 +64,7 @@ def hybrid_search(spark, sf):
     return sim.hybrid_search(v.where("id % 9 = 0"), semantic).select("id", F.round("score", 6).alias("score"), "match_type")
 
 
-@query("passages", f"WITH {VEC}, r AS (SELECT id % 20 AS doc_id, id, row_number() OVER (PARTITION BY id % 20 ORDER BY {DOT}(e, {ONE}) DESC, id) AS rank FROM v) SELECT doc_id, id, rank FROM r WHERE rank <= 4")
+@query("passages", f"WITH {VEC}, r AS (SELECT id % 20 AS doc_id, id, row_number() OVER (PARTITION BY id % 20 ORDER BY {DOT}(e, {ONE}) DESC, id) AS rank FROM v) SELECT doc_id, id, rank FROM r WHERE rank <= 4", ints=("rank",))
 def passages(spark, sf):
     chunks = vectors(spark, sf).withColumn("doc_id", F.col("id") % 20)
     return sim.passages(chunks, query_vector(spark, sf)).select("doc_id", "id", "rank")

@@ -23,19 +23,19 @@ TOK = "regexp_extract_all(lower(t), '[a-z0-9]+(?:''[a-z]+)?')"
 A = f"a AS (SELECT doc_id, {CLEAN.format('text')} AS t FROM documents)"
 
 
-@query("tokens", f"WITH {A} SELECT doc_id, len({TOK}) AS n, CASE WHEN len({TOK}) = 0 THEN 0 ELSE round(CAST(len(list_distinct({TOK})) AS DOUBLE) / len({TOK}), 6) END AS unique_ratio, left(array_to_string({TOK}, ' '), 200) AS head FROM a")
+@query("tokens", f"WITH {A} SELECT doc_id, len({TOK}) AS n, CASE WHEN len({TOK}) = 0 THEN 0 ELSE round(CAST(len(list_distinct({TOK})) AS DOUBLE) / len({TOK}), 6) END AS unique_ratio, left(array_to_string({TOK}, ' '), 200) AS head FROM a", ints=("n",))
 def tokens(spark, sf):
     t = tx.ascii_tokens(F.col("text"))
     return ascii_docs(spark, sf).select("doc_id", F.size(t).alias("n"), F.round(tx.unique_ratio(t), 6).alias("unique_ratio"), F.substring(F.array_join(t, " "), 1, 200).alias("head"))
 
 
-@query("content_tokens", f"WITH {A}, c AS (SELECT doc_id, list_filter({TOK}, lambda w: length(w) >= 2 AND w NOT IN ({STOP})) AS w FROM a) SELECT doc_id, len(w) AS n, left(array_to_string(w, ' '), 200) AS head FROM c")
+@query("content_tokens", f"WITH {A}, c AS (SELECT doc_id, list_filter({TOK}, lambda w: length(w) >= 2 AND w NOT IN ({STOP})) AS w FROM a) SELECT doc_id, len(w) AS n, left(array_to_string(w, ' '), 200) AS head FROM c", ints=("n",))
 def content_tokens(spark, sf):
     t = tx.ascii_content_tokens(F.col("text"))
     return ascii_docs(spark, sf).select("doc_id", F.size(t).alias("n"), F.substring(F.array_join(t, " "), 1, 200).alias("head"))
 
 
-@query("normalized_tokens", f"WITH {A} SELECT doc_id, len({TOK}) AS n FROM a")
+@query("normalized_tokens", f"WITH {A} SELECT doc_id, len({TOK}) AS n FROM a", ints=("n",))
 def normalized_tokens(spark, sf):
     """The Unicode tokeniser on ASCII text agrees with the SQL one."""
     return ascii_docs(spark, sf).select("doc_id", F.size(tx.tokenize_udf("text")).alias("n"))
@@ -48,7 +48,7 @@ READ = f"""w AS (SELECT doc_id, text, regexp_extract_all(trim(text), '[A-Za-z'']
  e AS (SELECT doc_id, n, CASE WHEN n > 0 THEN s ELSE 0 END AS s, 206.835::DOUBLE - 1.015::DOUBLE * wps - 84.6::DOUBLE * spw AS ease, 0.39::DOUBLE * wps + 11.8::DOUBLE * spw - 15.59::DOUBLE AS grade FROM m)"""
 
 
-@query("readability", f"WITH {READ} SELECT doc_id, n AS word_count, s AS sentence_count, CASE WHEN n = 0 THEN NULL ELSE round(ease, 1) END AS flesch_reading_ease, CASE WHEN n = 0 THEN NULL ELSE round(greatest(grade, 0), 1) END AS flesch_kincaid_grade, CASE WHEN n = 0 THEN 'N/A' WHEN ease >= 70 THEN 'Easy' WHEN ease >= 50 THEN 'Standard' WHEN ease >= 30 THEN 'Difficult' ELSE 'Very difficult' END AS level FROM e")
+@query("readability", f"WITH {READ} SELECT doc_id, n AS word_count, s AS sentence_count, CASE WHEN n = 0 THEN NULL ELSE round(ease, 1) END AS flesch_reading_ease, CASE WHEN n = 0 THEN NULL ELSE round(greatest(grade, 0), 1) END AS flesch_kincaid_grade, CASE WHEN n = 0 THEN 'N/A' WHEN ease >= 70 THEN 'Easy' WHEN ease >= 50 THEN 'Standard' WHEN ease >= 30 THEN 'Difficult' ELSE 'Very difficult' END AS level FROM e", ints=("word_count", "sentence_count"))
 def readability(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *(c.alias(k) for k, c in tx.readability(F.col("text")).items()))
 
@@ -70,12 +70,12 @@ def loaded_language(spark, sf):
 WORDS = f"w AS (SELECT doc_id, CASE WHEN {FLAT.format('text')} = '' THEN [] ELSE string_split({FLAT.format('text')}, ' ') END AS w FROM documents)"
 
 
-@query("word_chunks", f"WITH {WORDS} SELECT doc_id, k AS chunk_index, array_to_string(list_slice(w, k * 140 + 1, k * 140 + 180), ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 180) / 140.0), 0) AS BIGINT) + 1)) AS k FROM w WHERE len(w) > 0)")
+@query("word_chunks", f"WITH {WORDS} SELECT doc_id, k AS chunk_index, array_to_string(list_slice(w, k * 140 + 1, k * 140 + 180), ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 180) / 140.0), 0) AS BIGINT) + 1)) AS k FROM w WHERE len(w) > 0)", ints=("chunk_index",))
 def word_chunks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(tx.word_chunks(F.col("text"))).alias("chunk_index", "chunk"))
 
 
-@query("fixed_chunks", f"WITH {WORDS} SELECT doc_id, k AS chunk_index, len(list_slice(w, k * 800 + 1, k * 800 + 800)) AS n FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 800.0) AS BIGINT))) AS k FROM w WHERE len(w) > 0)")
+@query("fixed_chunks", f"WITH {WORDS} SELECT doc_id, k AS chunk_index, len(list_slice(w, k * 800 + 1, k * 800 + 800)) AS n FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 800.0) AS BIGINT))) AS k FROM w WHERE len(w) > 0)", ints=("chunk_index", "n"))
 def fixed_chunks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(tx.word_chunks(F.col("text"), 800, 0)).alias("chunk_index", "chunk")).select("doc_id", "chunk_index", F.size(F.split("chunk", " ")).alias("n"))
 
@@ -86,7 +86,7 @@ def bigrams(spark, sf):
     return g.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 20")
 
 
-@query("simple_sentences", "SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS n FROM documents")
+@query("simple_sentences", "SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS n FROM documents", ints=("n",))
 def simple_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(tx.simple_sentences(F.col("text"))).alias("n"))
 
@@ -103,7 +103,7 @@ def week_keys(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), tx.week_key(F.col("o_orderdate")).alias("week"))
 
 
-@query("edit_distance", "SELECT o_orderkey AS id, least(levenshtein(o_orderpriority, c_mktsegment), 4) AS d FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("edit_distance", "SELECT o_orderkey AS id, least(levenshtein(o_orderpriority, c_mktsegment), 4) AS d FROM orders JOIN customer ON o_custkey = c_custkey", ints=("d",))
 def edit_distance(spark, sf):
     j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return j.select(F.col("o_orderkey").alias("id"), tx.levenshtein(F.col("o_orderpriority"), F.col("c_mktsegment")).alias("d"))
@@ -192,7 +192,7 @@ def compare_fingerprints(spark, sf):
     return audio.compare(h.where("CAST(rec_id AS INT) % 10 = 0"), h, hop=1.0).select("a", "b", "aligned_hashes", "common_hashes", "offset_seconds", F.round("score", 6).alias("score"))
 
 
-@query("query_audio_index", f"WITH {AUDIO} SELECT a, b, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY aligned_hashes DESC, score DESC, b) AS rank FROM c) WHERE rank <= 5")
+@query("query_audio_index", f"WITH {AUDIO} SELECT a, b, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY aligned_hashes DESC, score DESC, b) AS rank FROM c) WHERE rank <= 5", ints=("rank",))
 def query_audio_index(spark, sf):
     h = hashes(spark, sf)
     return audio.query_index(h.where("CAST(rec_id AS INT) % 10 = 0"), h, hop=1.0).select("a", "b", "rank")
