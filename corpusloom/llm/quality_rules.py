@@ -1,14 +1,11 @@
 """Quality rules: fixed counts, and divergence from language references.
 
-A language's reference is learned from all documents of that ``lang``: the shares of character classes, and the shares
-of its common words (words that make up ``common`` of its words or more; all other words are one further share). A
-document is compared with each reference by Jensen-Shannon distance, and the nearest counts. Histograms of few
-draws lie far from any reference by chance, so word shares are compared from ``min_words`` words on and characters from
+A language's reference is learned from all documents of that ``lang``, in one scan: the shares of character classes, and the
+shares of its common words (hashed to ``BINS`` bins; those with ``common`` of its words or more, and all other words as one
+further share). A document is compared with each reference by Jensen-Shannon distance, and the nearest counts. Histograms of
+few draws lie far from any reference by chance, so word shares are compared from ``min_words`` words on and characters from
 ``min_chars`` on; below that a document is not judged by that histogram.
 
-Common words are found exactly in two scans: a word with that share of a language has it in at least one task, so
-each task names its own candidates, which are then counted over all rows.
-
 Null and empty texts have no words and fail the base rules. If no row has a language there is no reference, and the
 base rules alone decide. Ties between references do not matter (only the distance is used). Repeated rows count as often
 as they occur; other columns are ignored; an empty table gives an empty result.
@@ -16,10 +13,11 @@ as they occur; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import N_CLASSES, WORD, char_classes, code_points, fold_rows, map_rows, read
@@ -27,6 +25,8 @@ from .common import N_CLASSES, WORD, char_classes, code_points, fold_rows, map_r
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 EDGE = ".,;:!?\"'()"
+#: Bins of hashed words: far more than a language has common words, and a fixed size whatever the vocabulary is.
+BINS = 1 << 16
 
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
@@ -72,8 +72,22 @@ def class_counts(text: str) -> np.ndarray:
     return np.bincount(char_classes()[code_points(text)], minlength=N_CLASSES)
 
 
-def plain(word: str) -> str:
-    return word.strip(EDGE).lower()
+class WordBins:
+    """Bin of each word, its case and the punctuation about it aside; remembers words up to a bound."""
+
+    def __init__(self, bound: int = 300_000) -> None:
+        self.known: dict[str, int] = {}
+        self.bound = bound
+
+    def add(self, w: str) -> int:
+        b = self.known[w] = zlib.crc32(w.strip(EDGE).lower().encode()) % BINS
+        return b
+
+    def __call__(self, words: list[str]) -> list[int]:
+        if len(self.known) > self.bound:
+            self.known.clear()
+        get = self.known.get
+        return [b if (b := get(w)) is not None else self.add(w) for w in words]
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -88,74 +102,45 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", common: float = 0.004) -> list[dict]:
-    """One per language: its class shares and its common words' shares. At most 1 / common words a language."""
+    """One per language: its class shares, its common bins and their shares. At most 1 / common bins a language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    columns = [F.col(text_col), F.col(lang_col)]
-
-    def propose():
-        by: dict[str, Counter] = {}
-        room = [0]
-
-        def candidates():
-            for lang, c in by.items():
-                least = common * c.total()
-                for w, n in c.items():
-                    if n >= least:
-                        yield lang, w
-            by.clear()
-            room[0] = 0
-
-        def take(texts, langs):
-            for t, lang in zip(texts, langs, strict=True):
-                words = WORD.findall(t)
-                room[0] += len(words)
-                by.setdefault(lang, Counter()).update(map(plain, words))
-                if room[0] > 3_000_000:  # a block of rows is as good as a task: a common word is common in some block
-                    yield from candidates()
-
-        return take, candidates
-
-    named: dict[str, set[str]] = {}
-    for lang, w in fold_rows(rows, columns, propose, "lang string, word string").distinct().toLocalIterator():
-        named.setdefault(lang, set()).add(w)
 
     def count():
+        bins = WordBins()
         words_of: dict[str, Counter] = {}
         chars: dict[str, np.ndarray] = {}
-        total: Counter = Counter()
 
         def take(texts, langs):
             for t, lang in zip(texts, langs, strict=True):
-                words = WORD.findall(t)
-                total[lang] += len(words)
-                known = named.get(lang, ())
-                words_of.setdefault(lang, Counter()).update(x for x in map(plain, words) if x in known)
+                if lang not in words_of and len(words_of) == 50:  # few languages at a time, however many there are
+                    yield from finish()
+                words_of.setdefault(lang, Counter()).update(bins(WORD.findall(t)))
                 chars[lang] = chars.get(lang, 0) + class_counts(t)
-            yield from ()
 
         def finish():
             for lang, c in words_of.items():
-                yield from ((lang, "w", w, n) for w, n in c.items())
-                yield from ((lang, "c", str(k), int(n)) for k, n in enumerate(chars[lang]) if n)
-                yield lang, "n", "", total[lang]
+                yield from ((lang, "w", b, n) for b, n in c.items())
+                yield from ((lang, "c", k, int(n)) for k, n in enumerate(chars[lang]) if n)
+            words_of.clear()
+            chars.clear()
 
         return take, finish
 
-    out: dict[str, dict] = {}
-    counted = fold_rows(rows, columns, count, "lang string, kind string, name string, n long").groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
-    for lang, kind, name, n in counted.toLocalIterator():
-        out.setdefault(lang, {}).setdefault(kind, {})[name] = n
+    counted = fold_rows(rows, [F.col(text_col), F.col(lang_col)], count, "lang string, kind string, k int, n long").groupBy("lang", "kind", "k").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("lang", "kind"))  # at most BINS rows a language
+    kept = counted.withColumn("total", total).where((F.col("kind") == "c") | (F.col("n") >= common * F.col("total")))
+    by: dict[str, dict] = {}
+    for lang, kind, k, n, whole in kept.toLocalIterator():
+        by.setdefault(lang, {"c": {}, "w": {}})[kind][k] = n / whole
     refs = []
-    for lang in sorted(out):
-        c, total = out[lang].get("c", {}), out[lang].get("n", {}).get("", 0)
-        shares = {w: n / total for w, n in sorted(out[lang].get("w", {}).items()) if n >= common * total} if total else {}
-        classes = np.array([c.get(str(k), 0) for k in range(N_CLASSES)], float)
-        if shares and classes.sum():
-            refs.append({"lang": lang, "words": shares, "classes": classes / classes.sum()})
+    for lang in sorted(by):
+        classes = np.array([by[lang]["c"].get(k, 0.0) for k in range(N_CLASSES)])
+        if by[lang]["w"] and classes.sum():
+            refs.append({"lang": lang, "classes": classes, "words": dict(sorted(by[lang]["w"].items()))})
     return refs
 
 
-def judge(docs: DataFrame, refs: list[dict], *, id_col: str = "doc_id", text_col: str = "text", max_class_distance: float = 0.25, max_word_distance: float = 0.22, slack: float = 1.0, min_words: int = 40, min_chars: int = 100) -> DataFrame:
+def judge(docs: DataFrame, refs: list[dict], *, id_col: str = "doc_id", text_col: str = "text", max_class_distance: float = 0.33, max_word_distance: float = 0.22, slack: float = 1.0, min_words: int = 40, min_chars: int = 100) -> DataFrame:
     """Per document: the base counts, class_distance and word_distance (null if guarded), base_failed, kept.
 
     The word distance of n words may be ``max_word_distance + slack / sqrt(n)``: chance alone moves a histogram by about
@@ -164,8 +149,11 @@ def judge(docs: DataFrame, refs: list[dict], *, id_col: str = "doc_id", text_col
 
     def make():
         classes = np.stack([r["classes"] for r in refs]) if refs else None
-        places = [{w: k for k, w in enumerate(r["words"])} for r in refs]
-        shares = [np.array([*r["words"].values(), max(0.0, 1 - sum(r["words"].values()))]) for r in refs]
+        shares = [np.array([max(0.0, 1 - sum(r["words"].values())), *r["words"].values()]) for r in refs]
+        places = np.zeros((len(refs), BINS), np.int32)  # of each bin in a reference's shares; 0 for words that are not common
+        for place, r in zip(places, refs, strict=True):
+            place[list(r["words"])] = np.arange(1, len(r["words"]) + 1)
+        bins = WordBins()
 
         def fn(texts):
             cols: list[list] = [[] for _ in range(9)]
@@ -179,14 +167,8 @@ def judge(docs: DataFrame, refs: list[dict], *, id_col: str = "doc_id", text_col
                     h = class_counts(t)
                     c_dist = float(distance(h / h.sum(), classes).min())
                 if refs and n >= min_words:
-                    plains = Counter(map(plain, words))
-                    dists = []
-                    for place, share in zip(places, shares, strict=True):
-                        h = np.zeros(len(share))
-                        for w in place.keys() & plains.keys():
-                            h[place[w]] = plains[w]
-                        h[-1] = n - h.sum()
-                        dists.append(float(distance(h / n, share[None, :])[0]))
+                    own = np.array(bins(words))
+                    dists = [float(distance(np.bincount(place[own], minlength=len(share)) / n, share[None, :])[0]) for place, share in zip(places, shares, strict=True)]
                     w_dist = min(dists)
                 kept = not failed and (c_dist is None or c_dist <= max_class_distance) and (w_dist is None or w_dist <= max_word_distance + slack / n**0.5)
                 for c, v in zip(cols, (n, *base, failed, kept, c_dist, w_dist), strict=True):
