@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, read
 
+LONG = 4_000_000  # characters of a text from which on it is taken in blocks
 STORE = 500_000  # distinct pieces kept by a task
 
 
@@ -143,7 +146,8 @@ class Encoder:
     def __init__(self, path: str, pattern: str, store: int = STORE) -> None:
         self.merges = Merges(path)
         self.ranks, self.tokens = self.merges.ranks, self.merges.tokens
-        self.split, self.store = regex.compile(pattern).findall, store
+        self.pattern, self.store = regex.compile(pattern), store
+        self.split = self.pattern.findall
         self.known: dict[str, bytes] = {}
 
     def learn(self, fresh: set[str]) -> None:
@@ -178,6 +182,11 @@ class Encoder:
             group, size = [], 0
 
         for t in texts:
+            if t and len(t) > LONG:  # the pieces of a very long text come in blocks
+                if group:
+                    close()
+                out.append(b"".join(self.blocks(t)))
+                continue
             group.append(self.split(t) if t else [])
             size += len(t or "")
             if size > 1_000_000:
@@ -186,6 +195,14 @@ class Encoder:
             close()
         return out
 
+    def blocks(self, text: str, size: int = 200_000) -> Iterator[bytes]:
+        found = (m.group() for m in self.pattern.finditer(text))
+        while block := list(islice(found, size)):
+            if len(self.known) > self.store:
+                self.known.clear()
+            self.learn(set(block).difference(self.known))
+            yield b"".join(map(self.known.__getitem__, block))
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -19,7 +19,7 @@ result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     hash_ = xxhash.xxh64_intdigest
     grams = [" ".join(words)] if len(words) < shingle else map(" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    hashes = [hash_(g, SEED) for g in grams]
-    total, n = np.zeros(64, np.int64), len(hashes)
-    for at in range(0, n, 65_536):
-        bits = np.unpackbits(np.array(hashes[at : at + 65_536], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        total += bits.sum(0, dtype=np.int64)
+    grams, total, n = iter(grams), np.zeros(64, np.int64), 0
+    while block := [hash_(g, SEED) for g in islice(grams, 65_536)]:
+        total += np.unpackbits(np.array(block, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(block)
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 

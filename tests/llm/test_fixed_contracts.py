@@ -100,6 +100,14 @@ def test_replay_equals_the_library(tik):
         assert enc.decode(ids) == (t or "").encode()
 
 
+def test_long_texts_in_blocks(tik, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LONG", 500)
+    enc = byte_bpe.Encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, store=50)
+    t = "It's a long text with  blanks, 123 numbers\n\n and ünïcode. " * 40
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(["x", t, None])] == [tik.encode_ordinary("x"), tik.encode_ordinary(t), []]
+    assert np.frombuffer(b"".join(enc.blocks(t, 7)), "<u4").tolist() == tik.encode_ordinary(t)
+
+
 def test_bpe_table_and_round_trip(spark, sf, tik, docs):
     got = {r["doc_id"]: r for r in QUERIES["op3_byte_bpe"](spark, sf).collect()}
     for r in read(spark, sf, "documents").collect():
