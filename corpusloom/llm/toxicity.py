@@ -20,16 +20,21 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.graph import checkpointed
+
 from .common import WORD, bucket, fold_rows, map_rows, read
 
 BINS = 1 << 18
 EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_"
 LEVELS = 64
+LABEL_BITS = 1 << 23
 
 
 class Hasher:
@@ -51,17 +56,36 @@ class Hasher:
         return out
 
 
-def count_words(rows: DataFrame, *, text_col: str = "text", label_col: str = "toxic") -> np.ndarray:
+def pack(bins: list[int]) -> bytes:
+    """A document's bins, compressed: byte planes of 32-bit integers, first all low bytes, then the next."""
+    return zlib.compress(np.array(bins, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def with_bins(rows: DataFrame, *, text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Packed bins and label of texts with a label."""
+
+    def make():
+        hasher = Hasher()
+        return lambda texts: [[pack(hasher.bins(t)) for t in texts]]
+
+    rows = rows.where(F.col(label_col).isNotNull())
+    return map_rows(rows, [F.col(label_col).cast("int").alias("label"), F.col(text_col)], make, "bins binary", 1)
+
+
+def count_words(rows: DataFrame) -> np.ndarray:
     """(2, BINS): documents with the word, by label, over all rows; the table's size is fixed."""
 
     def make():
         total = np.zeros((2, BINS), np.int64)
-        hasher = Hasher()
 
-        def take(texts, labels):
-            for t, y in zip(texts, labels, strict=True):
-                if b := hasher.bins(t):
-                    total[1 if y else 0, np.unique(b)] += 1
+        def take(packed, labels):
+            for x, y in zip(packed, labels, strict=True):
+                total[1 if y else 0, np.unique(unpack(x))] += 1
             yield from ()
 
         def finish():
@@ -71,7 +95,7 @@ def count_words(rows: DataFrame, *, text_col: str = "text", label_col: str = "to
 
         return take, finish
 
-    counted = fold_rows(rows, [F.col(text_col), F.col(label_col)], make, "y int, bin int, n long").groupBy("y", "bin").agg(F.sum("n").alias("n"))
+    counted = fold_rows(rows, [F.col("bins"), F.col("label")], make, "y int, bin int, n long").groupBy("y", "bin").agg(F.sum("n").alias("n"))
     out = np.zeros((2, BINS), np.int64)
     for y, b, n in counted.toLocalIterator():
         out[y, b] = n
@@ -82,6 +106,8 @@ def word_scores(counts: np.ndarray, *, prior: float = 1000.0, flat: float = 0.5,
     """Score of each bin: its log-odds of label 1 less one standard error, where they are above ``sure`` standard errors and
     above ``least``; -``step`` elsewhere. The Dirichlet prior is ``prior`` words (a tenth of the corpus at most) dealt as in the whole corpus, and ``flat`` each."""
     both = counts.sum(0).astype(float)
+    if not both.any():
+        return np.full(len(both), -step, np.float32)
     prior = min(prior, 0.1 * both.sum())
     alpha = prior * both / max(1.0, both.sum()) + flat
     n0, n1 = counts[0].astype(float), counts[1].astype(float)
@@ -137,9 +163,9 @@ def solve_lambda(scores: np.ndarray, weights: np.ndarray) -> float:
     return hi
 
 
-def evidence(bins: list[int], scores: np.ndarray, lam: float, log_k: float) -> tuple[float, list[tuple[int, int, float]]]:
+def evidence(bins: list[int] | np.ndarray, scores: np.ndarray, lam: float, log_k: float) -> tuple[float, list[tuple[int, int, float]]]:
     """Sum of -ln chance over the significant passages, and those passages (word positions)."""
-    if not bins:
+    if not len(bins):
         return 0.0, []
     s = scores[bins]
     if not (s > 0).any():
@@ -155,21 +181,22 @@ def evidence(bins: list[int], scores: np.ndarray, lam: float, log_k: float) -> t
 
 
 def fit(rows: DataFrame, *, text_col: str = "text", label_col: str = "toxic", **options) -> dict:
-    """The model: word scores, lambda, K and the calibrated levels. rows: text and label, all of the training rows."""
-    rows = rows.where(F.col(label_col).isNotNull())
-    counts = count_words(rows, text_col=text_col, label_col=label_col)
+    """The model: word scores, lambda, K and the calibrated levels. rows: all of the training rows, as text and label or as ``labelled``
+    gives them."""
+    if "bins" not in rows.columns:
+        rows = with_bins(rows, text_col=text_col, label_col=label_col)
+    counts = count_words(rows)
     scores = word_scores(counts, **options)
     lam = solve_lambda(scores, counts[0].astype(float) + 1e-12)
 
     def gather():
-        hasher = Hasher()
         tops: dict[int, int] = {}
 
-        def take(texts, labels):
-            for t, y in zip(texts, labels, strict=True):
-                b = hasher.bins(t)
-                if b and not y:
-                    best = max((x for _, _, x in segments(scores[b].astype(float).tolist())), default=0.0)
+        def take(packed, labels):
+            for x, y in zip(packed, labels, strict=True):
+                b = unpack(x)
+                if len(b) and not y:
+                    best = max((top for _, _, top in segments(scores[b].astype(float).tolist())), default=0.0)
                     tops[level(lam * best - math.log(len(b)))] = tops.get(level(lam * best - math.log(len(b))), 0) + 1
             yield from ()
 
@@ -179,18 +206,17 @@ def fit(rows: DataFrame, *, text_col: str = "text", label_col: str = "toxic", **
         return take, finish
 
     # of a Gumbel variable exp(-x) is exponential, so the mean of exp(-(lambda S - ln n)) over ordinary documents gives 1 / K
-    tops = fold_rows(rows, [F.col(text_col), F.col(label_col)], gather, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
+    tops = fold_rows(rows, [F.col("bins"), F.col("label")], gather, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
     n = sum(r["n"] for r in tops)
     log_k = -math.log(sum(r["n"] * math.exp(-r["level"] / 4) for r in tops) / n) if n else 0.0
     model = {"scores": scores, "lam": lam, "log_k": log_k, "levels": np.zeros(LEVELS)}
 
     def levels():
-        hasher = Hasher()
         seen = np.zeros((2, LEVELS), np.int64)
 
-        def take(texts, labels):
-            for t, y in zip(texts, labels, strict=True):
-                seen[1 if y else 0, place(evidence(hasher.bins(t), scores, lam, log_k)[0])] += 1
+        def take(packed, labels):
+            for x, y in zip(packed, labels, strict=True):
+                seen[1 if y else 0, place(evidence(unpack(x), scores, lam, log_k)[0])] += 1
             yield from ()
 
         def finish():
@@ -199,7 +225,7 @@ def fit(rows: DataFrame, *, text_col: str = "text", label_col: str = "toxic", **
         return take, finish
 
     table = np.zeros((2, LEVELS))
-    for r in fold_rows(rows, [F.col(text_col), F.col(label_col)], levels, "y int, level int, n long").groupBy("y", "level").agg(F.sum("n").alias("n")).collect():
+    for r in fold_rows(rows, [F.col("bins"), F.col("label")], levels, "y int, level int, n long").groupBy("y", "level").agg(F.sum("n").alias("n")).collect():
         table[r["y"], r["level"]] = r["n"]
     if table.sum():
         model["levels"] = monotone(table)
@@ -257,9 +283,35 @@ def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep=None) ->
     return map_rows(docs, [*keep, F.col(text_col).alias("_text")], make, "score double, predicted int, passages array<struct<start:int,end:int,odds:double>>", len(keep))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Packed bins and label of the documents that have one, as a checkpoint that the training scans share.
+
+    A bitmap of fixed size over the labels' hashed ids drops documents without label before the join, so that hardly anything
+    else is shuffled, and no text at all; the join itself is exact.
+    """
+    labels = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("label"))
+    slot = F.pmod(F.xxhash64(id_col), F.lit(LABEL_BITS)).cast("int")
+    held = np.zeros(LABEL_BITS, bool)
+    for r in labels.select(slot.alias("s")).distinct().toLocalIterator():
+        held[r[0]] = True
+    bitmap = np.packbits(held).tobytes()
+    src = docs.select(id_col, slot.alias("slot"), F.col(text_col).alias("text"))
+    kind = src.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hasher = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool), Hasher()
+        for b in batches:
+            may_be = b.filter(pa.array(bits[b.column(1).to_numpy()]))
+            packed = pa.array([pack(hasher.bins(t)) for t in may_be.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([may_be.column(0), packed], names=[id_col, "bins"])
+
+    rows = src.mapInArrow(run, f"{id_col} {kind}, bins binary").join(labels, id_col)
+    return checkpointed(docs.sparkSession, rows.select("bins", "label"))
+
+
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = bucket(F.col("doc_id"), 5) == 0
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = fit(docs.where(~held_out).join(labels, "doc_id"))
+    model = fit(labelled(docs.where(~held_out), labels.where(~held_out)))
     return score(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")]).drop("passages")
