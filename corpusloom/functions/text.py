@@ -168,43 +168,55 @@ def simple_sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
-def readability(c: Column) -> dict[str, Column]:
-    """Columns word_count, sentence_count, flesch_reading_ease, flesch_kincaid_grade (1 place) and level."""
+def let(c: Column, fn) -> Column:
+    """fn of the column's value, which is computed once even where fn uses it many times."""
+    return F.transform(F.array(c), fn)[0]
+
+
+def readability(c: Column) -> Column:
+    """Struct of word_count, sentence_count, flesch_reading_ease, flesch_kincaid_grade (1 place) and level."""
     text = F.trim(F.coalesce(c, F.lit("")))
-    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z']+"), F.lit(0))
-    n = F.size(words)
-    parts = F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
-    s = F.greatest(F.size(parts), F.lit(1))
 
     def syllables(w: Column) -> Column:
         low = F.lower(w)
-        groups = F.regexp_count(low, F.lit("[aeiouy]+"))
-        return F.greatest(groups - F.when(low.endswith("e") & (groups > 1), 1).otherwise(0), F.lit(1))
-
-    total = F.aggregate(words, F.lit(0), lambda a, w: a + syllables(w))
-    wps, spw = n / s, total / n
-    ease = F.lit(206.835) - F.lit(1.015) * wps - F.lit(84.6) * spw
-    grade = F.lit(0.39) * wps + F.lit(11.8) * spw - F.lit(15.59)
-    some = n > 0
-    level = F.when(~some, "N/A").when(ease >= 70, "Easy").when(ease >= 50, "Standard").when(ease >= 30, "Difficult").otherwise("Very difficult")
-    return {
-        "word_count": n, "sentence_count": F.when(some, s).otherwise(0), "flesch_reading_ease": F.when(some, F.round(ease, 1)),
-        "flesch_kincaid_grade": F.when(some, F.round(F.greatest(grade, F.lit(0.0)), 1)), "level": level,
-    }
-
-
-def loaded_language(c: Column) -> dict[str, Column]:
-    """Distinct loaded terms by kind, their density per 100 words (2 places) and level."""
+        return let(F.regexp_count(low, F.lit("[aeiouy]+")), lambda g: F.greatest(g - F.when(low.endswith("e") & (g > 1), 1).otherwise(0), F.lit(1)))
+
+    def measured(w: Column) -> Column:
+        parts = F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
+        return F.struct(F.size(w).alias("n"), F.greatest(F.size(parts), F.lit(1)).alias("s"), F.aggregate(w, F.lit(0), lambda t, x: t + syllables(x)).alias("t"))
+
+    def scored(m: Column) -> Column:
+        wps, spw = m["n"] / m["s"], m["t"] / m["n"]
+        ease = F.lit(206.835) - F.lit(1.015) * wps - F.lit(84.6) * spw
+        grade = F.lit(0.39) * wps + F.lit(11.8) * spw - F.lit(15.59)
+        some = m["n"] > 0
+        level = F.when(~some, "N/A").when(ease >= 70, "Easy").when(ease >= 50, "Standard").when(ease >= 30, "Difficult").otherwise("Very difficult")
+        return F.struct(
+            m["n"].alias("word_count"), F.when(some, m["s"]).otherwise(0).alias("sentence_count"), F.when(some, F.round(ease, 1)).alias("flesch_reading_ease"),
+            F.when(some, F.round(F.greatest(grade, F.lit(0.0)), 1)).alias("flesch_kincaid_grade"), level.alias("level"),
+        )
+
+    return let(let(F.regexp_extract_all(text, F.lit(r"[A-Za-z']+"), F.lit(0)), measured), scored)
+
+
+def loaded_language(c: Column) -> Column:
+    """Struct of the density of distinct loaded terms per 100 words (2 places), its level, and the terms by kind."""
     text = F.coalesce(c, F.lit(""))
-    low = F.lower(text)
-    found = lambda terms: F.filter(F.array(*(F.when(low.rlike(rf"\b{t}\b"), F.lit(t)) for t in terms)), lambda t: t.isNotNull())
-    a, e, h = found(ABSOLUTIST), found(EMOTIONAL), found(HEDGING)
-    k = sum((F.when(text.rlike(f"(?i){p}"), 1).otherwise(0) for p in CLICKBAIT), F.lit(0))
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    words = F.when(flat == "", 1).otherwise(F.size(F.split(flat, " ")))
-    density = F.round((F.size(a) + F.size(e) + F.size(h) + k) / words * 100, 2)
-    level = F.when(density >= 3, "High").when(density >= 1, "Moderate").otherwise("Low")
-    return {"density_per_100_words": density, "level": level, "absolutist_terms": a, "emotional_terms": e, "hedging_phrases": h, "clickbait_patterns_matched": k}
+
+    def found(low: Column, terms: tuple[str, ...]) -> Column:
+        return F.filter(F.array(*(F.when(low.rlike(rf"\b{t}\b"), F.lit(t)) for t in terms)), lambda t: t.isNotNull())
+
+    def terms(low: Column) -> Column:
+        k = sum((F.when(text.rlike(f"(?i){p}"), 1).otherwise(0) for p in CLICKBAIT), F.lit(0))
+        words = let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda f: F.when(f == "", 1).otherwise(F.size(F.split(f, " "))))
+        return F.struct(found(low, ABSOLUTIST).alias("a"), found(low, EMOTIONAL).alias("e"), found(low, HEDGING).alias("h"), k.alias("k"), words.alias("w"))
+
+    def scored(m: Column) -> Column:
+        density = F.round((F.size(m["a"]) + F.size(m["e"]) + F.size(m["h"]) + m["k"]) / m["w"] * 100, 2)
+        level = F.when(density >= 3, "High").when(density >= 1, "Moderate").otherwise("Low")
+        return F.struct(density.alias("density_per_100_words"), level.alias("level"), m["a"].alias("absolutist_terms"), m["e"].alias("emotional_terms"), m["h"].alias("hedging_phrases"), m["k"].alias("clickbait_patterns_matched"))
+
+    return let(let(F.lower(text), terms), scored)
 
 
 def tone(compound: Column) -> Column:
@@ -220,11 +232,6 @@ def words_of(c: Column) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
-def let(c: Column, fn) -> Column:
-    """fn of the column's value, which is computed once even where fn's lambdas use it many times."""
-    return F.transform(F.array(c), fn)[0]
-
-
 def word_chunks(c: Column, size: int = 180, overlap: int = 40) -> Column:
     """Windows of ``size`` words, each ``size - overlap`` on; the last is the first to reach the end. No words: no chunk."""
     step = size - overlap

@@ -50,7 +50,7 @@ READ = f"""w AS (SELECT doc_id, text, regexp_extract_all(trim(text), '[A-Za-z'']
 
 @query("readability", f"WITH {READ} SELECT doc_id, n AS word_count, s AS sentence_count, CASE WHEN n = 0 THEN NULL ELSE round(ease, 1) END AS flesch_reading_ease, CASE WHEN n = 0 THEN NULL ELSE round(greatest(grade, 0), 1) END AS flesch_kincaid_grade, CASE WHEN n = 0 THEN 'N/A' WHEN ease >= 70 THEN 'Easy' WHEN ease >= 50 THEN 'Standard' WHEN ease >= 30 THEN 'Difficult' ELSE 'Very difficult' END AS level FROM e", ints=("word_count", "sentence_count"))
 def readability(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *(c.alias(k) for k, c in tx.readability(F.col("text")).items()))
+    return table(spark, sf, "documents").select("doc_id", tx.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 def _sql_terms(terms):
@@ -63,8 +63,8 @@ LOADED = "l AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Everyone ALWAYS sa
 @query("loaded_language", f"WITH {LOADED}, n AS (SELECT doc_id, {_sql_terms(lexicon.ABSOLUTIST)} AS a, {_sql_terms(lexicon.EMOTIONAL)} AS e, {_sql_terms(lexicon.HEDGING)} AS h, " + " + ".join("CAST(regexp_matches(t, '(?i)" + p + "') AS INT)" for p in lexicon.CLICKBAIT) + f" AS k, greatest(len(string_split({FLAT.format('t')}, ' ')), 1) AS w FROM l), d AS (SELECT *, round((a + e + h + k)::DOUBLE / w * 100, 2) AS density FROM n) SELECT doc_id, density AS density_per_100_words, CASE WHEN density >= 3 THEN 'High' WHEN density >= 1 THEN 'Moderate' ELSE 'Low' END AS level, a AS n_absolutist, e AS n_emotional, h AS n_hedging, k AS clickbait FROM d")
 def loaded_language(spark, sf):
     head = F.when(F.col("doc_id") % 3 == 0, "Everyone ALWAYS says so, shocking chaos. ").when(F.col("doc_id") % 3 == 1, "Some say this one trick is proof that doctors hate it: ").otherwise("")
-    r = tx.loaded_language(F.concat(head, "text"))
-    return table(spark, sf, "documents").select("doc_id", r["density_per_100_words"].alias("density_per_100_words"), r["level"].alias("level"), F.size(r["absolutist_terms"]).alias("n_absolutist"), F.size(r["emotional_terms"]).alias("n_emotional"), F.size(r["hedging_phrases"]).alias("n_hedging"), r["clickbait_patterns_matched"].alias("clickbait"))
+    r = table(spark, sf, "documents").select("doc_id", tx.loaded_language(F.concat(head, "text")).alias("r")).select("doc_id", "r.*")
+    return r.select("doc_id", "density_per_100_words", "level", F.size("absolutist_terms").alias("n_absolutist"), F.size("emotional_terms").alias("n_emotional"), F.size("hedging_phrases").alias("n_hedging"), F.col("clickbait_patterns_matched").alias("clickbait"))
 
 
 WORDS = f"w AS (SELECT doc_id, CASE WHEN {FLAT.format('text')} = '' THEN [] ELSE string_split({FLAT.format('text')}, ' ') END AS w FROM documents)"
