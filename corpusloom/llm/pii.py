@@ -1,14 +1,16 @@
 """PII: fixed patterns, and information-theoretic sanitisation of the terms that give a protected value away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers. Each distinct value is a
-protected entity e. A term t is a word in an entity's context (``context`` words either side). Over the whole corpus the
-entity occurs in df(e) documents, the term in df(t), both together (t in e's context) in df(e, t) of n. The
-information e carries is IC(e) = -log(df(e) / n); t discloses PMI(e; t) = log(n df(e, t) / (df(e) df(t))) of it. Where
-that share reaches ``remove`` the term is removed, where it reaches ``generalise`` it is generalised to its shape, beside
-that entity. Terms seen with the entity in fewer than ``min_joint`` documents say nothing yet and stay.
+protected entity e; a term t is a word outside the base spans. Over the whole corpus the entity occurs in df(e) documents,
+the term in df(t), both in the same document in df(e, t) of n. The information e carries is IC(e) = -log(df(e) / n); t
+discloses PMI(e; t) = log(P(t | e) / P(t)) of it, with P(t) = df(t) / n and P(t | e) = (df(e, t) + prior P(t)) / (df(e) +
+prior), so that values seen once or twice count, with less certainty. Where that share reaches ``remove`` the term is
+removed, where it reaches ``generalise`` it is generalised to its shape, in every document that has both.
 
-df(t) is counted for candidate terms only: a bitmap of fixed size (``BITS``) over their hashes, united on the driver,
-tells the scan which words to count; words that collide are counted too and fall out of the exact join.
+Entities that occur in the same documents have the same shares and count as one class, named by an xor of row hashes;
+a class of one document needs no count of pairs. Terms are 64-bit hashes. df(t) is counted over all documents, for the
+terms of documents with entities: a bitmap of fixed size (``BITS``) over their hashes tells the scan which words to count;
+others whose bits collide are counted too and fall out of the exact join.
 
 Null and empty texts have no spans. Repeated rows count as documents and get equal results; ties between spans are
 broken by the order of kinds; other columns are ignored; an empty table gives an empty result.
@@ -88,47 +90,67 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{re.sub('[^0-9]', '', value)}"
 
 
-def context_terms(text: str, spans: list[tuple[int, int, int, str]], context: int) -> list[tuple[int, str, int, int]]:
-    """(span's place, term, start, end) for the words within ``context`` words of each span, other spans aside."""
-    covered = [(s, e) for s, _, e, _ in spans]
-    out = []
-    for k, (s, _, e, _) in enumerate(spans):
-        for words in (_before(text, s, context), _after(text, e, context)):
-            for a, b in words:
-                w = text[a:b]
-                left = len(w) - len(w.lstrip(EDGE))
-                term = w.strip(EDGE)
-                a, b = a + left, a + left + len(term)
-                if any(c.isalpha() for c in term) and not any(x < b and a < y for x, y in covered):
-                    out.append((k, term.lower(), a, b))
-    return out
+def term_hash(word: str) -> int | None:
+    """Signed 64-bit hash of a word's term (without edges, in lower case); None without a letter."""
+    term = word.strip(EDGE).lower()
+    if not any(c.isalpha() for c in term):
+        return None
+    h = xxhash.xxh64_intdigest(term)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def document_terms(text: str, spans: list[tuple[int, int, int, str]]) -> tuple[list[int], list[int], list[int]]:
+    """(hashes, starts, ends) of the terms of a whole text, in order; words that overlap a span are none."""
+    hashes, starts, ends = [], [], []
+    covered = sorted((s, e) for s, _, e, _ in spans)
+    k, reach = 0, 0
+    for m in WORD.finditer(text):
+        w = m.group()
+        a = m.start() + len(w) - len(w.lstrip(EDGE))
+        b = a + len(w.strip(EDGE))
+        while k < len(covered) and covered[k][0] < b:
+            reach = max(reach, covered[k][1])
+            k += 1
+        if a < reach or (h := term_hash(w)) is None:
+            continue
+        hashes.append(h), starts.append(a), ends.append(b)
+    return hashes, starts, ends
 
 
-def _after(text: str, at: int, n: int) -> list[tuple[int, int]]:
-    out = []
-    for m in WORD.finditer(text, at):
-        if m.start() > at or at == 0 or text[at - 1 : at].isspace():  # a word that touches the span is part of it
-            out.append(m.span())
-        if len(out) == n:
-            break
-    return out
+def document_counts(docs: DataFrame, text_col: str, slots: np.ndarray) -> DataFrame:
+    """term, df_term over all documents, for the terms whose hash has a slot in ``slots`` at least."""
+    held = np.zeros(BITS, bool)
+    held[slots] = True
+    bitmap = np.packbits(held, bitorder="little").tobytes()
+
+    def make():
+        total: Counter = Counter()
+        known: dict[str, int | None] = {}
+
+        def candidate(w: str) -> int | None:
+            if len(known) > 300_000:
+                known.clear()
+            h = term_hash(w)
+            known[w] = h = h if h is not None and bitmap[(h % BITS) >> 3] >> (h & 7) & 1 else None
+            return h
+
+        def take(texts):
+            for t in texts:
+                here = {h for w in set(WORD.findall(t)) if (h := known[w] if w in known else candidate(w)) is not None} if t else ()
+                total.update(here)
+                if len(total) > 200_000:
+                    yield from total.items()
+                    total.clear()
+
+        def finish():
+            yield from total.items()
 
+        return take, finish
 
-def _before(text: str, at: int, n: int) -> list[tuple[int, int]]:
-    size = 40 * n
-    while True:  # looks back as far as n words need
-        lo = max(0, at - size)
-        words = [m.span() for m in WORD.finditer(text, lo, at)]
-        if lo and words and words[0][0] == lo:
-            words = words[1:]  # cut at the front
-        if words and words[-1][1] == at:
-            words = words[:-1]  # touches the span
-        if len(words) >= n or lo == 0:
-            return words[-n:]
-        size *= 4
+    return fold_rows(docs, [F.col(text_col)], make, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
 
 
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", context: int = 3, min_joint: int = 3, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
+def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
     """key, doc_id and spans: array of (start, end, kind, action), one row per input row.
 
     key identifies a row by its id and text, for ``sanitise``.
@@ -138,75 +160,55 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def make():
         def fn(texts):
-            spans, terms = [], []
+            cols: list[list] = [[] for _ in range(5)]
             for t in texts:
                 found = base_spans(t)
-                spans.append([{"start": s, "end": e, "kind": k} for s, _, e, k in found])
-                names = [entity(k, t[s:e]) for s, _, e, k in found]
-                terms.append([{"entity": names[k], "term": w, "start": a, "end": b} for k, w, a, b in context_terms(t, found, context)] if found else [])
-            return [spans, terms]
+                cols[0].append([{"start": s, "end": e, "kind": k} for s, _, e, k in found])
+                cols[1].append(sorted({entity(k, t[s:e]) for s, _, e, k in found}))
+                for c, x in zip(cols[2:], document_terms(t, found) if found else ([], [], []), strict=True):
+                    c.append(x)
+            return cols
 
         return fn
 
-    schema = "base array<struct<start:int,end:int,kind:string>>, terms array<struct<entity:string,term:string,start:int,end:int>>"
-    base = checkpointed(spark, map_rows(docs, [key.alias("key"), F.col(id_col), F.col(text_col)], make, schema, 2))
+    schema = "base array<struct<start:int,end:int,kind:string>>, entities array<string>, terms array<long>, starts array<int>, ends array<int>"
+    base = map_rows(docs, [key.alias("key"), F.col(id_col), F.col(text_col)], make, schema, 2)
+    base = checkpointed(spark, base.withColumn("row", F.monotonically_increasing_id()))
     n_docs = base.count()
-    # one row per document, entity and term
-    seen = base.select("key", F.monotonically_increasing_id().alias("row"), F.explode("terms").alias("t")).select("key", "row", "t.*")
-    joint = seen.groupBy("entity", "term").agg(F.count_distinct("row").alias("both")).where(F.col("both") >= min_joint)
-    joint = checkpointed(spark, joint)
-    words = joint.select("term").distinct()
-    held = np.zeros(BITS, bool)
-    slots = F.pmod(F.xxhash64("term"), F.lit(BITS))
-    for r in words.select(slots.alias("slot")).distinct().toLocalIterator():
-        held[r[0]] = True
-    bitmap = np.packbits(held).tobytes() if held.any() else b""
-
-    def count():
-        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool) if bitmap else None
-        total: Counter = Counter()
-        known: dict[str, bool] = {}
-
-        def is_candidate(w: str) -> bool:
-            if len(known) > 300_000:
-                known.clear()
-            term = w.strip(EDGE).lower()
-            h = xxhash.xxh64_intdigest(term, 42)
-            known[w] = hit = bool(bits[(h - (1 << 64) if h >> 63 else h) % BITS])
-            return hit
-
-        def take(texts):
-            if bits is None:
-                return
-            get = known.get
-            for t in texts:
-                here = {w for w in set(WORD.findall(t)) if (x if (x := get(w)) is not None else is_candidate(w))} if t else ()
-                total.update({w.strip(EDGE).lower() for w in here})
-                if len(total) > 200_000:
-                    yield from total.items()
-                    total.clear()
-
-        def finish():
-            yield from total.items()
+    here = base.where(F.size("entities") > 0)
+    slots = here.select(F.explode("terms").alias("term")).select(F.pmod("term", F.lit(BITS)).alias("slot")).distinct()
+    df_term = document_counts(docs, text_col, slots.toArrow().column(0).to_numpy())  # BITS rows at most
+
+    occurs = here.select("row", F.explode("entities").alias("entity"))
+    named = occurs.groupBy("entity").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("row")).alias("sig"))
+    classes = occurs.join(named.where(F.col("df") < n_docs), "entity").select("row", "df", "sig").distinct()
+    pairs = here.select("row", F.array_distinct("terms").alias("terms")).join(classes, "row").select("row", "df", "sig", F.explode("terms").alias("term"))
+    n = F.lit(float(max(n_docs, 1)))
+    p = F.col("df_term") / n
+    share = F.log((F.col("both") + prior * p) / (F.col("df") + prior) / p) / F.log(n / F.col("df"))
+    action = F.when(share >= remove, "remove").when(share >= generalise, "generalise")
+    # a class of one document has each of its terms once
+    once = pairs.where("df = 1").withColumn("both", F.lit(1)).join(df_term, "term").select("row", "term", action.alias("action")).where("action IS NOT NULL")
+    often = pairs.where("df > 1")
+    joint = often.groupBy("df", "sig", "term").agg(F.count("*").alias("both")).join(df_term, "term").select("df", "sig", "term", action.alias("action")).where("action IS NOT NULL")
+    told = once.unionByName(often.join(checkpointed(spark, joint), ["df", "sig", "term"]).select("row", "term", "action"))
+    told = told.groupBy("row").agg(F.collect_list("term").alias("told"), F.collect_list("action").alias("actions"))
+
+    def place():
+        def fn(bases, terms, starts, ends, tolds, actions):
+            out = []
+            for found, hs, ss, es, told_, acts in zip(bases, terms, starts, ends, tolds, actions, strict=True):
+                do: dict[int, str] = {}
+                for h, x in zip(told_ or (), acts or (), strict=True):
+                    do[h] = max(x, do.get(h, x))
+                spans = [s | {"action": "mask"} for s in found]
+                out.append(spans + [{"start": s, "end": e, "kind": "term", "action": do[h]} for h, s, e in zip(hs, ss, es, strict=True) if h in do])
+            return [out]
 
-        return take, finish
+        return fn
 
-    if bitmap:
-        df_term = fold_rows(docs, [F.col(text_col)], count, "term string, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
-    else:
-        df_term = spark.createDataFrame([], "term string, df_term long")
-    wanted = joint.select("entity").distinct()
-    occurs = base.select(F.monotonically_increasing_id().alias("row"), F.explode("terms").alias("t")).select("row", "t.entity").distinct()
-    df_entity = occurs.join(wanted, "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("df_entity"))
-    n = F.lit(float(max(n_docs, 1)))
-    share = F.log(n * F.col("both") / (F.col("df_entity") * F.col("df_term"))) / F.log(n / F.col("df_entity"))
-    told = joint.join(df_term, "term").join(df_entity, "entity").where(F.col("df_entity") < n).withColumn("share", share).where(F.col("share") >= generalise)
-    told = told.select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
-    added = seen.drop("row").distinct().join(told, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("action").alias("action"))
-    added = added.groupBy("key").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), "action")).alias("more"))
-    spans = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit("mask").alias("action")))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,action:string>>")
-    return base.select("key", id_col, spans.alias("spans")).join(added, "key", "left").select("key", id_col, F.concat("spans", F.coalesce("more", none)).alias("spans"))
+    columns = [F.col(c) for c in ("key", id_col, "base", "terms", "starts", "ends", "told", "actions")]
+    return map_rows(base.join(told, "row", "left"), columns, place, "spans array<struct<start:int,end:int,kind:string,action:string>>", 2)
 
 
 def redact(text: str, spans: list) -> str:

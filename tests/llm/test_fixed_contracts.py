@@ -221,3 +221,35 @@ def test_disclosing_terms_go(spark, docs):
     assert clean[40] == common and clean[66] is None and clean[67] == ""
     empty = pii.sanitise(docs("x").limit(0))
     assert empty.count() == 0 and empty.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_values_seen_once_or_twice_have_disclosing_terms(spark, docs):
+    """Against the shares counted in plain Python; the name stands far from its value, in one document or two."""
+    rng = random.Random(3)
+    common = [f"word{k}x" for k in range(40)]
+    texts = [" ".join(rng.sample(common, 30)) for _ in range(400)]
+    texts[7] = "Zebediah Quux, " + texts[7] + " zeb@corp.example.com"
+    texts[8] = "Ottoline " + texts[8] + " 10.1.2.3 and " + texts[9] + " ott@corp.example.com"
+    texts[9] = "ott@corp.example.com " + texts[9] + " (ottoline)"
+    texts += [None, ""]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(*texts)).collect()}
+    assert "Zebediah" not in clean[7] and "Quux" not in clean[7] and "[EMAIL]" in clean[7]
+    assert "ttoline" not in clean[8] and "ttoline" not in clean[9] and "[IP]" in clean[8]
+    assert all(clean[k] == t for k, t in enumerate(texts) if k not in (7, 8, 9))
+
+    seen = [(pii.base_spans(t), {w.strip(pii.EDGE).lower() for w in (t or "").split()}) for t in texts]
+    values = [{pii.entity(k, t[s:e]) for s, _, e, k in spans} for t, (spans, _) in zip(texts, seen)]
+    n = len(texts)
+    for r in pii.find_pii(docs(*texts)).collect():
+        t, want = texts[r["doc_id"]], {}
+        for e in values[r["doc_id"]]:
+            for m in re.finditer(r"\S+", t):
+                w = m[0].strip(pii.EDGE)
+                df_e, p = sum(e in v for v in values), sum(w.lower() in ws for _, ws in seen) / n
+                both = sum(e in v and w.lower() in ws for v, (_, ws) in zip(values, seen))
+                share = np.log((both + 0.5 * p) / (df_e + 0.5) / p) / np.log(n / df_e)
+                if re.search("[a-z]", w) and "@" not in w and share >= 0.75:
+                    at = t.index(w, m.start()), w
+                    want[at] = max(want.get(at, ""), "remove" if share >= 0.95 else "generalise")
+        got = {(s["start"], t[s["start"] : s["end"]]): s["action"] for s in r["spans"] if s["kind"] == "term"}
+        assert got == want
