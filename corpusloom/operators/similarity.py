@@ -79,9 +79,23 @@ def similarity_join(vectors: DataFrame, threshold: float, id_col: str = "id", ve
     return _block_pairs(vectors, id_col, vec_col, block_rows).groupBy("i", "j").applyInPandas(pairs, "a long, b long, similarity double")
 
 
-def candidate_join(vectors: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", dim: int = 64, tables: int = 16, bits: int = 12, seed: int = 3) -> DataFrame:
-    """Pairs (a < b) that meet in a bucket of random hyperplanes and reach the threshold: near-linear, and may miss pairs far
-    from 1 (a pair at angle t meets in a table with chance (1 - t / pi) ** bits)."""
+def tables_for(threshold: float, recall: float, bits: int) -> float:
+    """Hash tables with which a pair at the threshold meets with chance ``recall``; inf where it never does."""
+    met = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if met >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-met)) if met > 1e-12 else math.inf
+
+
+def candidate_join(vectors: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", dim: int = 64, tables: int = 16, bits: int = 12, seed: int = 3, recall: float = 0.95, most_tables: int = 64) -> DataFrame:
+    """Pairs (a < b) that reach the threshold: near-linear for thresholds near 1, by buckets of random hyperplanes.
+
+    A pair at angle t meets in a table with chance (1 - t / pi) ** bits. As many tables are used (``tables`` at least) as a pair
+    at the threshold needs to meet with chance ``recall``; where that takes over ``most_tables`` (at 12 bits and .95, for
+    thresholds under about .76), the exact join is cheaper and gives all pairs.
+    """
+    needed = tables_for(threshold, recall, bits)
+    if needed > most_tables:
+        return similarity_join(vectors, threshold, id_col, vec_col)
+    tables = max(tables, needed)
     planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
 
     @F.pandas_udf("array<long>")

@@ -101,6 +101,25 @@ def test_candidate_join_recall(spark):
     assert all(r["group_id"] == r["id"] % 300 for r in groups if r["size"] == 2)
 
 
+def test_candidate_join_recall_below_near_duplicates(spark):
+    """The registered query has every pair of the exact join; middle thresholds get the tables that they need."""
+    from corpusloom.plans import registry
+
+    registry.load()
+    sf = "/root/testdata/sf0.01"
+    exact = {(r["a"], r["b"]): r["similarity"] for r in registry.QUERIES["similarity_join"](spark, sf).collect()}
+    near = {(r["a"], r["b"]): round(r["similarity"], 6) for r in registry.QUERIES["candidate_join"](spark, sf).collect()}
+    assert exact and near == exact
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 64))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.75])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
+    want = {(r["a"], r["b"]) for r in sim.similarity_join(df, 0.77).collect()}
+    got = {(r["a"], r["b"]) for r in sim.candidate_join(df, 0.77).collect()}
+    assert len(want) >= 200 and got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_small_helpers(spark):
     assert scrub({"a": "x" * 9000, "b": list(range(500))}) == {"a": "x" * 8000, "b": list(range(200))}
     pos = force_layout(5, [(0, 1, 1.0), (1, 2, 0.5)])
