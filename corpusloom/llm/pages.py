@@ -4,9 +4,11 @@ The standard library's parser streams events over the page; block-level tags end
 with the tags it has. Each line's ratio of text to tags (link text aside) is smoothed with a Gaussian over its
 neighbours; lines above the threshold (a share of the ratios' deviation) form the content clusters. The region is the
 container with most of the clusters' text: the innermost ``article`` or ``main`` that holds it, else the innermost
-container with ``hold`` of it. All of the region's lines are the main text but those in boilerplate elements (menus,
-headers and footers of the page, asides, forms, scripts, hidden parts, and elements whose role, class or id says advert,
-notice, comments, sharing or the like).
+container with ``hold`` of it. All of the region's lines are the main text, and outside it every article or main with a
+cluster, every line above the threshold by its own ratio too, and the first-level heading of a text that has none; but not
+those in boilerplate elements (menus, headers and footers of the page, asides, forms, scripts, hidden parts, and elements
+whose role, class or id says advert, notice, comments, sharing or the like). A form that holds an article, or all of the
+page's text, is none.
 
 White space inside a line becomes one space; lines are joined by two line feeds in page order. Null, empty and text-free
 pages give an empty text. Repeated rows give repeated results; ties between containers go to the inner, then the
@@ -47,13 +49,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, characters of link text, containers' numbers, in boilerplate)."""
+    """Lines of a page: (text, tags, characters of link text, containers' numbers, in boilerplate, in a first-level heading)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int]] = []  # tag, container's number or -1, number of the noise it stands in (0: none)
-        self.noise: list[list] = [[0, False, True]]  # of each noise: the one it stands in, whether an article inside may clear it, whether one has
-        self.out: list[tuple[str, int, int, tuple[int, ...], int]] = []
+        self.noise: list[list] = [[0, False, True, False]]  # of each noise: the one it stands in, whether an article inside may clear it, whether one has, whether it is a form
+        self.out: list[tuple[str, int, int, tuple[int, ...], int, bool]] = []
         self.kinds: list[str] = []  # of the containers
         self.parts: list[str] = []
         self.tags = self.linked = self.anchors = 0
@@ -68,7 +70,7 @@ class Lines(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             path = tuple(n for _, n, _ in self.stack if n >= 0)
-            self.out.append((text, self.tags, self.linked, path, self.stack[-1][2] if self.stack else 0))
+            self.out.append((text, self.tags, self.linked, path, self.stack[-1][2] if self.stack else 0, any(t == "h1" for t, _, _ in self.stack)))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def pop_to(self, k: int) -> None:
@@ -91,6 +93,7 @@ class Lines(HTMLParser):
         up = self.stack[-1][2] if self.stack else 0
         firm = tag in DROP or (tag in OUTER and not any(t in ("article", "main") for t, _, _ in self.stack))
         soft = False
+        form = tag == "form" and firm
         if attrs and not firm and tag not in ("html", "body"):
             a = {k: v or "" for k, v in attrs}
             said = ALSO.sub(" ", f"{a.get('class', '')} {a.get('id', '')}")
@@ -104,7 +107,7 @@ class Lines(HTMLParser):
                 self.noise[k][2] = True  # what was named like boilerplate holds the article
                 k = self.noise[k][0]
         if firm or soft:
-            self.noise.append([up, not firm, False])
+            self.noise.append([up, not firm or form, False, form])
             up = len(self.noise) - 1
         noise = up
         n = -1
@@ -163,16 +166,21 @@ def extract(html: str | None, sigma: float = 1.0, threshold: float = 0.5, hold:
     p.close()
     p.close_line()
     lines = [x for x in p.out if p.clear(x[4])]
+    if not lines:  # a form around the whole page
+        for x in p.noise:
+            x[2] = x[2] or x[3]
+        lines = [x for x in p.out if p.clear(x[4])]
     if not lines:
         return ""
-    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in lines])
+    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, *_ in lines])
     level = smooth(ratio, sigma)
-    content = level >= threshold * level.std() if level.std() < level.mean() else level >= threshold * level.mean()
+    cut = threshold * min(level.std(), level.mean())
+    content = level >= cut
     if not content.any():
         content[:] = True
     mass: dict[int, int] = {}
     whole = 0
-    for (text, _, linked, path, _), inside in zip(lines, content, strict=True):
+    for (text, _, linked, path, _, _), inside in zip(lines, content, strict=True):
         if inside:
             whole += len(text) - min(linked, len(text) - 1)
             for n in path:
@@ -185,7 +193,10 @@ def extract(html: str | None, sigma: float = 1.0, threshold: float = 0.5, hold:
         best = max(full) if full else None
     kept = lines
     if best is not None:
-        kept = [x for x in lines if best in x[3]]
+        regions = {best, *marked}
+        inside = [not regions.isdisjoint(x[3]) or bool(c and r >= cut) for x, c, r in zip(lines, content, ratio, strict=True)]
+        titled = any(x[5] for x, i in zip(lines, inside, strict=True) if i)
+        kept = [x for x, i in zip(lines, inside, strict=True) if i or (x[5] and not titled)]
     return "\n\n".join(x[0] for x in kept)
 
 

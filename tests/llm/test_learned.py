@@ -186,6 +186,22 @@ def test_main_text():
     assert pages.extract(wrapped) == "Main part."
 
 
+def test_main_text_in_several_places():
+    """Sibling articles, a lead or a heading outside the body, and forms around the page."""
+    para = "A sentence of the story that goes on for a while, as sentences do. " * 4
+    menu = "<ul>" + "<li><a href=/>Some link</a></li>" * 8 + "</ul>"
+    split = "".join(f"<article><p>Part {k}. {para}</p></article>" for k in range(4))
+    assert [f"Part {k}." in pages.extract(f"<body>{menu}{split}</body>") for k in range(4)] == [True] * 4
+    lead = pages.extract(f"<body>{menu}<article><p>Lead. {para}</p></article><div><p>Body one. {para}</p><p>Body two. {para}</p></div><div>(c)</div></body>")
+    assert all(x in lead for x in ("Lead.", "Body one.", "Body two.")) and "Some link" not in lead and "(c)" not in lead
+    body = "".join(f"<p>Text {k}. {para}</p>" for k in range(9))
+    headed = pages.extract(f"<body>{menu}<div><h1>The heading</h1><p>Lead. {para}</p></div><div>{body}</div></body>")
+    assert headed.startswith("The heading\n\nLead.") and "Text 8." in headed and "Some link" not in headed
+    assert pages.extract(f"<body><form>{menu}<article><p>{para}</p></article></form></body>") == para.strip()
+    assert pages.extract(f"<body><form><div><p>{para}</p></div></form></body>") == para.strip()
+    assert pages.extract(f"<body><article><p>{para}</p><form><p>Mail us</p></form></article></body>") == para.strip()
+
+
 def test_main_text_table(spark, sf):
     got = {r["page_id"]: r for r in QUERIES["op5_main_text"](spark, sf).collect()}
     import html
