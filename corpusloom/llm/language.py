@@ -115,9 +115,6 @@ def mixture(bins: np.ndarray, counts: np.ndarray, logp: np.ndarray, penalty: flo
     c = counts.astype(np.float64)
     total = c.sum()
     chosen = np.arange(p.shape[1])
-    if len(chosen) > 12:  # the languages that explain some trigrams best, and the best as a whole
-        best = np.bincount(lp.argmax(1), weights=c, minlength=len(chosen))
-        chosen = np.union1d(np.argsort(-best, kind="stable")[:8], np.argsort(-(c @ lp), kind="stable")[:4])
 
     def em(langs: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
         q = p[:, langs]

@@ -166,6 +166,17 @@ def test_weak_label_edges(spark, docs):
     assert quality_classifier.classify(docs("x").limit(0)).count() == 0
 
 
+def test_mixture_of_more_than_twelve_languages():
+    """Every language of a mixed text is found, whatever their number; those it lacks are not."""
+    shares = np.full((20, 400), 1e-6)
+    for k in range(20):
+        shares[k, 20 * k : 20 * k + 20] = 1
+    logp = np.log(shares / shares.sum(1, keepdims=True)).T.astype(np.float32)
+    counts = np.where(np.arange(320) < 300, 20, 4)  # fifteen languages, and a sixteenth as the smallest part
+    w = language.mixture(np.arange(320), counts, logp)
+    assert np.allclose(w[:15], 400 / 6080, atol=1e-3) and np.isclose(w[15], 80 / 6080, atol=1e-3) and not w[16:].any()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
 <header class="site-header">Site name <nav><a href=/>Home</a></nav></header><div id="cookie-notice">We use cookies.</div>
 <div class="wrap"><aside>Related links</aside>
