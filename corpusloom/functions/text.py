@@ -77,9 +77,8 @@ def _cvc(stem: str) -> bool:
     return _cv(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
 
 
-def _swap(word: str, table: str) -> str:
-    for pair in table.split():
-        suffix, _, to = pair.partition(":")
+def _swap(word: str, table: tuple[tuple[str, str], ...]) -> str:
+    for suffix, to in table:
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             return stem + to if _m(stem) > 0 else word
@@ -115,7 +114,7 @@ def porter_stem(word: str) -> str:
     if word.endswith("y") and "v" in _cv(word[:-1]):
         word = word[:-1] + "i"
     word = _swap(_swap(word, PORTER_2), PORTER_3)
-    for suffix in PORTER_4.split():
+    for suffix in PORTER_4:
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             if _m(stem) > 1 and (suffix != "ion" or stem[-1:] in ("s", "t")):
@@ -154,8 +153,7 @@ def ascii_tokens(c: Column) -> Column:
 
 
 def ascii_content_tokens(c: Column, min_length: int = 2) -> Column:
-    stop = F.array(*map(F.lit, sorted(STOPWORDS)))
-    return F.filter(ascii_tokens(c), lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w))
+    return F.filter(ascii_tokens(c), lambda w: (F.length(w) >= min_length) & ~w.isin(*sorted(STOPWORDS)))
 
 
 def unique_ratio(tokens: Column) -> Column:
@@ -200,16 +198,22 @@ def readability(c: Column) -> Column:
 
 
 def loaded_language(c: Column) -> Column:
-    """Struct of the density of distinct loaded terms per 100 words (2 places), its level, and the terms by kind."""
+    """Struct of the density of distinct loaded terms per 100 words (2 places), its level, and the terms by kind, by name."""
     text = F.coalesce(c, F.lit(""))
+    # no two terms can overlap in a text, so one scan finds all of them
+    every = F.lit(rf"\b(?:{'|'.join((*ABSOLUTIST, *EMOTIONAL, *HEDGING))})\b")
 
-    def found(low: Column, terms: tuple[str, ...]) -> Column:
-        return F.filter(F.array(*(F.when(low.rlike(rf"\b{t}\b"), F.lit(t)) for t in terms)), lambda t: t.isNotNull())
+    def of(found: Column, kind: tuple[str, ...]) -> Column:
+        return F.filter(found, lambda t: t.isin(*kind))
 
     def terms(low: Column) -> Column:
-        k = sum((F.when(text.rlike(f"(?i){p}"), 1).otherwise(0) for p in CLICKBAIT), F.lit(0))
+        return let(F.array_sort(F.array_distinct(F.regexp_extract_all(low, every, F.lit(0)))), lambda found: by_kind(low, found))
+
+    def by_kind(low: Column, found: Column) -> Column:
+        k = sum((F.when(low.rlike(p), 1).otherwise(0) for p in CLICKBAIT), F.lit(0))
+        bait = F.when(low.rlike("|".join(CLICKBAIT)), k).otherwise(0)
         words = let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda f: F.when(f == "", 1).otherwise(F.size(F.split(f, " "))))
-        return F.struct(found(low, ABSOLUTIST).alias("a"), found(low, EMOTIONAL).alias("e"), found(low, HEDGING).alias("h"), k.alias("k"), words.alias("w"))
+        return F.struct(of(found, ABSOLUTIST).alias("a"), of(found, EMOTIONAL).alias("e"), of(found, HEDGING).alias("h"), bait.alias("k"), words.alias("w"))
 
     def scored(m: Column) -> Column:
         density = F.round((F.size(m["a"]) + F.size(m["e"]) + F.size(m["h"]) + m["k"]) / m["w"] * 100, 2)
