@@ -20,7 +20,7 @@ from corpusloom.functions.text import TEXTS, _udf, normalize, porter_stem, token
 
 # Limits of a rule.
 MAX_CHARS, MAX_TOKENS, MAX_DEPTH, MAX_STRING, MAX_ITEMS, MAX_DIGITS, MAX_REGEX, MAX_REPEAT, MAX_ACTIONS = 4000, 1000, 32, 1000, 200, 40, 500, 100, 20
-MAX_SUBJECT, MAX_ANCHORED, MAX_TEXT = 20_000, 8000, 200_000
+MAX_SUBJECT, MAX_ANCHORED = 20_000, 8000
 
 WORDS = frozenset("and or not in includes contains mentions matches before after true false null".split())
 COMPARE = frozenset("== != < <= > >= in includes contains mentions matches before after".split())
@@ -250,7 +250,7 @@ def describe(tree: tuple) -> str:
 # --- Compiling -----------------------------------------------------------------------------------------------------
 
 NUMERIC = (T.IntegralType, T.FractionalType)
-stem_tokens = _udf(lambda t: [porter_stem(w) for w in tokenize((t or "")[:MAX_TEXT])], TEXTS)
+stem_tokens = _udf(lambda t: [porter_stem(w) for w in tokenize(t)], TEXTS)
 folded = _udf(lambda t: None if t is None else normalize(t).casefold(), T.StringType())
 
 
@@ -386,7 +386,7 @@ class Compiler:
 
     def within(self, needle: Value, hay: Value) -> Column:
         want = self.fold(needle)
-        return (want != "") & F.contains(F.substring(self.fold(hay), 1, MAX_TEXT), want)
+        return (want != "") & F.contains(self.fold(hay), want)
 
     def mentions(self, hay: Value, needle: Value) -> Column:
         if not needle.known:

@@ -32,6 +32,11 @@ def entry_documents(entries: DataFrame, limit: int | None = 400, include_archive
     return d.orderBy(F.desc("id")).limit(limit) if limit else d
 
 
+def corpus_overview(entries: DataFrame) -> DataFrame:
+    """How much material each user's analyses have: entries, archived ones, active ones (a missing flag counts as active)."""
+    return entries.groupBy("user_id").agg(F.count("*").alias("entries"), F.count_if(F.col("is_archived")).alias("archived"), F.count_if(active()).alias("active"))
+
+
 def keyword_search(entries: DataFrame, query: str, limit: int | None = 8) -> DataFrame:
     """Case-insensitive match of the trimmed query in summary or reference; ``%`` and ``_`` act as wildcards. Newest first."""
     q = query.strip()

@@ -8,7 +8,7 @@ from corpusloom.functions import quantities as qt
 from corpusloom.functions import temporal as tm
 from corpusloom.functions import units
 from corpusloom.plans.registry import query
-from corpusloom.plans.relations import table
+from corpusloom.plans.relations import spread, table
 
 
 def dated(spark, sf):
@@ -16,7 +16,7 @@ def dated(spark, sf):
     d = F.col("o_orderdate")
     k = F.col("o_orderkey") % 4
     form = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "MMMM d, yyyy")).when(k == 2, F.date_format(d, "MMMM yyyy")).otherwise(F.concat(F.lit("Q"), F.quarter(d).cast("string"), F.lit(" "), F.year(d).cast("string")))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("The order was placed on "), form, F.lit(" by post. Nothing else happened.")).alias("text"), F.lit("2024-06-15").alias("created_at"))
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate")).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("The order was placed on "), form, F.lit(" by post. Nothing else happened.")).alias("text"), F.lit("2024-06-15").alias("created_at"))
 
 
 DATED = """x AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 4 AS k FROM orders),
@@ -59,7 +59,7 @@ def event_sentences(spark, sf):
 def relative_dates(spark, sf):
     k = F.col("event_id") % 3
     text = F.when(k == 0, "We spoke yesterday about it.").when(k == 1, "Filed three weeks ago already.").otherwise("We met last Tuesday in town.")
-    docs = table(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("text"), F.col("ts").alias("created_at"))
+    docs = spread(table(spark, sf, "events").select("event_id", "ts")).select(F.col("event_id").alias("id"), text.alias("text"), F.col("ts").alias("created_at"))
     return tm.events(docs).select("document_id", F.col("start_date").cast("string").alias("start_date"))
 
 
@@ -68,7 +68,7 @@ def weights(spark, sf):
     k = F.col("l_orderkey") % 3
     q = F.col("l_quantity").cast("int")
     text = F.concat(F.lit("The shipment weighs "), F.when(k == 0, F.concat(q.cast("string"), F.lit(" kg"))).when(k == 1, F.concat((q * 1000).cast("string"), F.lit(" grams"))).otherwise(F.concat(q.cast("string"), F.lit(" lb"))), F.lit("."))
-    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("text"))
+    return spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("text"))
 
 
 WEIGHT = "w AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 3 = 2 THEN CAST(l_quantity AS INT) * 0.45359237::DOUBLE ELSE CAST(l_quantity AS INT)::DOUBLE END AS kg, l_orderkey % 3 AS k FROM lineitem)"
@@ -87,15 +87,15 @@ def unit_conversion(spark, sf):
 
 
 def quotes(spark, sf):
-    """Two sources a part state its price; the second in another scale."""
+    """Two sources a part state its weight; the second in another scale."""
     p = table(spark, sf, "part").select("p_partkey", "p_size")
-    word = F.concat(F.lit("widget"), F.translate(F.repeat(F.col("p_partkey").cast("string"), 3), "0123456789", "abcdfhjklm"))
+    word = F.concat(F.lit("widget"), F.translate(F.repeat(F.col("p_partkey").cast("string"), 3), "0123456789", "abcdfhjklm"), F.lit("x"))  # no ending that stemming cuts
     first = p.select((F.col("p_partkey") * 2).alias("id"), F.concat(F.lit("The "), word, F.lit(" weighs "), (F.col("p_size") + 10).cast("string"), F.lit(" kg.")).alias("text"))
     second = p.select((F.col("p_partkey") * 2 + 1).alias("id"), F.concat(F.lit("The "), word, F.lit(" weighs "), ((F.col("p_size") + 10) * (1000 + F.col("p_partkey") % 5 * 300)).cast("string"), F.lit(" grams.")).alias("text"))
-    return first.unionByName(second).where("id % 400 < 40")
+    return spread(first.unionByName(second))
 
 
-@query("contradictions", "SELECT round(p_size + 10, 6)::DOUBLE AS min, round((p_size + 10) * (1000 + p_partkey % 5 * 300) / 1000.0::DOUBLE, 6) AS max, CASE p_partkey % 5 WHEN 0 THEN 'none' WHEN 4 THEN 'major' ELSE 'minor' END AS severity, CAST(2 AS BIGINT) AS claims FROM part WHERE p_partkey * 2 % 400 < 40")
+@query("contradictions", "SELECT round(p_size + 10, 6)::DOUBLE AS min, round((p_size + 10) * (1000 + p_partkey % 5 * 300) / 1000.0::DOUBLE, 6) AS max, CASE p_partkey % 5 WHEN 0 THEN 'none' WHEN 4 THEN 'major' ELSE 'minor' END AS severity, CAST(2 AS BIGINT) AS claims FROM part")
 def contradictions(spark, sf):
     """Each part's two statements form one group; the names are three times as long as an edit, so that parts stay apart."""
     g = qt.summarize_groups(qt.group_claims(qt.quantities(quotes(spark, sf))), 2)
@@ -112,11 +112,11 @@ def claim_severity(spark, sf):
 
 @query("document_quantities")
 def document_quantities(spark, sf):
-    return qt.quantities(table(spark, sf, "documents"), "doc_id").drop("subject_key")
+    return qt.quantities(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id").drop("subject_key")
 
 
 @query("document_dates")
 def document_dates(spark, sf):
     import datetime as dt
 
-    return tm.events(table(spark, sf, "documents"), dt.date(2024, 6, 15), "doc_id", created_col=None)
+    return tm.events(spread(table(spark, sf, "documents").select("doc_id", "text")), dt.date(2024, 6, 15), "doc_id", created_col=None)

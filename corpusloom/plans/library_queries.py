@@ -20,9 +20,9 @@ def user_scan(spark, sf):
     return lib.user_scan(entries(spark, sf), 3).select("id", "user_id", "title")
 
 
-@query("entry_documents", f"WITH {ENTRIES}, t AS (SELECT id, {TITLE} AS title, CASE WHEN source_text <> '' THEN source_text ELSE summary END AS text, created_at FROM entries WHERE is_archived IS NOT TRUE) SELECT id, title, left(text, 200000) AS text, created_at FROM t WHERE trim(text) <> ''")
+@query("entry_documents", f"WITH {ENTRIES}, t AS (SELECT id, {TITLE} AS title, CASE WHEN source_text <> '' THEN source_text ELSE summary END AS text, created_at FROM entries WHERE is_archived IS NOT TRUE) SELECT id, title, text, created_at FROM t WHERE trim(text) <> ''")
 def entry_documents(spark, sf):
-    return lib.entry_documents(entries(spark, sf), limit=None)
+    return lib.entry_documents(entries(spark, sf), limit=None, max_chars=None)
 
 
 @query("keyword_search", f"WITH {ENTRIES} SELECT id, source_ref, {WORDS.format('summary')} AS n_words FROM entries WHERE summary ILIKE '%tion%' OR source_ref ILIKE '%tion%' ORDER BY id DESC LIMIT 8", ints=("n_words",))
@@ -252,3 +252,8 @@ def export_names(spark, sf):
 def restore_backup(spark, sf):
     id_map = table(spark, sf, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey AS old_id", "c_custkey + 5000 AS new_id")
     return lib.restore(table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey AS entry_id"), id_map)
+
+
+@query("corpus_overview", f"WITH {ENTRIES} SELECT user_id, count(*) AS entries, count(*) FILTER (is_archived) AS archived, count(*) FILTER (is_archived IS NOT TRUE) AS active FROM entries GROUP BY user_id")
+def corpus_overview(spark, sf):
+    return lib.corpus_overview(entries(spark, sf))

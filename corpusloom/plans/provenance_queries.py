@@ -6,18 +6,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import provenance as pv
 from corpusloom.plans.registry import query
-from corpusloom.plans.relations import table
+from corpusloom.plans.relations import spread, table
 
 PICK = "CASE WHEN doc_id % 4 = 0 THEN 'Nothing zzqx here wholly unrelatedzz qqwv.' ELSE trim(regexp_extract(text, '[A-Z][^.!?\\n]{60,120}\\.')) END"
 
 
 def picked(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    """Every document with a sentence of its own, or one of no document; no such sentence: an empty summary."""
     pick = F.trim(F.regexp_extract("text", r"[A-Z][^.!?\n]{60,120}\.", 0))
-    return d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, "Nothing zzqx here wholly unrelatedzz qqwv.").otherwise(pick).alias("summary"), F.col("text").alias("source_text")).where("summary <> ''")
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, "Nothing zzqx here wholly unrelatedzz qqwv.").otherwise(pick).alias("summary"), F.col("text").alias("source_text"))
 
 
-D = f"d AS (SELECT doc_id AS id, {PICK} AS summary FROM documents WHERE lang = 'en' AND {PICK} <> '')"
+#: A summary without sentences has no alignments.
+D = f"d AS (SELECT doc_id AS id, {PICK} AS summary FROM documents WHERE {PICK} <> '')"
 
 
 @query("align_summary", f"WITH {D} SELECT id, CASE WHEN id % 4 = 0 THEN 'none' ELSE 'strong' END AS support, true AS sliced FROM d")
@@ -33,14 +34,14 @@ def coverage_report(spark, sf):
     return pv.coverage(pv.alignments(picked(spark, sf))).select("id", "sentences", "coverage")
 
 
-@query("trace_entries", "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'no_summary' WHEN doc_id % 7 = 0 THEN 'no_source_text' END AS reason FROM documents WHERE length(text) < 1500")
+@query("trace_entries", f"SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 OR coalesce({PICK}, '') = '' THEN 'no_summary' WHEN doc_id % 7 = 0 THEN 'no_source_text' END AS reason, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND {PICK} <> '' THEN CASE WHEN doc_id % 4 = 0 THEN 0.0 ELSE 1.0 END END::DOUBLE AS coverage FROM documents")
 def trace_entries(spark, sf):
-    d = table(spark, sf, "documents").where("length(text) < 1500").selectExpr("doc_id AS id", "CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS summary", "CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS source_text")
-    return pv.trace(d).select("id", "reason")
+    d = picked(spark, sf).selectExpr("id", "CASE WHEN id % 5 = 0 THEN ' ' ELSE summary END AS summary", "CASE WHEN id % 7 = 0 THEN '' ELSE source_text END AS source_text")
+    return pv.trace(d).select("id", "reason", "coverage")
 
 
 @query("trace_all_entries")
 def trace_all_entries(spark, sf):
-    """``trace_entries`` over every document, of any length or none, with what was traced; its SQL covers texts under 1500 characters."""
-    d = table(spark, sf, "documents").selectExpr("doc_id AS id", "CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS summary", "CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS source_text")
+    """Every document traced in itself, sentence by sentence: the dearest form of ``trace_entries``."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).selectExpr("doc_id AS id", "CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS summary", "CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS source_text")
     return pv.trace(d).select("id", "reason", "sentences", "coverage")

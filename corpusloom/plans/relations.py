@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL = 4_000_000  # bytes a core, up to which a table may lie in too few pieces
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, which may be a single piece, dealt to all cores, for what takes long by the row; larger ones have pieces enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= SMALL * cores else df
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document relation."""
     d = table(spark, sf_dir, "documents")
@@ -19,7 +29,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'article' WHEN doc_id % 4 = 1 THEN 'pdf' WHEN doc_id % 4 = 2 THEN 'youtube' ELSE 'text' END AS source_type",
         "CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('https://', source, '.example.com/', CAST(doc_id AS STRING)) END AS source_ref",
         "CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Title ', CAST(doc_id AS STRING)) END AS title",
-        "left(text, 300) AS summary",
+        "text AS summary",
         "CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS source_text",
         "concat(lang, ', ', upper(source), ',,', lang) AS tags",
         "CASE doc_id % 7 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS is_archived",
@@ -32,7 +42,7 @@ ENTRIES = """entries AS (SELECT doc_id AS id, doc_id % 5 AS user_id,
  CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'article' WHEN doc_id % 4 = 1 THEN 'pdf' WHEN doc_id % 4 = 2 THEN 'youtube' ELSE 'text' END AS source_type,
  CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('https://', source, '.example.com/', CAST(doc_id AS VARCHAR)) END AS source_ref,
  CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Title ', CAST(doc_id AS VARCHAR)) END AS title,
- left(text, 300) AS summary, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS source_text,
+ text AS summary, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS source_text,
  concat(lang, ', ', upper(source), ',,', lang) AS tags,
  CASE doc_id % 7 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS is_archived, doc_id % 9 = 0 AS is_pinned,
  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((doc_id * 97) % 40000 AS BIGINT)) AS created_at FROM documents)"""

@@ -9,36 +9,29 @@ from corpusloom.functions import reading as rd
 from corpusloom.functions import text as tx
 from corpusloom.operators import audio
 from corpusloom.plans.registry import query
-from corpusloom.plans.relations import CARDS, SESSIONS, cards, sessions, table
-
-CLEAN = "regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g')"  # the part of a text that the ASCII functions are for
-
-
-def ascii_docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"))
-
+from corpusloom.plans.relations import CARDS, SESSIONS, cards, sessions, spread, table
 
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(lexicon.STOPWORDS))
 TOK = "regexp_extract_all(lower(t), '[a-z0-9]+(?:''[a-z]+)?')"
-A = f"a AS (SELECT doc_id, {CLEAN.format('text')} AS t FROM documents)"
+A = "a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 
 
 @query("tokens", f"WITH {A} SELECT doc_id, len({TOK}) AS n, CASE WHEN len({TOK}) = 0 THEN 0 ELSE round(CAST(len(list_distinct({TOK})) AS DOUBLE) / len({TOK}), 6) END AS unique_ratio, left(array_to_string({TOK}, ' '), 200) AS head FROM a", ints=("n",))
 def tokens(spark, sf):
     t = tx.ascii_tokens(F.col("text"))
-    return ascii_docs(spark, sf).select("doc_id", F.size(t).alias("n"), F.round(tx.unique_ratio(t), 6).alias("unique_ratio"), F.substring(F.array_join(t, " "), 1, 200).alias("head"))
+    return table(spark, sf, "documents").select("doc_id", F.size(t).alias("n"), F.round(tx.unique_ratio(t), 6).alias("unique_ratio"), F.substring(F.array_join(t, " "), 1, 200).alias("head"))
 
 
 @query("content_tokens", f"WITH {A}, c AS (SELECT doc_id, list_filter({TOK}, lambda w: length(w) >= 2 AND w NOT IN ({STOP})) AS w FROM a) SELECT doc_id, len(w) AS n, left(array_to_string(w, ' '), 200) AS head FROM c", ints=("n",))
 def content_tokens(spark, sf):
     t = tx.ascii_content_tokens(F.col("text"))
-    return ascii_docs(spark, sf).select("doc_id", F.size(t).alias("n"), F.substring(F.array_join(t, " "), 1, 200).alias("head"))
+    return table(spark, sf, "documents").select("doc_id", F.size(t).alias("n"), F.substring(F.array_join(t, " "), 1, 200).alias("head"))
 
 
-@query("normalized_tokens", f"WITH {A} SELECT doc_id, len({TOK}) AS n FROM a", ints=("n",))
+@query("normalized_tokens", f"WITH {A}, b AS (SELECT doc_id, array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || '~' ELSE c END), '') AS t FROM a) SELECT doc_id, len({TOK}) AS n FROM b", ints=("n",))
 def normalized_tokens(spark, sf):
-    """The Unicode tokeniser on ASCII text agrees with the SQL one."""
-    return ascii_docs(spark, sf).select("doc_id", F.size(tx.tokenize_udf("text")).alias("n"))
+    """The Unicode tokeniser on whole texts, whose letters with accents come apart."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.size(tx.tokenize_udf("text")).alias("n"))
 
 
 FLAT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
@@ -82,7 +75,7 @@ def fixed_chunks(spark, sf):
 
 @query("bigrams", f"WITH {A}, g AS (SELECT unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS gram FROM (SELECT {TOK} AS w FROM a)) SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 20")
 def bigrams(spark, sf):
-    g = ascii_docs(spark, sf).select(F.explode(tx.ngrams(tx.ascii_tokens(F.col("text")), 2)).alias("gram"))
+    g = table(spark, sf, "documents").select(F.explode(tx.ngrams(tx.ascii_tokens(F.col("text")), 2)).alias("gram"))
     return g.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 20")
 
 
@@ -116,22 +109,22 @@ def sentiment_tone(spark, sf):
 
 @query("keywords")
 def keywords(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.keywords_udf("text").alias("keywords"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tx.keywords_udf("text").alias("keywords"))
 
 
 @query("extractive_summary")
 def extractive_summary(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.summary_udf("text").alias("sentences"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tx.summary_udf("text").alias("sentences"))
 
 
 @query("sentence_split")
 def sentence_split(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(tx.sentences_udf("text")).alias("n"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.size(tx.sentences_udf("text")).alias("n"))
 
 
 @query("distinct_stems")
 def distinct_stems(spark, sf):
-    return tx.stems(ascii_docs(spark, sf).select(tx.ascii_tokens(F.col("text")).alias("tokens")), "tokens")
+    return tx.stems(table(spark, sf, "documents").select(tx.ascii_tokens(F.col("text")).alias("tokens")), "tokens")
 
 
 @query("sm2_schedule", f"WITH {CARDS}, t AS (SELECT *, 5 - quality AS d, CASE WHEN interval_days = 0 THEN 1 ELSE interval_days END AS i FROM cards) SELECT id, round(greatest(1.3::DOUBLE, ease_factor + (0.1::DOUBLE - d * (0.08::DOUBLE + d * 0.02::DOUBLE))), 3) AS ease_factor, CASE WHEN quality < 3 OR repetitions = 0 THEN 1.0::DOUBLE WHEN repetitions = 1 THEN 6.0::DOUBLE ELSE round(i * ease_factor, 2) END AS interval_days, CASE WHEN quality < 3 THEN 0 ELSE repetitions + 1 END AS repetitions FROM t")
@@ -156,14 +149,14 @@ def reading_fitness(spark, sf):
 
 @query("orp_bands", f"WITH {A}, t AS (SELECT DISTINCT unnest(regexp_extract_all(t, '[A-Za-z]+')) AS word FROM a) SELECT word, CASE WHEN length(word) <= 1 THEN 0 WHEN length(word) <= 5 THEN 1 WHEN length(word) <= 9 THEN 2 WHEN length(word) <= 13 THEN 3 ELSE 4 END AS orp FROM t")
 def orp_bands(spark, sf):
-    w = ascii_docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).distinct()
+    w = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).distinct()
     return w.select("word", rd.orp_column(F.col("word")).alias("orp"))
 
 
 @query("rsvp_words", f"WITH {WORDS} SELECT doc_id AS id, len(w) AS n FROM w WHERE len(w) > 0")
 def rsvp_words(spark, sf):
     """Counts of the words that the display stream has."""
-    return rd.rsvp(table(spark, sf, "documents"), "doc_id").groupBy("id").agg(F.count("*").alias("n"))
+    return rd.rsvp(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id").groupBy("id").agg(F.count("*").alias("n"))
 
 
 def hashes(spark, sf):
