@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import units
 from corpusloom.functions.lexicon import STOPWORDS
 from corpusloom.functions.text import content_tokens, normalize, sentence_spans
+from corpusloom.operators.graph import checkpointed, components
 
 # Spelled numbers, scales, currency signs and markers.
 SPELLED = {w: float(v) for v, w in [*enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()), *((10 * k, w) for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2))]}
@@ -299,19 +300,33 @@ def _one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
 
 
+def shorter(word: str) -> set[str]:
+    """The word, and it without each of its letters: words an edit apart have one of these in common."""
+    return {word} | {word[:k] + word[k + 1 :] for k in range(len(word))}
+
+
 def cluster_subjects(keys: list[tuple[tuple[str, ...], int]]) -> list[int]:
     """Group of each (stems, number of claims), in the order given: the commonest keys first, each joins the first group it
-    matches, whose words then grow."""
+    matches, whose words then grow. An index from stems, and from words less a letter, leads to the groups that may match."""
     order = sorted(range(len(keys)), key=lambda k: (-keys[k][1], keys[k][0]))
     groups: list[frozenset[str]] = []
+    having: dict[str, set[int]] = {}
+    near: dict[str, set[int]] = {}
     out = [0] * len(keys)
     for k in order:
         words = frozenset(keys[k][0])
-        g = next((i for i, have in enumerate(groups) if subjects_match(have, words)), len(groups))
+        may = set().union(*(having.get(w, ()) for w in words))
+        if len(words) == 1:
+            may.update(*(near.get(v, ()) for v in shorter(*words)))
+        g = next((i for i in sorted(may) if subjects_match(groups[i], words)), len(groups))
         if g == len(groups):
-            groups.append(words)
-        else:
-            groups[g] |= words
+            groups.append(frozenset())
+        for w in words - groups[g]:
+            having.setdefault(w, set()).add(g)
+        if not groups[g] and len(words) == 1:
+            for v in shorter(*words):
+                near.setdefault(v, set()).add(g)
+        groups[g] |= words
         out[k] = g
     return out
 
@@ -327,21 +342,41 @@ def severity(dimension: Column, low: Column, high: Column, approximate: Column,
     return F.when(near, "none").when(ratio < 2.0, "minor").otherwise("major")
 
 
+def subject_islands(keys: DataFrame) -> DataFrame:
+    """keys (dimension, base_unit, subject_key, n) with island: subjects of an axis that share a stem, or are single words an edit apart, at
+    any remove. A subject can only join a group of its own island, since each group has words of its island alone."""
+    axis = F.concat_ws("/", "dimension", "base_unit")
+    node = keys.withColumn("node", F.xxhash64(axis, F.lit("key"), "subject_key"))
+    stems = node.select("node", axis.alias("axis"), F.explode("subject_key").alias("w"), F.lit("stem").alias("kind"))
+    single = node.where(F.size("subject_key") == 1).select("node", axis.alias("axis"), F.col("subject_key")[0].alias("w"))
+    cut = F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.concat(F.substring(F.col("w"), F.lit(1), k - 1), F.substring(F.col("w"), k + 1, F.length("w"))))
+    cuts = single.select("node", "axis", F.explode(F.array_union(F.array("w"), cut)).alias("w"), F.lit("cut").alias("kind"))
+    hubs = stems.unionByName(cuts).select("node", F.xxhash64("axis", "kind", "w").alias("hub"))
+    found = components(keys.sparkSession, hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    return node.join(found, "node", "left").withColumn("island", F.coalesce("root", "node")).drop("node", "root")
+
+
 def group_claims(found: DataFrame) -> DataFrame:
-    """found with group_id: claims of one dimension and base unit whose subjects match; claims without subject are dropped.
+    """found with group_no: claims of one dimension and base unit whose subjects match; claims without subject are dropped.
 
-    What is clustered is the distinct subjects of an axis with their counts, not the claims, which join back.
+    What is clustered is the distinct subjects of an axis with their counts, not the claims, which join back; each island of
+    subjects that may match is clustered by itself.
     """
     claims = found.where(F.size("subject_key") > 0).withColumn("base_unit", F.coalesce("base_unit", F.lit("")))
     keys = claims.groupBy("dimension", "base_unit", "subject_key").agg(F.count("*").alias("n"))
+    keys = subject_islands(checkpointed(found.sparkSession, keys))
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         subjects = [tuple(k) for k in frame["subject_key"]]
         groups = cluster_subjects(list(zip(subjects, frame["n"], strict=True)))
-        return pd.DataFrame({"dimension": frame["dimension"], "base_unit": frame["base_unit"], "subject_key": frame["subject_key"], "group_no": groups})
-
-    named = keys.groupBy("dimension", "base_unit").applyInPandas(cluster, "dimension string, base_unit string, subject_key array<string>, group_no int")
-    return claims.join(named, ["dimension", "base_unit", "subject_key"])
+        return pd.DataFrame({"dimension": frame["dimension"], "base_unit": frame["base_unit"], "subject_key": frame["subject_key"], "group_no": [f"{i}-{g}" for i, g in zip(frame["island"], groups, strict=True)]})
+
+    # most islands are one subject, which is a group
+    size = keys.groupBy("island").agg(F.count("*").alias("subjects"))
+    keys = keys.join(size, "island")
+    alone = keys.where("subjects = 1").select("dimension", "base_unit", "subject_key", F.concat("island", F.lit("-0")).alias("group_no"))
+    several = keys.where("subjects > 1").groupBy("dimension", "base_unit", "island").applyInPandas(cluster, "dimension string, base_unit string, subject_key array<string>, group_no string")
+    return claims.join(alone.unionByName(several), ["dimension", "base_unit", "subject_key"])
 
 
 def summarize_groups(grouped: DataFrame, min_claims: int = 1) -> DataFrame:
