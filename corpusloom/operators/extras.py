@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corpusloom.functions import text as tx
+
 # Limits of a room's payloads.
 MAX_STRING, MAX_LIST, MAX_NEST = 8000, 200, 6
 
@@ -147,3 +149,10 @@ def subjects_match(a: Column, b: Column) -> Column:
     subset = (both == F.size(F.array_distinct(a))) | (both == F.size(F.array_distinct(b)))
     edit = (F.size(a) == 1) & (F.size(b) == 1) & (F.levenshtein(F.element_at(a, 1), F.element_at(b, 1), 1) >= 0)
     return (F.size(a) > 0) & (F.size(b) > 0) & (subset | (2 * both >= either) | edit)
+
+
+def credibility(text: Column, compound: Column, claims: Column, search: str) -> Column:
+    """Struct of the loaded language, tone and readability of a text, and its claims (an array, from a model), each with a link to look it up."""
+    sentiment = F.struct(tx.tone(compound).alias("tone"), F.round(compound, 3).alias("compound"))
+    links = F.transform(claims, lambda c: F.struct(c.alias("text"), F.concat(F.lit(search), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).alias("search_url")))
+    return F.struct(tx.loaded_language(text).alias("loaded_language"), sentiment.alias("sentiment"), tx.readability(text).alias("readability"), links.alias("claims"))

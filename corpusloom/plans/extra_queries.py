@@ -8,7 +8,8 @@ from corpusloom.functions import quiz
 from corpusloom.functions import text as tx
 from corpusloom.operators import extras as ex
 from corpusloom.plans.registry import query
-from corpusloom.plans.relations import ENTRIES, entries, table
+from corpusloom.plans.relations import ENTRIES, entries, spread, table
+from corpusloom.plans.text_queries import LOADED, LOADED_TERMS, READ, loaded_text
 from corpusloom.sources import readers, sinks
 
 
@@ -103,14 +104,14 @@ def vault_notes(spark, sf):
 
 @query("quiz")
 def quiz_questions(spark, sf):
-    return quiz.questions(table(spark, sf, "documents"), id_col="doc_id")
+    return quiz.questions(spread(table(spark, sf, "documents").select("doc_id", "text")), id_col="doc_id")
 
 
-@query("word_salience", "WITH s AS (SELECT conv_id AS id, turn AS sentence, unnest(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')), '[a-z0-9]+(?:''[a-z]+)?')) AS word FROM conversations), n AS (SELECT id, count(DISTINCT sentence) AS n FROM s GROUP BY 1), t AS (SELECT id, word, count(*) AS tf, count(DISTINCT sentence) AS sf FROM s GROUP BY 1, 2) SELECT t.id, word, round((1 + ln(tf)) * ln(1 + n::DOUBLE / sf) * (1 + 0.03::DOUBLE * least(length(word), 14)), 6) AS weight FROM t JOIN n ON t.id = n.id")
+@query("word_salience", "WITH s AS (SELECT conv_id AS id, turn AS sentence, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?')) AS word FROM conversations), n AS (SELECT id, count(DISTINCT sentence) AS n FROM s GROUP BY 1), t AS (SELECT id, word, count(*) AS tf, count(DISTINCT sentence) AS sf FROM s GROUP BY 1, 2) SELECT t.id, word, round((1 + ln(tf)) * ln(1 + n::DOUBLE / sf) * (1 + 0.03::DOUBLE * least(length(word), 14)), 6) AS weight FROM t JOIN n ON t.id = n.id")
 def word_salience(spark, sf):
     from corpusloom.functions.reading import salience
 
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("sentence"), F.explode(tx.ascii_tokens(F.regexp_replace("text", r"[^\x00-\x7F]", ""))).alias("word"))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("sentence"), F.explode(tx.ascii_tokens(F.col("text"))).alias("word"))
     return salience(c.withColumn("proper", F.lit(False))).select("id", "word", F.round("weight", 6).alias("weight"))
 
 
@@ -135,3 +136,11 @@ def room_state(spark, sf):
 
     e = table(spark, sf, "events").selectExpr("user_id AS room_id", "event_id AS seq", "CASE event_id % 3 WHEN 2 THEN 'highlight.removed' ELSE 'highlight.added' END AS event_type", "event_id % 10 AS item_id", "CAST(value AS STRING) AS payload", "CAST(NULL AS BIGINT) AS anchor")
     return rooms.room_state(e).select("room_id", "item_id")
+
+
+@query("credibility", f"WITH {LOADED}, {LOADED_TERMS}, {READ} SELECT d.doc_id, level, density AS density_per_100_words, CASE WHEN c >= 0.3 THEN 'Strongly positive' WHEN c >= 0.05 THEN 'Leaning positive' WHEN c <= -0.3 THEN 'Strongly negative' WHEN c <= -0.05 THEN 'Leaning negative' ELSE 'Neutral' END AS tone, CASE WHEN e.n = 0 THEN NULL ELSE round(ease, 1) END AS flesch_reading_ease, 'https://search.example.org/?q=' || replace('claim ' || d.doc_id || ' & more', ' ', '%20').replace('&', '%26') AS search_url FROM (SELECT *, CASE WHEN density >= 3 THEN 'High' WHEN density >= 1 THEN 'Moderate' ELSE 'Low' END AS level, (CAST((doc_id * 37) % 201 AS DOUBLE) - 100) / 100 AS c FROM d) d JOIN e ON d.doc_id = e.doc_id")
+def credibility(spark, sf):
+    """The panel of loaded language, tone, readability and claims; tone comes from a scorer's number, claims from a model."""
+    d = table(spark, sf, "documents").select("doc_id", loaded_text().alias("t"), "text", (((F.col("doc_id") * 37) % 201 - 100) / 100.0).alias("c"))
+    p = d.select("doc_id", ex.credibility(F.col("t"), F.col("c"), F.array(F.concat(F.lit("claim "), F.col("doc_id").cast("string"), F.lit(" & more"))), "https://search.example.org/?q=").alias("p"), tx.readability(F.col("text")).alias("r"))
+    return p.select("doc_id", "p.loaded_language.level", "p.loaded_language.density_per_100_words", "p.sentiment.tone", "r.flesch_reading_ease", F.col("p.claims")[0]["search_url"].alias("search_url"))

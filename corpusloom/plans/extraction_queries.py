@@ -63,6 +63,26 @@ def relative_dates(spark, sf):
     return tm.events(docs).select("document_id", F.col("start_date").cast("string").alias("start_date"))
 
 
+@query(
+    "date_forms",
+    """WITH x AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 9 AS k FROM orders), y AS (SELECT *, year(d) AS y, month(d) AS m, day(d) AS a FROM x)
+ SELECT id, CAST(CASE WHEN k < 2 AND a <= 12 THEN least(make_date(y, m, a), make_date(y, a, m)) WHEN k < 2 THEN d WHEN k = 2 THEN make_date(y, m, 1) WHEN k = 3 THEN make_date(y, m, 11) WHEN k = 4 THEN make_date(y, m, 21) WHEN k = 5 THEN make_date(y - 1, m, 1) WHEN k = 6 THEN make_date(y, 3, 1) WHEN k = 7 THEN make_date(y // 10 * 10, 1, 1) ELSE make_date(y - 2, 1, 1) END AS VARCHAR) AS start_date,
+ CAST(CASE WHEN k < 2 AND a <= 12 THEN greatest(make_date(y, m, a), make_date(y, a, m)) WHEN k < 2 THEN d WHEN k = 2 THEN make_date(y, m, 10) WHEN k = 3 THEN make_date(y, m, 20) WHEN k IN (4, 5) THEN last_day(d) WHEN k = 6 THEN make_date(y, 5, 31) WHEN k = 7 THEN make_date(y // 10 * 10 + 9, 12, 31) ELSE make_date(y, 12, 31) END AS VARCHAR) AS end_date,
+ CASE k WHEN 0 THEN 'absolute' WHEN 1 THEN 'absolute' WHEN 5 THEN 'range' WHEN 6 THEN 'season' WHEN 7 THEN 'decade' WHEN 8 THEN 'range' ELSE 'partial' END AS kind FROM y""",
+)
+def date_forms(spark, sf):
+    """Ambiguous and dotted dates, parts of months, ranges, seasons and decades, one a note."""
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 9
+    y, named = F.year(d), F.date_format(d, "MMMM yyyy")
+    forms = [F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "dd.MM.yyyy"), F.concat(F.lit("early "), named), F.concat(F.lit("mid-"), named), F.concat(F.lit("late "), named)]
+    forms += [F.concat(F.lit("between "), F.date_format(F.add_months(d, -12), "MMMM yyyy"), F.lit(" and "), named), F.concat(F.lit("the spring of "), y.cast("string")), F.concat(F.lit("the "), (y - y % 10).cast("string"), F.lit("s"))]
+    form = F.concat(F.lit("from "), (y - 2).cast("string"), F.lit(" to "), y.cast("string"))
+    for n, f in enumerate(forms):
+        form = F.when(k == n, f).otherwise(form)
+    notes = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate")).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("The work was done in this time: "), form, F.lit(" by post. It ended well.")).alias("text"), F.lit("2024-06-15").alias("created_at"))
+    return tm.events(notes).select(F.col("document_id").alias("id"), F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"), "kind")
+
+
 def weights(spark, sf):
     """Notes that quote an order line's weight in one of three units."""
     k = F.col("l_orderkey") % 3
@@ -79,6 +99,21 @@ def extract_quantities(spark, sf):
     return qt.quantities(weights(spark, sf)).select("document_id", F.round("canonical_value", 6).alias("canonical_value"), "unit", "subject", "dimension")
 
 
+@query(
+    "quantity_forms",
+    """WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS INT) + 2 AS q, (l_orderkey + l_linenumber) % 6 AS k FROM lineitem)
+ SELECT id, CASE k WHEN 0 THEN q + 2 WHEN 4 THEN q * 1000 WHEN 5 THEN q * 1e6 ELSE q END::DOUBLE AS value, CASE WHEN k = 0 THEN q END::DOUBLE AS low, CASE WHEN k = 0 THEN q + 4 END::DOUBLE AS high, CASE k WHEN 0 THEN 'kilogram' WHEN 3 THEN 'percent' WHEN 4 THEN 'usd' WHEN 5 THEN 'usd' END AS unit, CASE k WHEN 1 THEN 'lower_bound' WHEN 2 THEN 'upper_bound' END AS marker FROM x""",
+)
+def quantity_forms(spark, sf):
+    """Ranges, bounds, percentages and sums of money, one a note."""
+    q, k = (F.col("l_quantity").cast("int") + 2).cast("string"), (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    high = (F.col("l_quantity").cast("int") + 6).cast("string")
+    text = F.when(k == 0, F.concat(F.lit("The shipment weighs between "), q, F.lit(" and "), high, F.lit(" kg."))).when(k == 1, F.concat(F.lit("At least "), q, F.lit(" boxes are missing.")))
+    text = text.when(k == 2, F.concat(F.lit("No more than "), q, F.lit(" boxes are missing."))).when(k == 3, F.concat(F.lit("Costs rose by "), q, F.lit(" percent."))).when(k == 4, F.concat(F.lit("The fee is $"), q, F.lit(",000."))).otherwise(F.concat(F.lit("The fee is "), q, F.lit(" million dollars.")))
+    notes = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("text"))
+    return qt.quantities(notes).select(F.col("document_id").alias("id"), "value", F.col("value_low").alias("low"), F.col("value_high").alias("high"), "unit", "marker")
+
+
 @query("unit_conversion", "SELECT l_orderkey * 10 + l_linenumber AS id, round(CASE l_orderkey % 4 WHEN 0 THEN l_quantity * 1609.344::DOUBLE WHEN 1 THEN (l_quantity - 32) * 5::DOUBLE / 9 + 273.15::DOUBLE WHEN 2 THEN l_quantity * 1024 ELSE l_quantity END, 6) AS canonical_value, CASE l_orderkey % 4 WHEN 0 THEN 'meter' WHEN 1 THEN 'kelvin' WHEN 2 THEN 'byte' ELSE 'widgets' END AS base_unit FROM lineitem")
 def unit_conversion(spark, sf):
     k = F.col("l_orderkey") % 4
@@ -115,8 +150,11 @@ def document_quantities(spark, sf):
     return qt.quantities(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id").drop("subject_key")
 
 
-@query("document_dates")
+@query("document_dates", "SELECT doc_id AS document_id, CAST(DATE '2001-01-01' + CAST(doc_id % 8000 AS INT) AS VARCHAR) AS start_date, 'day' AS precision FROM documents")
 def document_dates(spark, sf):
+    """Whole documents, each with a dated last line."""
     import datetime as dt
 
-    return tm.events(spread(table(spark, sf, "documents").select("doc_id", "text")), dt.date(2024, 6, 15), "doc_id", created_col=None)
+    day = F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("doc_id") % 8000).cast("int")), "d MMMM yyyy")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\nWritten on "), day, F.lit(".")).alias("text"))
+    return tm.events(docs, dt.date(2024, 6, 15), "doc_id", created_col=None).select("document_id", F.col("start_date").cast("string").alias("start_date"), "precision")

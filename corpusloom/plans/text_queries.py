@@ -53,10 +53,17 @@ def _sql_terms(terms):
 LOADED = "l AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Everyone ALWAYS says so, shocking chaos. ' WHEN doc_id % 3 = 1 THEN 'Some say this one trick is proof that doctors hate it: ' ELSE '' END || text AS t FROM documents)"
 
 
-@query("loaded_language", f"WITH {LOADED}, n AS (SELECT doc_id, {_sql_terms(lexicon.ABSOLUTIST)} AS a, {_sql_terms(lexicon.EMOTIONAL)} AS e, {_sql_terms(lexicon.HEDGING)} AS h, " + " + ".join("CAST(regexp_matches(t, '(?i)" + p + "') AS INT)" for p in lexicon.CLICKBAIT) + f" AS k, greatest(len(string_split({FLAT.format('t')}, ' ')), 1) AS w FROM l), d AS (SELECT *, round((a + e + h + k)::DOUBLE / w * 100, 2) AS density FROM n) SELECT doc_id, density AS density_per_100_words, CASE WHEN density >= 3 THEN 'High' WHEN density >= 1 THEN 'Moderate' ELSE 'Low' END AS level, a AS n_absolutist, e AS n_emotional, h AS n_hedging, k AS clickbait FROM d")
+LOADED_TERMS = f"n AS (SELECT doc_id, {_sql_terms(lexicon.ABSOLUTIST)} AS a, {_sql_terms(lexicon.EMOTIONAL)} AS e, {_sql_terms(lexicon.HEDGING)} AS h, " + " + ".join("CAST(regexp_matches(t, '(?i)" + p + "') AS INT)" for p in lexicon.CLICKBAIT) + f" AS k, greatest(len(string_split({FLAT.format('t')}, ' ')), 1) AS w FROM l), d AS (SELECT *, round((a + e + h + k)::DOUBLE / w * 100, 2) AS density FROM n)"
+
+
+def loaded_text():
+    """A document after a loaded opening."""
+    return F.concat(F.when(F.col("doc_id") % 3 == 0, "Everyone ALWAYS says so, shocking chaos. ").when(F.col("doc_id") % 3 == 1, "Some say this one trick is proof that doctors hate it: ").otherwise(""), "text")
+
+
+@query("loaded_language", f"WITH {LOADED}, {LOADED_TERMS} SELECT doc_id, density AS density_per_100_words, CASE WHEN density >= 3 THEN 'High' WHEN density >= 1 THEN 'Moderate' ELSE 'Low' END AS level, a AS n_absolutist, e AS n_emotional, h AS n_hedging, k AS clickbait FROM d")
 def loaded_language(spark, sf):
-    head = F.when(F.col("doc_id") % 3 == 0, "Everyone ALWAYS says so, shocking chaos. ").when(F.col("doc_id") % 3 == 1, "Some say this one trick is proof that doctors hate it: ").otherwise("")
-    r = table(spark, sf, "documents").select("doc_id", tx.loaded_language(F.concat(head, "text")).alias("r")).select("doc_id", "r.*")
+    r = table(spark, sf, "documents").select("doc_id", tx.loaded_language(loaded_text()).alias("r")).select("doc_id", "r.*")
     return r.select("doc_id", "density_per_100_words", "level", F.size("absolutist_terms").alias("n_absolutist"), F.size("emotional_terms").alias("n_emotional"), F.size("hedging_phrases").alias("n_hedging"), F.col("clickbait_patterns_matched").alias("clickbait"))
 
 
