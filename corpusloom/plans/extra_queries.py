@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import wave
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.functions import quiz
 from corpusloom.functions import text as tx
+from corpusloom.operators import audio
 from corpusloom.operators import extras as ex
+from corpusloom.operators.graph import checkpointed
 from corpusloom.plans.registry import query
 from corpusloom.plans.relations import ENTRIES, entries, spread, table
 from corpusloom.plans.text_queries import LOADED, LOADED_TERMS, READ, loaded_text
@@ -144,3 +152,36 @@ def credibility(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", loaded_text().alias("t"), "text", (((F.col("doc_id") * 37) % 201 - 100) / 100.0).alias("c"))
     p = d.select("doc_id", ex.credibility(F.col("t"), F.col("c"), F.array(F.concat(F.lit("claim "), F.col("doc_id").cast("string"), F.lit(" & more"))), "https://search.example.org/?q=").alias("p"), tx.readability(F.col("text")).alias("r"))
     return p.select("doc_id", "p.loaded_language.level", "p.loaded_language.density_per_100_words", "p.sentiment.tone", "r.flesch_reading_ease", F.col("p.claims")[0]["search_url"].alias("search_url"))
+
+
+def tune(name: str, seconds: int = 20, rate: int = 11_025) -> np.ndarray:
+    """A made-up recording: three tones a quarter of a second, by its name."""
+    rng = np.random.default_rng(zlib.crc32(name.encode()))
+    t = np.arange(seconds * rate) / rate
+    x = np.zeros(len(t))
+    for k in range(seconds * 4):
+        part = slice(k * rate // 4, (k + 1) * rate // 4)
+        x[part] = sum(np.sin(2 * np.pi * f * t[part]) for f in rng.integers(300, 4500, 3))
+    return x / np.abs(x).max() * 0.8
+
+
+@query("audio_match", "SELECT concat('clip of ', n_name) AS a, n_name AS b, true AS match, CAST(5 AS BIGINT) AS offset_seconds FROM nation")
+def audio_match(spark, sf):
+    """From samples to matches: WAV bytes of a recording a nation, and of seven seconds out of it, with noise, from the fifth second on."""
+
+    def wavs(frames):
+        for f in frames:
+            for name in f["n_name"]:
+                x, rng = tune(name), np.random.default_rng(len(name))
+                for rec, y in ((name, x), (f"clip of {name}", x[5 * 11_025 : 12 * 11_025] + rng.normal(0, 0.02, 7 * 11_025))):
+                    out = io.BytesIO()
+                    with wave.open(out, "wb") as w:
+                        w.setnchannels(1), w.setsampwidth(2), w.setframerate(11_025)
+                        w.writeframes((np.clip(y, -1, 1) * 32767).astype("<i2").tobytes())
+                    yield pd.DataFrame({"path": [rec], "content": [out.getvalue()]})
+
+    files = spread(table(spark, sf, "nation").select("n_name")).mapInPandas(wavs, "path string, content binary")
+    h = checkpointed(spark, audio.fingerprint_wavs(files))
+    clip = F.col("rec_id").startswith("clip of ")
+    best = audio.query_index(h.where(clip), h.where(~clip), 1)
+    return best.select("a", "b", "match", F.round("offset_seconds").cast("long").alias("offset_seconds"))
