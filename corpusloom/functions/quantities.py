@@ -352,7 +352,8 @@ def subject_islands(keys: DataFrame) -> DataFrame:
     cut = F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.concat(F.substring(F.col("w"), F.lit(1), k - 1), F.substring(F.col("w"), k + 1, F.length("w"))))
     cuts = single.select("node", "axis", F.explode(F.array_union(F.array("w"), cut)).alias("w"), F.lit("cut").alias("kind"))
     hubs = stems.unionByName(cuts).select("node", F.xxhash64("axis", "kind", "w").alias("hub"))
-    found = components(keys.sparkSession, hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    shared = hubs.groupBy("hub").agg(F.count_distinct("node").alias("n")).where("n > 1")  # of a single subject they join nothing
+    found = components(keys.sparkSession, hubs.join(shared, "hub", "left_semi").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     return node.join(found, "node", "left").withColumn("island", F.coalesce("root", "node")).drop("node", "root")
 
 
@@ -362,7 +363,8 @@ def group_claims(found: DataFrame) -> DataFrame:
     What is clustered is the distinct subjects of an axis with their counts, not the claims, which join back; each island of
     subjects that may match is clustered by itself.
     """
-    claims = found.where(F.size("subject_key") > 0).withColumn("base_unit", F.coalesce("base_unit", F.lit("")))
+    # extraction is dear, and claims are read several times
+    claims = checkpointed(found.sparkSession, found.where(F.size("subject_key") > 0).withColumn("base_unit", F.coalesce("base_unit", F.lit(""))))
     keys = claims.groupBy("dimension", "base_unit", "subject_key").agg(F.count("*").alias("n"))
     keys = subject_islands(checkpointed(found.sparkSession, keys))
 

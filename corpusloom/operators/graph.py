@@ -38,7 +38,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """
     e = checkpointed(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     last = None
-    while True:
+    while not e.isEmpty():
         # large star: neighbours above me link to the smallest of my neighbours and me
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # (a checkpoint of the minima leaves a plain join below, whose hot keys adaptive execution can split: a star's hub has all its edges)
@@ -51,5 +51,6 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         drop_checkpoint(old), drop_checkpoint(least)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == last:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         last = tuple(state)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
