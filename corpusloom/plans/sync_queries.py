@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import crdt, ledger
+from corpusloom.operators import crdt, ledger, matters
 from corpusloom.plans.registry import query
 from corpusloom.plans.relations import OPERATIONS, operations, table
 
@@ -197,3 +198,23 @@ def author_operations(spark, sf):
 @query("observed_tags", f"WITH {OPERATIONS}, live AS (SELECT a.entity_id, a.value, a.op_id FROM ops a LEFT JOIN (SELECT entity_id, value, max({KEY}) AS b FROM ops WHERE action = 'remove' GROUP BY 1, 2) r ON a.entity_id = r.entity_id AND a.value = r.value WHERE a.action = 'add' AND (b IS NULL OR lpad(CAST(a.lamport AS VARCHAR), 9, '0') || a.replica_id || a.op_id > b)) SELECT entity_id, value, string_agg(op_id, ',' ORDER BY op_id) AS tags FROM live GROUP BY 1, 2")
 def observed_tags(spark, sf):
     return crdt.observed_tags(crdt.merge(operations(spark, sf))).select("entity_id", "value", F.array_join("tags", ",").alias("tags"))
+
+
+@query("merkle_proofs", "SELECT o_custkey % 40 AS chain_id, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS sequence, true AS valid, o_orderkey AS record FROM orders")
+def merkle_proofs(spark, sf):
+    """Every leaf's proof folds to its chain's root."""
+    o = table(spark, sf, "orders").selectExpr("o_custkey % 40 AS chain_id", "o_orderkey AS sequence", "concat('leaf', o_orderkey) AS entry_hash")
+    p = ledger.merkle_proofs(o).join(ledger.merkle_root(o), "chain_id")
+    place = F.row_number().over(Window.partitionBy("chain_id").orderBy("sequence")).cast("long")
+    return p.select("chain_id", place.alias("sequence"), ledger.verify_proof(F.col("leaf"), F.col("proof"), F.col("merkle_root")).alias("valid"), F.col("sequence").alias("record"))
+
+
+@query("verify_matters", """WITH r AS (SELECT o_custkey % 40 AS matter_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS sequence FROM orders), p AS (SELECT matter_id, sequence, CASE WHEN k % 97 = 0 THEN 1 WHEN k % 89 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 83 = 0 THEN 1 ELSE 0 END AS n FROM r)
+ SELECT matter_id, count(*) AS entries, CAST(sum(n) AS BIGINT) AS problems, sum(n) = 0 AS valid, coalesce(string_agg(CAST(sequence AS VARCHAR), ',' ORDER BY sequence) FILTER (n > 0), '') AS affected FROM p GROUP BY matter_id""")
+def verify_matters(spark, sf):
+    """Ledgers of captures, added in two goes; some files are gone (97), some altered (89), and some entries are altered (83)."""
+    o = table(spark, sf, "orders").selectExpr("o_custkey % 40 AS matter_id", "'REF' AS reference", "o_custkey AS user_id", "o_orderkey AS position", "CAST(o_orderkey AS STRING) AS record_id", "o_orderpriority AS kind", "o_orderstatus AS note", "'' AS text", "'' AS url", "sha2(CAST(o_orderkey AS STRING), 256) AS file_hash", "'f' AS filename", "'' AS mime_type", "10 AS byte_size", "CAST(o_orderdate AS TIMESTAMP) AS occurred_at", "CAST(o_orderdate AS TIMESTAMP) AS entered_at", "'' AS device")
+    entries = matters.add_records(matters.add_records(None, o.where("position < 3000")), o.where("position >= 3000"))
+    changed = entries.withColumn("metadata", F.when(F.col("record_id").cast("long") % 83 == 0, F.lit("{}")).otherwise(F.col("metadata")))
+    files = o.where("position % 97 <> 0").selectExpr("record_id", "CASE WHEN position % 89 = 0 THEN 'other' ELSE file_hash END AS current_hash")
+    return matters.verify_matters(changed, files).select("matter_id", "entries", "problems", "valid", F.array_join(F.col("affected").cast("array<string>"), ",").alias("affected"))

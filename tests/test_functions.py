@@ -245,6 +245,43 @@ def test_merkle_and_chain(spark):
     assert ledger.merkle_root_of([]) == ledger.GENESIS and ledger.merkle_proof(["a"], 5) == []
 
 
+def test_matters(spark):
+    """Added in two goes, sealed, and checked against the chain by hand; a note is inside the hash."""
+    import json
+
+    from corpusloom.operators import matters
+
+    rows = [(m, f"R{m}", 1, k, f"id{m}{k}", kind, f" note {k} ", text, url, file, None, None, None, None, dt.datetime(2024, 1, k + 1), "d" * 300) for m in (1, 2) for k, (kind, text, url, file) in enumerate([("pdf", "", "", "ab" * 32), ("poem", "words", "u", None), ("url", None, "http://x", ""), ("note", "", "", "")])]
+    c = spark.createDataFrame(rows, "matter_id long, reference string, user_id long, position long, record_id string, kind string, note string, text string, url string, file_hash string, filename string, mime_type string, byte_size long, occurred_at timestamp, entered_at timestamp, device string")
+    entries = matters.add_records(matters.add_records(None, c.where("position < 2")), c.where("position >= 2"))
+    got = sorted((r["chain_id"], r["sequence"], r["record_id"], r["content_hash"], r["metadata"], r["prev_hash"], r["entry_hash"]) for r in entries.collect())
+    sha = lambda t: __import__("hashlib").sha256(t.encode()).hexdigest()
+    assert [r[3] for r in got[:4]] == ["ab" * 32, sha("words"), sha("http://x"), sha(" note 3 ")]
+    meta = json.loads(got[1][4])
+    assert meta["kind"] == "note" and meta["note"] == "note 1" and meta["text_length"] == 5 and meta["occurred_at"] == meta["entered_at"] and len(meta["device"]) == 200
+    prev = ledger.GENESIS
+    for r in got[:4]:
+        assert r[5] == prev and r[6] == ledger.entry_hash(r[1], r[2], r[3], json.loads(r[4]), prev)
+        prev = r[6]
+    (one, two) = sorted(matters.verify_matters(entries).collect())
+    assert one["valid"] and one["entries"] == 4 and one["merkle_root"] == ledger.merkle_root_of([r[6] for r in got[:4]])
+    names = spark.createDataFrame([(1, "T", "R1"), (3, "U", None)], "matter_id long, title string, reference string")
+    sealed = {r["matter_id"]: r for r in matters.seal_matters(names, entries).collect()}
+    assert sealed[1]["head_hash"] == prev and sealed[1]["anchor_text"].startswith("R1: 4 records") and sealed[1]["root_fingerprint"].replace("-", "").lower() == one["merkle_root"][:16]
+    assert sealed[3]["record_count"] == 0 and sealed[3]["head_hash"] == ledger.GENESIS
+    bent = entries.withColumn("metadata", ledger.F.regexp_replace("metadata", "note 1", "note 9"))
+    assert sorted((r["matter_id"], r["affected"]) for r in matters.verify_matters(bent).collect()) == [(1, [2]), (2, [2])]
+
+
+def test_merkle_proofs_of_a_table(spark):
+    rows = [(c, k, f"leaf{c}{k}") for c, n in enumerate((1, 2, 5, 8, 13)) for k in range(n)]
+    got = ledger.merkle_proofs(spark.createDataFrame(rows, "chain_id long, sequence long, entry_hash string")).collect()
+    for r in got:
+        mine = [x[2] for x in rows if x[0] == r["chain_id"]]
+        assert [p.asDict() for p in r["proof"]] == ledger.merkle_proof(mine, r["sequence"]) and r["leaf"] == mine[r["sequence"]]
+    assert len(got) == len(rows)
+
+
 def test_convergence(spark):
     """Any order and repetition of delivery gives the same state."""
     rng = random.Random(4)
