@@ -106,11 +106,12 @@ def candidate_join(vectors: DataFrame, threshold: float, id_col: str = "id", vec
             h = ((x @ planes.T) > 0).reshape(len(x), tables, bits) @ weight + (np.arange(tables, dtype=np.int64) << 32)
             yield pd.Series(list(h))
 
+    # ids meet in buckets; vectors are fetched for the distinct pairs only
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    dealt = v.withColumn("bucket", F.explode(buckets("v")))
-    l, r = dealt.select("bucket", F.col("id").alias("a"), F.col("v").alias("va")), dealt.select("bucket", F.col("id").alias("b"), F.col("v").alias("vb"))
-    met = l.join(r, "bucket").where("a < b").withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold)
-    return met.select("a", "b", "similarity").dropDuplicates(["a", "b"])
+    dealt = v.select("id", F.explode(buckets("v")).alias("bucket"))
+    met = dealt.withColumnRenamed("id", "a").join(dealt.withColumnRenamed("id", "b"), "bucket").where("a < b").select("a", "b").distinct()
+    both = met.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    return both.withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def duplicate_groups(vectors: DataFrame, threshold: float = 0.92, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
