@@ -325,13 +325,14 @@ def simple_split(text: str | None) -> list[str]:
     return [s for x in SPLIT.split((text or "").strip()) if (s := x.strip())]
 
 
-def extract_keywords(text: str | None, top_n: int = 8) -> list[str]:
-    """The best terms of one or two words by their greatest weight in a sentence; none shares a word with a better one."""
+def extract_keywords(text: str | None, top_n: int = 8, stop: frozenset[str] = STOPWORDS) -> list[str]:
+    """The best terms of one or two words by their greatest weight in a sentence; none shares a word with a better one. ``stop``: words that
+    no term has."""
     text = (text or "").strip()
     if not text:
         return []
     sentences = simple_split(text)
-    x, names = tfidf(sentences if len(sentences) > 1 else [text], grams=2, most=200)
+    x, names = tfidf(sentences if len(sentences) > 1 else [text], stop, grams=2, most=200)
     kept, used = [], set()
     if names:
         best = x.max(0)
@@ -345,10 +346,10 @@ def extract_keywords(text: str | None, top_n: int = 8) -> list[str]:
     return kept
 
 
-def rank_sentences(sentences: list[str], damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-4) -> np.ndarray:
+def rank_sentences(sentences: list[str], damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-4, stop: frozenset[str] = STOPWORDS) -> np.ndarray:
     """Centrality in the graph of cosine similarities; all 1 where there is nothing to compare."""
     n = len(sentences)
-    x, names = tfidf(sentences) if n > 1 else (None, [])
+    x, names = tfidf(sentences, stop) if n > 1 else (None, [])
     if not names:
         return np.ones(n)
     graph = x @ x.T
@@ -365,13 +366,13 @@ def rank_sentences(sentences: list[str], damping: float = 0.85, rounds: int = 50
     return rank
 
 
-def extractive_summary(text: str | None, ratio: float = 0.4, min_sentences: int = 3) -> list[str]:
+def extractive_summary(text: str | None, ratio: float = 0.4, min_sentences: int = 3, stop: frozenset[str] = STOPWORDS) -> list[str]:
     """The most central sentences, in their order."""
     sentences = simple_split(text)
     if len(sentences) <= min_sentences:
         return sentences
     keep = min(max(min_sentences, round(len(sentences) * ratio)), len(sentences))
-    best = set(np.argsort(-rank_sentences(sentences))[:keep].tolist())
+    best = set(np.argsort(-rank_sentences(sentences, stop=stop))[:keep].tolist())
     return [s for k, s in enumerate(sentences) if k in best]
 
 
