@@ -8,13 +8,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.plans.relations import spread
+
 #: Words are runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+BATCH_BYTES = 4_000_000
+
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -22,31 +27,37 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    """A table of texts, in pieces for all cores."""
+    return spread(read(spark, sf_dir, table))
+
+
 def map_rows(
     df: DataFrame,
     columns: list[Column],
     make: Callable[[], Callable[..., list]],
     schema: str,
     keep: int,
+    args: tuple[int, ...] | None = None,
 ) -> DataFrame:
     """Map ``df.select(columns)`` batch by batch; the first ``keep`` columns pass through unchanged.
 
-    ``make()`` runs once per task and returns a function from the batch's remaining columns
+    ``make()`` runs once per task and returns a function from the batch's remaining columns, or those at ``args``,
     (Python lists) to one list per added column. Only the chosen columns are read, so other
     columns of any name never matter.
     """
-    src = df.select(*columns)
+    src = bounded(df).select(*columns)
     fields = [*src.schema.fields[:keep], *T._parse_datatype_string(schema).fields]
     out = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
     arrow = _arrow_schema(out)
+    given = range(keep, len(columns)) if args is None else args
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
         for b in batches:
             fn = fn or make()
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                added = fn(*(part.column(i).to_pylist() for i in range(keep, part.num_columns)))
+            for part in parts(b):
+                added = fn(*(part.column(i).to_pylist() for i in given))
                 cols = [part.column(i).cast(arrow.field(i).type) for i in range(keep)]
                 cols += [pa.array(v, arrow.field(keep + i).type) for i, v in enumerate(added)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
@@ -65,7 +76,7 @@ def fold_rows(
     ``take`` sees the batch's columns and may yield rows early (to bound memory); ``finish``
     yields what is left at the end of the task.
     """
-    src = df.select(*columns)
+    src = bounded(df).select(*columns)
     out = T._parse_datatype_string(schema)
     arrow = _arrow_schema(out)
 
@@ -77,8 +88,7 @@ def fold_rows(
 
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for at in range(0, b.num_rows, 1000):
-                    part = b.slice(at, 1000)
+                for part in parts(b):
                     yield from take(*(part.column(i).to_pylist() for i in range(part.num_columns)))
             yield from finish()
 
@@ -94,6 +104,40 @@ def fold_rows(
     return src.mapInArrow(run, out)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session gives Python no Arrow batches above ``BATCH_BYTES`` from now on (but for single rows that are larger)."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    held = int("".join(c for c in (conf.get(key, None) or "0") if c.isdigit()) or 0)
+    if not 0 < held <= BATCH_BYTES:
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
+def parts(batch: pa.RecordBatch, rows: int = 1000, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows, and of ``size`` bytes of text where a single row is not larger."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(held)])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + rows, int(np.searchsorted(upto, upto[at] + size, "right")) - 1))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def row_key(id_col: str, text_col: str, digest: Column | None = None) -> list[Column]:
+    """Columns _id and _digest, without nulls, that are equal for two rows only if both id and text are equal or both null.
+
+    The text counts by its SHA-256 (``digest``, if it is known already); null differs from every text and id.
+    """
+    return [
+        F.coalesce(F.concat(F.lit("+"), F.col(id_col).cast("string")), F.lit("-")).alias("_id"),
+        F.coalesce(F.unhex(F.sha2(F.col(text_col), 256)) if digest is None else digest, F.unhex(F.lit(""))).alias("_digest"),
+    ]
+
+
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
