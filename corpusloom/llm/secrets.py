@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and a password guess-cost programme over credential-context values.
 
 Every match of the base patterns is a span. Values that stand in a credential context (``pwd=``,
-``Bearer``, ``user:value@host``) get a guess cost: the cheapest segmentation into dictionary words,
+``Bearer``, ``user:value@host``) get a guess cost: the minimum over all segmentations into dictionary words,
 dates, repeats, keyboard walks or alphabet runs, and brute-force characters, as log10 of the guesses an
 attacker needs. Costly ones are secrets of kind ``guess``.
 
@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, spans_text
+from .common import map_rows, spans_text, texts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -29,31 +29,34 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX16 = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 #: Contexts in which a value is a credential: a name and a sign, an authorisation scheme, or a URL's user part.
 CONTEXT = re.compile(
-    r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)["']?\x20{0,4}(?:=>|:=|[:=])\x20{0,4}["']?|\b(?:bearer|basic)\x20+|://[^\s:/@]{1,64}:)([^\s"'`<>,;]+)""",
+    r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)["']?\x20*(?:=>|:=|[:=])\x20*["']?|\b(?:bearer|basic)\x20+|://[^\s:/@]+:)([^\s"'`<>,;]+)""",
     re.I | re.A,
 )
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATES = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:(?:19|20)\d\d)|(?:19|20)\d\d")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
-LONGEST_WORD = 24
+SHORTEST = 3  # of words, walks and runs, in characters, and of repeats, in copies
+WALK_STEP = 0.4
+UNITS = (1, 2, 3, 4)  # lengths of what is repeated
 
 
 @lru_cache(4)
-def word_ranks(path: str) -> dict[str, float]:
-    """log10 rank of each word of a public vocabulary: its whole lower-case words of three letters or more, in file order."""
+def word_ranks(path: str) -> tuple[dict[str, float], int]:
+    """log10 rank of each word of a public vocabulary (its whole lower-case words of three letters or more, in file order), and the length of
+    the longest."""
     import base64
 
     ranks: dict[str, float] = {}
     with open(path, "rb") as f:
         for line in f:
             token = base64.b64decode(line.split()[0])
-            if token.startswith(b" ") and token[1:].isalpha() and token.isascii() and len(token) > 3:
+            if token.startswith(b" ") and token[1:].isalpha() and token.isascii() and len(token) > SHORTEST:
                 word = token[1:].decode().lower()
                 if word not in ranks:
                     ranks[word] = math.log10(len(ranks) + 2)
     for i, word in enumerate(("password", "passwd", "admin", "letmein", "welcome", "secret", "changeme", "root", "login", "token", "test", "example")):
         ranks[word] = math.log10(i + 2)
-    return ranks
+    return ranks, max(map(len, ranks))
 
 
 @lru_cache(1)
@@ -69,19 +72,66 @@ def char_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
 
 
-def guess_cost(value: str, ranks: dict[str, float]) -> float:
-    """log10 of the guesses of the cheapest segmentation; linear in the value's length."""
+def walk_cost(size: int) -> float:
+    return math.log10(47 * size) + WALK_STEP * (size - 2)
+
+
+def run_cost(size: int) -> float:
+    return math.log10(36 * size)
+
+
+def repeat_cost(copies: int) -> float:
+    """What copies add to the cost of the unit."""
+    return math.log10(copies) + 0.3
+
+
+class Starts:
+    """Places from which a span of a kind may reach the present place, with the cheapest costs up to them.
+
+    The cost of a span is the logarithm of its length and ``slope`` a character, so that what an earlier start is dearer than a
+    later one shrinks as the span grows, down to the difference of their costs at equal slope. A start goes once an earlier
+    one undercuts it, for that stays so, and once a later one is no dearer at equal slope, for then it never will undercut it.
+    """
+
+    def __init__(self, slope: float = 0.0) -> None:
+        self.slope = slope
+        self.held: list[tuple[int, float]] = []
+
+    def add(self, i: int, before: float) -> None:
+        key = before - self.slope * i
+        while self.held and self.held[-1][1] - self.slope * self.held[-1][0] >= key:
+            self.held.pop()
+        self.held.append((i, before))
+
+    def cheapest(self, j: int, cost) -> float:
+        """The least of the cost up to a start and ``cost`` (of the length from there to j)."""
+        best, kept = math.inf, []
+        for i, before in self.held:
+            if (x := before + cost(j - i)) < best:
+                best = x
+                kept.append((i, before))
+        self.held = kept
+        return best
+
+
+def guess_cost(value: str, words: tuple[dict[str, float], int]) -> float:
+    """log10 of the guesses of the cheapest segmentation."""
+    ranks, longest = words
     low, n, near = value.lower(), len(value), neighbours()
+    if len(low) != n:  # a few letters have a longer lower case
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     walk = run = 1  # lengths of the walk and of the alphabet run that end here
-    step, same = 0, [0] * 5
+    step, same = 0, [0] * (UNITS[-1] + 1)
+    walks, runs = Starts(WALK_STEP), Starts()
+    repeats = {(unit, r): Starts() for unit in UNITS for r in range(unit)}
     for j in range(1, n + 1):
         c = low[j - 1]
         # brute force: a span costs a start and each of its characters
         brute[j] = min(brute[j - 1], best[j - 1] + 0.5) + char_cost(value[j - 1])
         cost = brute[j]
-        for size in range(3, min(LONGEST_WORD, j) + 1):
+        for size in range(SHORTEST, min(longest, j) + 1):
             i = j - size
             if (rank := ranks.get(low[i:j])) is not None:
                 cost = min(cost, best[i] + rank + 0.3 * (value[i:j] != low[i:j]) + 0.3)
@@ -92,24 +142,30 @@ def guess_cost(value: str, ranks: dict[str, float]) -> float:
             d = ord(c) - ord(low[j - 2])
             run = run + 1 if d == step and d in (-1, 1) else 2 if d in (-1, 1) else 1
             step = d
-            if walk >= 3:
-                cost = min(cost, best[j - walk] + math.log10(47 * walk) + 0.4 * (walk - 2))
-            if run >= 3:
-                cost = min(cost, best[j - run] + math.log10(36 * run))
-        for unit in (1, 2, 3, 4):  # the longest run of three or more copies of a unit that ends here
+            for starts, size, price in ((walks, walk, walk_cost), (runs, run, run_cost)):
+                if size < SHORTEST:
+                    starts.held.clear()
+                    continue
+                starts.add(j - SHORTEST, best[j - SHORTEST])
+                cost = min(cost, starts.cheapest(j, price))
+        for unit in UNITS:
             same[unit] = same[unit] + 1 if j > unit and c == low[j - 1 - unit] else 0
-            copies = 1 + same[unit] // unit
-            if copies >= 3:
-                cost = min(cost, best[j - copies * unit] + sum(char_cost(x) for x in low[j - unit : j]) + math.log10(copies) + 0.3)
-        best[j] = cost
+            if not same[unit]:
+                for r in range(unit):
+                    repeats[unit, r].held.clear()
+            if same[unit] >= (SHORTEST - 1) * unit:
+                starts, i = repeats[unit, j % unit], j - SHORTEST * unit
+                starts.add(i, best[i])
+                cost = min(cost, sum(map(char_cost, low[j - unit : j])) + starts.cheapest(j, lambda size, unit=unit: repeat_cost(size // unit)))
         if c.isdigit():
             for size in (4, 6, 7, 8, 9, 10):
                 if j >= size and value[j - size].isdigit() and DATES.fullmatch(value, j - size, j):
-                    best[j] = min(best[j], best[j - size] + (2.1 if size == 4 else 4.6) + 0.3)
+                    cost = min(cost, best[j - size] + (2.1 if size == 4 else 4.6) + 0.3)
+        best[j] = cost
     return best[n]
 
 
-def scan(text: str | None, ranks: dict[str, float], min_length: int = 8, threshold: float = 10.0) -> tuple[list, list]:
+def scan(text: str | None, ranks: tuple[dict[str, float], int], min_length: int = 8, threshold: float = 10.0) -> tuple[list, list]:
     """(base spans, added spans), each (start, kind's place, end, kind)."""
     if not text:
         return [], []
@@ -134,48 +190,28 @@ def scan(text: str | None, ranks: dict[str, float], min_length: int = 8, thresho
     return base, more
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, min_length: int = 8, threshold: float = 10.0) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, min_length: int = 8, threshold: float = 10.0, finish=None, schema: str = "") -> DataFrame:
     """One row per document with its spans as an array of (kind, start, end, base); offsets are code points, end exclusive.
 
     ``vocabulary`` is a file of ranked tokens whose words form the dictionary; a value of ``min_length``
-    characters or more whose guess cost reaches ``threshold`` (log10) is a secret.
+    characters or more whose guess cost reaches ``threshold`` (log10) is a secret. ``finish`` and ``schema``, if given, turn the
+    base and the added spans of a text to other columns, in the same map.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def make():
-        ranks = word_ranks(path)
-
-        def fn(texts):
-            out = []
-            for t in texts:
-                base, more = scan(t, ranks, min_length, threshold)
-                out.append([{"kind": k, "start": s, "end": e, "base": o < 3} for s, o, e, k in sorted(base + more)])
-            return [out]
+    def spans(base, more):
+        return ([{"kind": k, "start": s, "end": e, "base": o < 3} for s, o, e, k in sorted(base + more)],)
 
-        return fn
+    def make():
+        ranks, then = word_ranks(path), finish or spans
+        return lambda texts: [list(c) for c in zip(*(then(*scan(t, ranks, min_length, threshold)) for t in texts), strict=True)]
 
-    return map_rows(docs, [F.col(id_col), F.col(text_col)], make, "spans array<struct<kind:string,start:int,end:int,base:boolean>>", 1)
+    return map_rows(docs, [F.col(id_col), F.col(text_col)], make, schema or "spans array<struct<kind:string,start:int,end:int,base:boolean>>", 1)
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
-    from .common import read
+    def digests(base, more):
+        counts = [sum(s[1] == k for s in base) for k in range(3)]
+        return *counts, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(base + more), len(more)
 
-    order = {k: i for i, k in enumerate(KINDS)}
-
-    def make():
-        def fn(lists):
-            cols: list[list] = [[] for _ in range(6)]
-            for spans in lists:
-                all_ = [(s["start"], order[s["kind"]], s["end"], s["kind"]) for s in spans]
-                base = [s for s in all_ if s[1] < 3]
-                for k in range(3):
-                    cols[k].append(sum(s[1] == k for s in base))
-                cols[3].append(hashlib.sha256(spans_text(base).encode()).hexdigest())
-                cols[4].append(spans_text(all_))
-                cols[5].append(len(all_) - len(base))
-            return cols
-
-        return fn
-
-    found = find_secrets(read(spark, sf_dir, "documents"))
-    return map_rows(found, [F.col("doc_id"), F.col("spans")], make, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long", 1)
+    return find_secrets(texts(spark, sf_dir), finish=digests, schema="n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
