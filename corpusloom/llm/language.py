@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, code_points, fold_rows, map_rows, read
+from .common import bucket, code_points, fold_rows, map_rows, texts
 
 BINS = 1 << 16
 SMOOTHING = 0.5
@@ -24,14 +24,13 @@ CHUNK = 1 << 20
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-case code points; everything but letters is one blank."""
+    """Lower-case code points; everything but letters is a blank. What a character becomes depends on nothing but it."""
     cp = code_points(text.lower())
     known = _is_letter()
     keep = known[np.minimum(cp, len(known) - 1)]
-    cp = np.where(keep, cp, 32).astype(np.uint32)
-    if len(cp) < 2:
-        return cp
-    return cp[np.concatenate([[True], (cp[1:] != 32) | (cp[:-1] != 32)])]
+    cp = np.where(keep, cp, 32).astype(np.uint64)
+    cp[cp == 0x3C2] = 0x3C3  # lower case of a sigma depends on its neighbours
+    return cp
 
 
 _LETTER: list[np.ndarray] = []
@@ -44,30 +43,28 @@ def _is_letter() -> np.ndarray:
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """Bins and counts of the text's trigrams; None if it has no letter."""
+    """Bins and counts of the text's trigrams, with a blank before and after it and runs of blanks as one; None if it has no letter.
+
+    Long texts come in chunks; each begins with the last two characters of what came before.
+    """
     if not text:
         return None
-    bins = None
-    for at in range(0, len(text), CHUNK):  # long texts in chunks that share two characters
-        cp = letters(text[max(0, at - 2) : at + CHUNK])
-        if not (cp != 32).any():
-            continue
-        cp = np.concatenate([[32], cp, [32]]).astype(np.uint64)
-        h = (cp[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (cp[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (cp[2:] * np.uint64(0x165667B19E3779F9))
-        h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
-        part = h.astype(np.int64)
-        bins = part if bins is None else np.concatenate([bins, part])
-        if len(bins) > 4 * CHUNK:
-            return _long(text)
-    return None if bins is None else np.unique(bins, return_counts=True)
-
-
-def _long(text: str) -> tuple[np.ndarray, np.ndarray]:
-    total = np.zeros(BINS, np.int64)
+    seen, whole = np.full(1, 32, np.uint64), len(text) <= CHUNK
+    total = None if whole else np.zeros(BINS, np.int64)
+    any_letter = False
     for at in range(0, len(text), CHUNK):
-        if (part := trigrams(text[max(0, at - 2) : at + CHUNK])) is not None:
-            total[part[0]] += part[1]
-    return np.nonzero(total)[0], total[total > 0]
+        cp = letters(text[at : at + CHUNK])
+        any_letter = any_letter or bool((cp != 32).any())
+        cp = np.concatenate([seen, cp, np.full(int(at + CHUNK >= len(text)), 32, np.uint64)])
+        cp = cp[np.concatenate([[True], (cp[1:] != 32) | (cp[:-1] != 32)])]
+        h = (cp[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (cp[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (cp[2:] * np.uint64(0x165667B19E3779F9))
+        h = (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int64)
+        if total is not None:
+            total += np.bincount(h, minlength=BINS)
+        seen = cp[-2:]
+    if not any_letter:
+        return None
+    return np.unique(h, return_counts=True) if total is None else (np.flatnonzero(total), total[total > 0])
 
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -162,7 +159,10 @@ def identify(docs: DataFrame, trained: tuple[list[str], np.ndarray], *, text_col
         return fn
 
     keep = keep or [F.col("doc_id")]
-    return map_rows(docs, [*keep, F.col(text_col).alias("_text")], make, "lang_pred string, score double, mixture map<string,double>", len(keep))
+    schema, names = "lang_pred string, score double, mixture map<string,double>", docs.select(*keep).columns
+    if text_col in names:
+        return map_rows(docs, keep, make, schema, len(keep), (names.index(text_col),))
+    return map_rows(docs, [*keep, F.col(text_col).alias("_text")], make, schema, len(keep))
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -170,7 +170,7 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op4_language_mixture(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     trained = model(train(training_rows(docs)))
     held_out = bucket(F.col("doc_id"), 3) == 1
     return identify(docs, trained, keep=[F.col("doc_id"), held_out.alias("held_out")]).drop("mixture")
