@@ -8,8 +8,7 @@ partitions; half of them of each likelier class where there are as many) on whic
 trained; it then scores every document.
 
 Null and empty texts score 0 and are not kept. Repeated rows count as often as they occur and get equal results; a sample
-holds equal texts once; ties of the hash are broken by the text; other columns are ignored; an empty table gives an empty
-result.
+holds texts of equal hash once; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import checkpointed
 
-from .common import DIGIT, LOWER, N_CLASSES, OTHER_LETTER, PUNCT, SPACE, SYMBOL, UPPER, WORD, char_classes, code_points, map_rows, read
+from .common import DIGIT, LOWER, N_CLASSES, OTHER_LETTER, PUNCT, SPACE, SYMBOL, UPPER, WORD, char_classes, code_points, map_rows, texts
 
 DIM = 1 << 12
 GOOD, NONE, BAD = 1, 0, -1
@@ -53,7 +52,7 @@ LABELLERS = (
 def shape(word: str) -> str:
     for rx, to in zip(SHAPES, ("A", "a", "0"), strict=True):
         word = rx.sub(to, word)
-    return word[:12]
+    return word
 
 
 #: Shapes of plain words, in lower case or with a capital, and the sign that ends them.
@@ -227,4 +226,4 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_weak_label_quality(spark, sf_dir: str) -> DataFrame:
-    return classify(read(spark, sf_dir, "documents"))
+    return classify(texts(spark, sf_dir))

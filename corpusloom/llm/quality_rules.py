@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import N_CLASSES, WORD, char_classes, code_points, fold_rows, map_rows, read
+from .common import N_CLASSES, WORD, char_classes, code_points, fold_rows, map_rows, texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -182,5 +182,5 @@ def judge(docs: DataFrame, refs: list[dict], *, id_col: str = "doc_id", text_col
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return judge(docs, references(docs))

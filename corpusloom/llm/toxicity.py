@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import checkpointed
 
-from .common import WORD, bucket, fold_rows, map_rows, read
+from .common import WORD, bucket, fold_rows, map_rows, read, texts
 
 BINS = 1 << 18
 EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_"
@@ -310,7 +310,7 @@ def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     held_out = bucket(F.col("doc_id"), 5) == 0
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = fit(labelled(docs.where(~held_out), labels.where(~held_out)))
