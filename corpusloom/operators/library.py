@@ -258,6 +258,17 @@ def circle_layout(nodes: DataFrame, order: str = "id") -> DataFrame:
     return ranked.withColumns({"x": F.cos(angle), "y": F.sin(angle)})
 
 
+def with_status(jobs: DataFrame, statuses: tuple[str, ...] = ("running", "queued"), limit: int | None = 12) -> DataFrame:
+    """The newest jobs of some statuses (by created_at, then id)."""
+    out = jobs.where(F.col("status").isin(*statuses)).orderBy(F.desc("created_at"), F.desc("id"))
+    return out.limit(limit) if limit else out
+
+
+def digest(items: DataFrame, watches: DataFrame) -> DataFrame:
+    """Digest items with the address of their watch, if it is still there. items: watch_id, ...; watches: id, url."""
+    return items.join(watches.select(F.col("id").alias("watch_id"), "url"), "watch_id", "left")
+
+
 def runs_with_rules(runs: DataFrame, rules: DataFrame) -> DataFrame:
     return runs.join(rules.select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name")), "rule_id", "left").withColumn("rule_name", F.coalesce("rule_name", F.lit("(deleted rule)")))
 

@@ -42,7 +42,8 @@ def active_entries(spark, sf):
 
 @query("status_in_list", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('O', 'P') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 12")
 def status_in_list(spark, sf):
-    return table(spark, sf, "orders").where(F.col("o_orderstatus").isin("O", "P")).orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(12).select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    jobs = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_orderstatus AS status", "o_orderdate AS created_at")
+    return lib.with_status(jobs, ("O", "P")).select("id", "status")
 
 
 @query("due_cards", f"WITH {CARDS} SELECT id, user_id FROM cards WHERE next_review_at <= TIMESTAMP '{NOW}'")
@@ -212,8 +213,8 @@ def runs_with_rules(spark, sf):
 
 @query("digest_items", "SELECT o_orderkey AS id, c_name AS url FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
 def digest_items(spark, sf):
-    w = table(spark, sf, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey AS watch_id", "c_name AS url")
-    return table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey AS watch_id").join(w, "watch_id", "left").select("id", "url")
+    w = table(spark, sf, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey AS id", "c_name AS url")
+    return lib.digest(table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey AS watch_id"), w).select("id", "url")
 
 
 @query("list_matters", "SELECT c_custkey AS id, count(o_orderkey) AS records, max_by('h' || CAST(o_totalprice AS VARCHAR), o_orderkey) IS NOT NULL AS sealed, max(o_orderkey) AS last_seal FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
