@@ -286,6 +286,7 @@ tokenize_udf = _udf(tokenize, TEXTS)
 content_tokens_udf = _udf(content_tokens, TEXTS)
 sentences_udf = _udf(split_sentences, TEXTS)
 stem_udf = _udf(lambda w: None if w is None else porter_stem(w), TEXT)
+word_syllables_udf = _udf(count_syllables, IntegerType())
 syllables_udf = _udf(lambda t: sum(map(count_syllables, tokenize(t))), IntegerType())
 
 

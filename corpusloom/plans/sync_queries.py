@@ -218,3 +218,19 @@ def verify_matters(spark, sf):
     changed = entries.withColumn("metadata", F.when(F.col("record_id").cast("long") % 83 == 0, F.lit("{}")).otherwise(F.col("metadata")))
     files = o.where("position % 97 <> 0").selectExpr("record_id", "CASE WHEN position % 89 = 0 THEN 'other' ELSE file_hash END AS current_hash")
     return matters.verify_matters(changed, files).select("matter_id", "entries", "problems", "valid", F.array_join(F.col("affected").cast("array<string>"), ",").alias("affected"))
+
+
+@query("canonical_keys", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN j ELSE '#' || sha256(j) END AS key FROM (SELECT event_id, '{\"a\":' || event_id || ',\"b\":[' || user_id || ',null,true],\"c\":\"' || CASE WHEN event_id % 2 = 0 THEN event_type ELSE repeat(event_type, 40) END || '\"}' AS j FROM events)")
+def canonical_keys(spark, sf):
+    """Keys of values whose members come in another order and with blanks; long ones are hashed."""
+    word = F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.repeat("event_type", 40))
+    value = F.concat(F.lit('{ "c": "'), word, F.lit('", "b": ['), F.col("user_id").cast("string"), F.lit(', null, true], "a": '), F.col("event_id").cast("string"), F.lit("}"))
+    return table(spark, sf, "events").select("event_id", crdt.canonical_key_udf(value).alias("key"))
+
+
+@query("sse_frames", "SELECT event_id AS seq, CASE WHEN event_id % 7 = 0 THEN ': heartbeat' || chr(10) || chr(10) ELSE 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: {\"user_id\":' || user_id || '}' || chr(10) || chr(10) END AS frame FROM events")
+def sse_frames(spark, sf):
+    from corpusloom.streaming import rooms
+
+    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, "heartbeat").otherwise(F.col("event_type")).alias("event_type"), "user_id")
+    return rooms.format_sse(e).select("seq", "frame")

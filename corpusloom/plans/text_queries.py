@@ -201,3 +201,14 @@ def query_audio_index(spark, sf):
 @query("audio_repeats")
 def audio_repeats(spark, sf):
     return audio.repeats(hashes(spark, sf), min_gap=5.0, min_hashes=3, hop=1.0)
+
+
+W1 = "regexp_replace(lower(w), '[^a-z]', '', 'g')"
+LISTED = " ".join(f"WHEN x = '{w}' THEN {n}" for w, n in lexicon.SYLLABLES.items())
+
+
+@query("syllables", f"WITH {A}, t AS (SELECT DISTINCT unnest(regexp_extract_all(t, '[A-Za-z]+')) AS w FROM a), x AS (SELECT w, {W1} AS x FROM t) SELECT w AS word, CASE {LISTED} WHEN length(x) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN x LIKE '%e' AND x NOT LIKE '%le' AND x NOT LIKE '%ee' AND x NOT LIKE '%ye' THEN 1 ELSE 0 END - CASE WHEN x LIKE '%ed' AND x NOT LIKE '%ted' AND x NOT LIKE '%ded' THEN 1 ELSE 0 END) END AS n FROM x", ints=("n",))
+def syllables(spark, sf):
+    """Syllables of every distinct word of the documents."""
+    w = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).distinct()
+    return w.select("word", tx.word_syllables_udf("word").alias("n"))
