@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.plans.registry import query
-from corpusloom.plans.relations import ENTRIES, entries, table
+from corpusloom.plans.relations import ENTRIES, entries, spread, table
 
 
 def _where(name: str, condition: str, sql: str) -> None:
@@ -52,3 +52,27 @@ def run_rules(spark, sf):
 def apply_rule_actions(spark, sf):
     e = rows(spark, sf)
     return rules.apply_actions(e, rules.run_rules(e, RULES, "entry.created", ascii_only=True), RULES).select("id", "is_archived", "is_pinned")
+
+
+def _over_documents(name: str, condition: str, sql: str) -> None:
+    """A rule over whole documents, with accents folded, against the same condition in SQL."""
+
+    @query(name, f"WITH a AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS (SELECT doc_id, text, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || '~' ELSE c END), '') AS t FROM a) SELECT doc_id FROM b WHERE {sql}")
+    def run(spark, sf, condition=condition):
+        d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+        return d.where(rules.condition(condition, d.schema)).select("doc_id")
+
+
+WORDS = "regexp_extract_all(lower(t), '[a-z0-9]+(?:''[a-z]+)?')"
+
+# words with the stem "sch" or "nicht" are those and their plurals, and what a silent or past ending makes of the latter
+_over_documents("rule_mentions", 'text mentions "SCH" or text mentions "nicht aulich"', f"list_has_any({WORDS}, ['sch', 'schs']) OR regexp_matches(' ' || array_to_string({WORDS}, ' ') || ' ', ' (nicht|nichts|nichte|nichtes|nichted|nichting) (aulich|aulichs|auliche|auliches|auliched|auliching) ')")
+# a pattern sees the first 20 000 characters, which bounds what a rule may cost
+_over_documents("rule_matches", "text matches /[0-9]{4} [0-9]{4}/ or text matches /DIE/i", "regexp_matches(left(text, 20000), '[0-9]{4} [0-9]{4}') OR regexp_matches(left(text, 20000), '(?i)DIE')")
+
+
+@query("rule_explain", "SELECT o_orderkey AS id, 'total is more than ' || CAST(o_orderkey % 50 AS VARCHAR) || ' and not (status is F)' AS explain FROM orders")
+def rule_explain(spark, sf):
+    """What fifty rules say in words."""
+    said = spark.createDataFrame([(k, rules.describe(rules.parse(f'total > {k} and not status == "F"')).replace("'", "")) for k in range(50)], "k int, explain string")
+    return table(spark, sf, "orders").selectExpr("o_orderkey AS id", "CAST(o_orderkey % 50 AS INT) AS k").join(said, "k").select("id", "explain")
