@@ -2,10 +2,11 @@
 
 A text is cut into pieces by the tokenizer's pattern; a piece's ids depend on nothing but the piece. Each task
 therefore gathers the distinct pieces it has not seen, and replays the merges over all of them at once: an
-inverted index leads from a merge's rank to the (piece, position) pairs where it applies, ranks are taken in
-ascending order, and a merge looks again only at the two neighbours it touched. Pieces merge independently of
-each other, so replaying a corpus by blocks gives the same ids as one replay over the whole corpus, and no
-shuffle is needed. The store of known pieces is bounded and simply starts anew when full.
+inverted index leads from a pair of tokens to the (piece, position) places where it stands, merges are taken in
+rank order, and a merge looks again only at the two neighbours it touched. Pieces merge independently of
+each other, so replaying a corpus by blocks gives the same ids as one replay over the whole corpus. (One replay for
+all would need every occurrence of a piece joined with its ids: a shuffle of all tokens of the corpus.) The store of known
+pieces is bounded; when full, it lets go of those that have not come up for longest.
 
 Null and empty texts have no ids. Repeated rows give repeated results; other columns are ignored; an empty
 table gives an empty result.
@@ -25,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, read
+from .common import map_rows, texts
 
 LONG = 4_000_000  # characters of a text from which on it is taken in blocks
-STORE = 500_000  # distinct pieces kept by a task
+STORE = 150_000  # distinct pieces, and pairs of tokens, that a task keeps in each of two generations
 
 
 @lru_cache(2)
@@ -71,32 +72,48 @@ def replay(pieces: list[bytes], merges: Merges) -> list[bytes]:
     rank = np.full(n, -1)
     rank[:-1] = merges.pairs[flat[:-1] << 8 | flat[1:]]
     rank[ends - 1] = -1
-    order = np.argsort(rank, kind="stable")
-    order = order[np.searchsorted(rank[order], 0) :]
-    # the index: rank of a merge -> places of the left token, in order
-    cut = np.flatnonzero(np.diff(rank[order])) + 1
-    index: dict[int, list[int]] = {int(rank[g[0]]): g.tolist() for g in np.split(order, cut)} if len(order) else {}
+    # the index: pair of tokens -> places of the left one, in order; and the pairs that wait under the rank of their merge
+    key = np.zeros(n, np.int64)
+    key[:-1] = merges.single[flat[:-1]] << 20 | merges.single[flat[1:]]
+    order = np.flatnonzero(rank >= 0)
+    order = order[np.argsort(key[order], kind="stable")]
+    cut = np.flatnonzero(np.diff(key[order])) + 1
+    index: dict[int, list[int]] = {}
+    waiting: dict[int, list[int]] = {}
+    for g in np.split(order, cut) if len(order) else ():
+        index[int(key[g[0]])] = g.tolist()
+        waiting.setdefault(int(rank[g[0]]), []).append(int(key[g[0]]))
     part, after, before = merges.single[flat].tolist(), nxt.tolist(), prv.tolist()
     known, look = merges.known, merges.look
-    heap = list(index)
+    heap = list(waiting)
     heapq.heapify(heap)
+
+    def note(pair: int, m: int, place: int) -> None:
+        """A pair that merges to m stands at a place."""
+        if pair in index:
+            index[pair].append(place)
+            return
+        index[pair] = [place]
+        if m in waiting:
+            waiting[m].append(pair)
+        else:
+            waiting[m] = [pair]
+            heapq.heappush(heap, m)
+
     while heap:
         r = heapq.heappop(heap)
-        places = index.pop(r, None)
-        if not places:
-            continue
-        places.sort()
+        # pairs that make the same token count as one merge, taken from left to right
+        places = sorted(p for pair in waiting.pop(r) for p in index.pop(pair))
         held = -1  # end of a piece in which a merge of this rank or a lower one has come up: its later places wait their turn
-        wait: list[int] = []
         for p in places:
             left, q = part[p], after[p]
             if left < 0 or q < 0:
                 continue
-            if p <= held:
-                wait.append(p)
+            pair = left << 20 | part[q]
+            if (known[pair] if pair in known else look(pair)) != r:
                 continue
-            key = left << 20 | part[q]
-            if (known[key] if key in known else look(key)) != r:
+            if p <= held:
+                note(pair, r, p)
                 continue
             part[p], part[q] = r, -1
             z = after[p] = after[q]
@@ -104,35 +121,21 @@ def replay(pieces: list[bytes], merges: Merges) -> list[bytes]:
             soon = False
             if z >= 0:
                 before[z] = p
-                key = r << 20 | part[z]
-                m = known[key] if key in known else look(key)
+                pair = r << 20 | part[z]
+                m = known[pair] if pair in known else look(pair)
                 if m >= 0:
                     soon = m <= r
-                    if m in index:
-                        index[m].append(p)
-                    else:
-                        index[m] = [p]
-                        heapq.heappush(heap, m)
+                    note(pair, m, p)
             if a >= 0:
-                key = part[a] << 20 | r
-                m = known[key] if key in known else look(key)
+                pair = part[a] << 20 | r
+                m = known[pair] if pair in known else look(pair)
                 if m >= 0:
                     soon = soon or m <= r
-                    if m in index:
-                        index[m].append(a)
-                    else:
-                        index[m] = [a]
-                        heapq.heappush(heap, m)
+                    note(pair, m, a)
             if soon:
                 held = p
                 while after[held] >= 0:
                     held = after[held]
-        if wait:
-            if r in index:
-                index[r].extend(wait)
-            else:
-                index[r] = wait
-                heapq.heappush(heap, r)
     ids = np.array(part)
     alive = ids >= 0
     upto = np.concatenate([[0], np.cumsum(alive)])
@@ -141,7 +144,7 @@ def replay(pieces: list[bytes], merges: Merges) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts; keeps up to ``store`` distinct pieces from one call to the next."""
+    """Encodes texts; keeps up to twice ``store`` distinct pieces from one call to the next."""
 
     def __init__(self, path: str, pattern: str, store: int = STORE) -> None:
         self.merges = Merges(path)
@@ -149,10 +152,14 @@ class Encoder:
         self.pattern, self.store = regex.compile(pattern), store
         self.split = self.pattern.findall
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, fresh: set[str]) -> None:
-        todo, known, ranks = [], self.known, self.ranks
+        todo, known, old, ranks = [], self.known, self.old, self.ranks
         for w in fresh:
+            if (ids := old.get(w)) is not None:
+                known[w] = ids
+                continue
             b = w.encode()
             if (r := ranks.get(b)) is not None:
                 known[w] = r.to_bytes(4, "little")
@@ -163,6 +170,13 @@ class Encoder:
             for (w, _), ids in zip(block, replay([b for _, b in block], self.merges), strict=True):
                 known[w] = ids
 
+    def bound(self) -> None:
+        """Let go of the pieces that have not come up since the store was last full."""
+        if len(self.known) > self.store:
+            self.old, self.known = self.known, {}
+        if len(self.merges.known) > STORE:
+            self.merges.known.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; takes the texts in groups of about a million characters."""
         out: list[bytes] = []
@@ -172,10 +186,7 @@ class Encoder:
         def close() -> None:
             nonlocal group, size
             words = set().union(*group)
-            if len(self.known) > self.store:
-                self.known.clear()
-            if len(self.merges.known) > 2 * STORE:
-                self.merges.known.clear()
+            self.bound()
             self.learn(words.difference(self.known))
             get = self.known.__getitem__
             out.extend(b"".join(map(get, g)) for g in group)
@@ -198,8 +209,7 @@ class Encoder:
     def blocks(self, text: str, size: int = 200_000) -> Iterator[bytes]:
         found = (m.group() for m in self.pattern.finditer(text))
         while block := list(islice(found, size)):
-            if len(self.known) > self.store:
-                self.known.clear()
+            self.bound()
             self.learn(set(block).difference(self.known))
             yield b"".join(map(self.known.__getitem__, block))
 
@@ -245,4 +255,4 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(read(spark, sf_dir, "documents"))
+    return digests(texts(spark, sf_dir))
