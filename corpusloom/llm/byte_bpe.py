@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -29,9 +30,14 @@ from pyspark.sql import functions as F
 from .common import map_rows, texts
 
 LONG = 4_000_000  # characters of a text from which on it is taken in blocks
+BLOCK, MANY = 30_000, 100  # pieces of one replay; places of a merge from which on it takes many pieces at once
 STORE = 150_000  # distinct pieces, and pairs of tokens, that a task keeps in each of two generations
 
 
+#: The public pattern for ASCII texts, which the standard library's engine cuts faster.
+ASCII_PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", "[^\\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+
+
 @lru_cache(2)
 def load_ranks(path: str) -> tuple[dict[bytes, int], list[bytes]]:
     import base64
@@ -58,6 +64,9 @@ class Merges:
         r = self.known[key] = self.ranks.get(self.tokens[key >> 20] + self.tokens[key & 0xFFFFF], -1)
         return r
 
+    def rank_of(self, key: int) -> int:
+        return self.known[key] if key in self.known else self.look(key)
+
 
 def replay(pieces: list[bytes], merges: Merges) -> list[bytes]:
     """The ids of each piece, packed as little-endian unsigned 32-bit integers. Pieces are not empty."""
@@ -67,82 +76,110 @@ def replay(pieces: list[bytes], merges: Merges) -> list[bytes]:
     ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
     starts = np.concatenate([[0], ends[:-1]])
     n = len(flat)
-    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
-    nxt[ends - 1] = prv[starts] = -1
-    rank = np.full(n, -1)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1] = before[starts] = -1
+    part = merges.single[flat]
+    rank, key = np.full(n, -1), np.zeros(n, np.int64)
     rank[:-1] = merges.pairs[flat[:-1] << 8 | flat[1:]]
     rank[ends - 1] = -1
-    # the index: pair of tokens -> places of the left one, in order; and the pairs that wait under the rank of their merge
-    key = np.zeros(n, np.int64)
-    key[:-1] = merges.single[flat[:-1]] << 20 | merges.single[flat[1:]]
-    order = np.flatnonzero(rank >= 0)
-    order = order[np.argsort(key[order], kind="stable")]
-    cut = np.flatnonzero(np.diff(key[order])) + 1
-    index: dict[int, list[int]] = {}
+    key[:-1] = part[:-1] << 20 | part[1:]
+    # the index: pair of tokens -> places of the left one; and the pairs that wait under the rank of their merge
+    index: dict[int, list] = {}
     waiting: dict[int, list[int]] = {}
-    for g in np.split(order, cut) if len(order) else ():
-        index[int(key[g[0]])] = g.tolist()
-        waiting.setdefault(int(rank[g[0]]), []).append(int(key[g[0]]))
-    part, after, before = merges.single[flat].tolist(), nxt.tolist(), prv.tolist()
-    known, look = merges.known, merges.look
-    heap = list(waiting)
-    heapq.heapify(heap)
+    heap: list[int] = []
 
-    def note(pair: int, m: int, place: int) -> None:
-        """A pair that merges to m stands at a place."""
+    def note(pair: int, m: int, places: list[int]) -> None:
+        """A pair that merges to m stands at these places."""
         if pair in index:
-            index[pair].append(place)
-            return
-        index[pair] = [place]
-        if m in waiting:
-            waiting[m].append(pair)
+            index[pair] += places
         else:
-            waiting[m] = [pair]
-            heapq.heappush(heap, m)
-
+            index[pair] = places
+            if m in waiting:
+                waiting[m].append(pair)
+            else:
+                waiting[m] = [pair]
+                heapq.heappush(heap, m)
+
+    def note_all(keys: np.ndarray, places: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], places[order].tolist()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i < j and (m := merges.rank_of(int(keys[i]))) >= 0:
+                note(int(keys[i]), m, places[i:j])
+
+    found = np.flatnonzero(rank >= 0)
+    note_all(key[found], found)
+    owner = np.repeat(np.arange(len(pieces)), ends - starts)
+    views = memoryview(part), memoryview(after), memoryview(before)  # for what goes place by place
     while heap:
         r = heapq.heappop(heap)
-        # pairs that make the same token count as one merge, taken from left to right
-        places = sorted(p for pair in waiting.pop(r) for p in index.pop(pair))
-        held = -1  # end of a piece in which a merge of this rank or a lower one has come up: its later places wait their turn
-        for p in places:
-            left, q = part[p], after[p]
-            if left < 0 or q < 0:
-                continue
-            pair = left << 20 | part[q]
-            if (known[pair] if pair in known else look(pair)) != r:
-                continue
-            if p <= held:
-                note(pair, r, p)
-                continue
-            part[p], part[q] = r, -1
-            z = after[p] = after[q]
-            a = before[p]
-            soon = False
-            if z >= 0:
-                before[z] = p
-                pair = r << 20 | part[z]
-                m = known[pair] if pair in known else look(pair)
-                if m >= 0:
-                    soon = m <= r
-                    note(pair, m, p)
-            if a >= 0:
-                pair = part[a] << 20 | r
-                m = known[pair] if pair in known else look(pair)
-                if m >= 0:
-                    soon = soon or m <= r
-                    note(pair, m, a)
-            if soon:
-                held = p
-                while after[held] >= 0:
-                    held = after[held]
-    ids = np.array(part)
-    alive = ids >= 0
+        pairs = waiting.pop(r)
+        found = index.pop(pairs[0]) if len(pairs) == 1 else [p for pair in pairs for p in index.pop(pair)]
+        if len(found) < MANY:
+            found.sort()
+            _one_by_one(found, r, *views, merges, note)
+            continue
+        # a common merge takes all pieces at once in which it applies at one place
+        places = np.unique(np.array(found))
+        places = places[(part[places] >= 0) & (after[places] >= 0)]
+        key = part[places] << 20 | part[after[places]]
+        places = places[key == pairs[0] if len(pairs) == 1 else np.isin(key, pairs)]
+        whose = owner[places]
+        lone = np.ones(len(places), bool)
+        lone[1:] &= whose[1:] != whose[:-1]
+        lone[:-1] &= whose[1:] != whose[:-1]
+        p = places[lone]
+        q = after[p]
+        z, a = after[q], before[p]
+        part[p], part[q], after[p] = r, -1, z
+        before[z[z >= 0]] = p[z >= 0]
+        left = a[a >= 0]
+        note_all(np.concatenate([r << 20 | part[z[z >= 0]], part[left] << 20 | r]), np.concatenate([p[z >= 0], left]))
+        if len(p) < len(places):
+            _one_by_one(places[~lone].tolist(), r, *views, merges, note)
+    alive = part >= 0
     upto = np.concatenate([[0], np.cumsum(alive)])
-    packed = ids[alive].astype("<u4").tobytes()
+    packed = part[alive].astype("<u4").tobytes()
     return [packed[i:j] for i, j in zip((4 * upto[starts]).tolist(), (4 * upto[ends]).tolist(), strict=True)]
 
 
+def _one_by_one(places: list[int], r: int, part: memoryview, after: memoryview, before: memoryview, merges: Merges, note: Callable) -> None:
+    """The merge of rank r at its places, from left to right; pairs that make the same token count as one merge."""
+    known, look = merges.known, merges.look
+    held = -1  # end of a piece in which a merge of this rank or a lower one has come up: its later places wait their turn
+    for p in places:
+        left, q = part[p], after[p]
+        if left < 0 or q < 0:
+            continue
+        pair = left << 20 | part[q]
+        if (known[pair] if pair in known else look(pair)) != r:
+            continue
+        if p <= held:
+            note(pair, r, [p])
+            continue
+        z, a = after[q], before[p]
+        part[p], part[q], after[p] = r, -1, z
+        soon = False
+        if z >= 0:
+            before[z] = p
+            pair = r << 20 | part[z]
+            m = known[pair] if pair in known else look(pair)
+            if m >= 0:
+                soon = m <= r
+                note(pair, m, [p])
+        if a >= 0:
+            pair = part[a] << 20 | r
+            m = known[pair] if pair in known else look(pair)
+            if m >= 0:
+                soon = soon or m <= r
+                note(pair, m, [a])
+        if soon:
+            held = p
+            while after[held] >= 0:
+                held = after[held]
+
+
 class Encoder:
     """Encodes texts; keeps up to twice ``store`` distinct pieces from one call to the next."""
 
@@ -150,7 +187,7 @@ class Encoder:
         self.merges = Merges(path)
         self.ranks, self.tokens = self.merges.ranks, self.merges.tokens
         self.pattern, self.store = regex.compile(pattern), store
-        self.split = self.pattern.findall
+        self.plain = re.compile(ASCII_PATTERN, re.A).findall if pattern == public_tokenizers.PATTERN else self.pattern.findall
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -165,8 +202,8 @@ class Encoder:
                 known[w] = r.to_bytes(4, "little")
             else:
                 todo.append((w, b))
-        for at in range(0, len(todo), 50_000):
-            block = todo[at : at + 50_000]
+        for at in range(0, len(todo), BLOCK):
+            block = todo[at : at + BLOCK]
             for (w, _), ids in zip(block, replay([b for _, b in block], self.merges), strict=True):
                 known[w] = ids
 
@@ -178,33 +215,38 @@ class Encoder:
             self.merges.known.clear()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text; takes the texts in groups of about a million characters."""
+        """Packed ids of each text; learns the pieces of the texts in groups of about a million characters."""
         out: list[bytes] = []
-        group: list[list[str]] = []
+        group: list[str] = []
         size = 0
-
-        def close() -> None:
-            nonlocal group, size
-            words = set().union(*group)
-            self.bound()
-            self.learn(words.difference(self.known))
-            get = self.known.__getitem__
-            out.extend(b"".join(map(get, g)) for g in group)
-            group, size = [], 0
-
         for t in texts:
-            if t and len(t) > LONG:  # the pieces of a very long text come in blocks
-                if group:
-                    close()
-                out.append(b"".join(self.blocks(t)))
-                continue
-            group.append(self.split(t) if t else [])
+            group.append(t or "")
             size += len(t or "")
             if size > 1_000_000:
-                close()
-        if group:
-            close()
-        return out
+                out += self.encode_group(group)
+                group, size = [], 0
+        return out + self.encode_group(group)
+
+    def encode_group(self, texts: list[str]) -> list[bytes]:
+        self.bound()
+        get = self.known.get
+        held: list = []
+        fresh: set[str] = set()
+        for t in texts:
+            if len(t) > LONG:  # the pieces of a very long text come in blocks
+                held.append(t)
+                continue
+            pieces = self.plain(t) if t.isascii() else self.pattern.findall(t)
+            ids = list(map(get, pieces))
+            if None in ids:
+                fresh.update(w for w, x in zip(pieces, ids, strict=True) if x is None)
+                held.append(pieces)
+            else:
+                held.append(b"".join(ids))
+        self.learn(fresh)
+        known = self.known.__getitem__
+        done = [b"".join(map(known, x)) if isinstance(x, list) else x for x in held]
+        return [b"".join(self.blocks(x)) if isinstance(x, str) else x for x in done]
 
     def blocks(self, text: str, size: int = 200_000) -> Iterator[bytes]:
         found = (m.group() for m in self.pattern.finditer(text))
