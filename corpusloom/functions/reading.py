@@ -79,8 +79,9 @@ def prepare_words(text: str | None) -> list[dict]:
 WORD_SCHEMA = "word string, orp int, delay_multiplier double, is_sentence_end boolean, is_paragraph_end boolean, index int, char_offset int"
 
 
-def rsvp(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """One row per word of each document. Documents stream through; nothing is shuffled."""
+def rsvp(docs: DataFrame, id_col: str = "id", text_col: str = "text", wpm: float | None = None) -> DataFrame:
+    """One row per word of each document, with its milliseconds on display (``ms``) if a pace is given. Documents stream through; nothing
+    is shuffled."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
 
@@ -88,12 +89,14 @@ def rsvp(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFra
         for f in frames:
             for i, t in zip(f["id"], f["text"], strict=True):
                 words = prepare_words(t)
+                if wpm:
+                    words = [w | {"ms": ms} for w, ms in zip(words, pacing_plan([w["delay_multiplier"] for w in words], wpm), strict=True)]
                 for at in range(0, len(words), 20_000):
                     part = pd.DataFrame(words[at : at + 20_000])
                     part.insert(0, "id", i)
                     yield part
 
-    return src.mapInPandas(run, f"id {kind}, {WORD_SCHEMA}")
+    return src.mapInPandas(run, f"id {kind}, {WORD_SCHEMA}" + ", ms int" * bool(wpm))
 
 
 def pacing_plan(multipliers: list[float], wpm: float = DEFAULT_WPM) -> list[int]:

@@ -212,3 +212,10 @@ def syllables(spark, sf):
     """Syllables of every distinct word of the documents."""
     w = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).distinct()
     return w.select("word", tx.word_syllables_udf("word").alias("n"))
+
+
+@query("reading_schedule", f"WITH {WORDS} SELECT doc_id AS id, len(w) AS n, true AS on_pace FROM w WHERE len(w) > 0")
+def reading_schedule(spark, sf):
+    """A display at 240 words a minute takes a quarter of a second a word, whatever pauses the words make."""
+    shown = rd.rsvp(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", wpm=240)
+    return shown.groupBy("id").agg(F.count("*").alias("n"), F.sum("ms").alias("total")).select("id", "n", (F.abs(F.col("total") - F.col("n") * 250) <= 1).alias("on_pace"))
