@@ -1,15 +1,16 @@
-"""SimHash near-duplicates: 64-bit fingerprints, vantage-point trees over shards, connected components.
+"""SimHash near-duplicates: 64-bit fingerprints, vantage-point shards and trees, connected components.
 
 A fingerprint's bit is 1 if it is set in over half of the document's shingle hashes. Fingerprints that differ in
 ``radius`` bits or fewer are linked; a component is all that is reachable.
 
-Equal fingerprints collapse first. The distinct ones are dealt to shards: the 64 bits are cut into ``radius + 2``
-blocks, and two fingerprints within ``radius`` bits agree on at least two whole blocks, so each pair meets in the shard of
-such two blocks. (One vantage point over all 64 bits does not divide them: random fingerprints all lie at about
-32 bits from it, and two thirds of them within the boundary.) A shard is searched through a vantage-point tree
-whose branches are pruned by triangle bounds. A shard above ``shard_rows`` is divided by its members' distance to a
-vantage point first: into rings, each of which is also given to the queries that lie within ``radius`` of it, and so
-on with further vantage points. Shards emit no pairs, only one link from each member to its local root.
+Equal fingerprints collapse first. The distinct ones are dealt to shards by their Hamming distance to a vantage point: into
+rings of twice the radius, each of which also gets the fingerprints of the next ring that lie within the radius of its edge,
+so that every pair within the radius meets in a ring. Distances of random fingerprints crowd at 32 bits, so rings alone do not
+get small; each ring is divided further by blocks of bits: of ``radius + 1`` blocks two fingerprints within the radius
+agree on one at least (beyond 160 million fingerprints: of ``radius + 2`` on two), and meet in the shard of that ring and
+block. Shards above ``shard_rows`` are divided by further vantage points of their own, for as long as the largest shrinks.
+A shard is searched through a vantage-point tree whose branches are pruned by triangle bounds. Shards emit no pairs, only
+one link from each member to its local root.
 
 Null and empty texts have fingerprint 0. Repeated rows and ties get the same component; a null doc_id takes no part
 in the smallest id (null if a component has no other); other columns are ignored; an empty table gives an empty
@@ -18,21 +19,27 @@ result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import checkpointed, components
 
-from .common import WORD, lower_ascii, map_rows, read
+from .common import WORD, lower_ascii, map_rows, row_key, texts
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-LEAF, SHARD_ROWS = 256, 20_000
+LEAF, SHARD_ROWS = 64, 20_000
+#: Shards by one block of about 13 bits hold ``SHARD_ROWS`` fingerprints up to this many; above it two blocks make them.
+ONE_BLOCK = SHARD_ROWS << 13
+SALTS, HOT = 16, 1000
+#: Bits of the map that tells the rows of groups apart from those that stay where they are.
+ROW_BITS = 1 << 26
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -48,18 +55,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns to ``keep``, and fp: the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed 64-bit integer, and the text's SHA-256 if ``digest`` (null: empty)."""
 
     def make():
         def fn(texts):
             out = [fingerprint(t, shingle) for t in texts]
-            return [[x - (1 << 64) if x >> 63 else x for x in out]]
+            more = [[b"" if t is None else hashlib.sha256(t.encode()).digest() for t in texts]] if digest else []
+            return [[x - (1 << 64) if x >> 63 else x for x in out], *more]
 
         return fn
 
-    names = (id_col, *keep)
-    return map_rows(docs, [*map(F.col, names), F.col(text_col).alias("_text")], make, "fp long", len(names))
+    return map_rows(docs, [F.col(id_col), F.col(text_col)], make, "fp long" + ", _digest binary" * digest, 1)
 
 
 class Tree:
@@ -67,6 +74,7 @@ class Tree:
 
     def __init__(self, points: np.ndarray) -> None:
         self.points = points
+        self.compared = 0  # pairs whose distance a search took at leaves
         self.root = self.build(np.arange(len(points)))
 
     def build(self, ids: np.ndarray):
@@ -90,6 +98,7 @@ class Tree:
             return
         if isinstance(node, np.ndarray):
             step = max(1, 1_000_000 // max(1, len(node)))
+            self.compared += len(queries) * len(node)
             for at in range(0, len(queries), step):
                 q = queries[at : at + step]
                 a, b = np.nonzero(np.bitwise_count(self.points[q][:, None] ^ self.points[node][None, :]) <= radius)
@@ -152,12 +161,12 @@ def _search(radius: int):
         return pa.RecordBatch.from_arrays([pa.array(points[far]), pa.array(points[r[far]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, points = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        keys, points = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = np.concatenate([keys, np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)])
-            points = np.concatenate([points, b.column(3).to_numpy()])
+            keys = np.concatenate([keys, np.stack([b.column(i).to_numpy() for i in range(2)], axis=1)])
+            points = np.concatenate([points, b.column(2).to_numpy()])
             last = int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0])  # the last shard may go on
             if last:
                 yield star(keys[:last], points[:last])
@@ -168,63 +177,101 @@ def _search(radius: int):
     return run
 
 
-def _shard_keys(radius: int):
-    """Column of the shard keys of fp: for each two of radius + 2 blocks, their bits (the pair's number on top)."""
-    n = radius + 2
+def _block_keys(radius: int, chosen: int) -> Column:
+    """The block keys of fp: for each choice of ``chosen`` of radius + ``chosen`` blocks, their bits (the choice's number on top)."""
+    n = radius + chosen
     cuts = [64 * k // n for k in range(n + 1)]
     blocks = [F.shiftrightunsigned(F.col("fp"), cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)) for k in range(n)]
     keys = []
-    for k, (i, j) in enumerate(combinations(range(n), 2)):
-        keys.append(F.shiftleft(F.lit(k).cast("long"), 40) + F.shiftleft(blocks[i], 20) + blocks[j])
+    for k, places in enumerate(combinations(range(n), chosen)):
+        key = F.lit(k).cast("long")
+        for i in places:
+            key = F.shiftleft(key, 20) + blocks[i]
+        keys.append(key)
     return F.array(*keys)
 
 
-def links(distinct: DataFrame, *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _rings(vantage: Column, radius: int) -> Column:
+    """The rings about a vantage point to which fp goes: its own, and the next lower one if it lies within the radius of that one's edge."""
+    d = F.bit_count(F.col("fp").bitwiseXOR(vantage))
+    ring = F.floor(d / (2 * radius or 1))
+    return F.when((d % (2 * radius or 1) < radius) & (ring > 0), F.array(ring, ring - 1)).otherwise(F.array(ring))
+
+
+def links(distinct: DataFrame, *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, one_block: int = ONE_BLOCK) -> DataFrame:
     """Star links (a, b) whose components are those of all pairs within ``radius``. distinct: fp, each once."""
-    rows = distinct.select("fp", F.explode(_shard_keys(radius)).alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("v0"), F.max("fp").alias("v1"))
-    shards = counts.where("n > 1")
-    held = rows.join(shards, "key")
-    far = lambda v: F.bit_count(F.col("fp").bitwiseXOR(F.col(v)))
-    # large shards: rings of radius + 1 bits round two vantage points; a member also goes to the next lower ring of each
-    # if it lies within the radius of that ring's edge, so that every pair within the radius meets in a ring
-    width = radius + 1
-    d0, d1 = far("v0"), far("v1")
-    ring = lambda d: F.when((d % width) < radius, F.array(F.floor(d / width), F.floor(d / width) - 1)).otherwise(F.array(F.floor(d / width)))
-    big = held.where(F.col("n") > shard_rows).select("fp", "key", F.explode(ring(d0)).alias("r0"), d1.alias("d1"))
-    big = big.select("fp", "key", "r0", F.explode(ring(F.col("d1"))).alias("r1"))
-    small = held.where(F.col("n") <= shard_rows).select("fp", "key", F.lit(-9).cast("long").alias("r0"), F.lit(-9).cast("long").alias("r1"))
-    dealt = small.unionByName(big).select("key", "r0", "r1", "fp").repartition("key", "r0", "r1").sortWithinPartitions("key", "r0", "r1", "fp")
+    n, first = distinct.agg(F.count("*"), F.min("fp")).first()
+    rows = distinct.select("fp", F.explode(_rings(F.lit(first or 0), radius)).alias("ring"))
+    rows = rows.select("fp", "ring", F.explode(_block_keys(radius, 1 if n <= one_block else 2)).alias("key"))
+    level, size = 0, n
+    while size > shard_rows:
+        counts = rows.groupBy("key", "ring").agg(F.count("*").alias("n"), F.max_by("fp", F.xxhash64("fp", F.lit(level))).alias("vantage"))
+        big = checkpointed(distinct.sparkSession, counts.where(F.col("n") > shard_rows))
+        largest = big.agg(F.max("n")).first()[0] or 0
+        if not largest or (level and largest > 0.9 * size):
+            break
+        held = rows.join(big.drop("n"), ["key", "ring"], "left")
+        inner = F.transform(_rings(F.col("vantage"), radius), lambda r: F.xxhash64("ring", r))
+        rows = held.select("fp", "key", F.explode(F.when(F.col("vantage").isNull(), F.array("ring")).otherwise(inner)).alias("ring"))
+        level, size = level + 1, largest
+    dealt = rows.select("key", "ring", "fp").repartition("key", "ring").sortWithinPartitions("key", "ring", "fp")
     return dealt.mapInArrow(_search(radius), "a long, b long").distinct()
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their fingerprints, distinct fingerprints with root, least id and first row); first: (id is null, id, key)."""
-    spark = docs.sparkSession
-    key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")
-    keyed = docs.select(F.col(id_col), F.col(text_col), key)
-    prints = checkpointed(spark, fingerprints(keyed, id_col=id_col, text_col=text_col, shingle=shingle, keep=("key",)))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key"))
-    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min(id_col).alias("least"), first.alias("first")))
-    linked = checkpointed(spark, components(spark, links(distinct, radius=radius, shard_rows=shard_rows)))
-    return prints, distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _linked(distinct: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """(fp, root) of every fingerprint that has a link, roots included."""
+    found = components(distinct.sparkSession, links(distinct, radius=radius, shard_rows=shard_rows)).withColumnRenamed("node", "fp")
+    return found.unionByName(found.select(F.col("root").alias("fp"), "root").distinct())
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, fp (signed), component_id (the component's smallest doc_id), one row per input row."""
-    prints, of = _grouped(docs, id_col, text_col, shingle, radius, shard_rows)
-    named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    spark = docs.sparkSession
+    prints = checkpointed(spark, fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
+    nodes = distinct.join(_linked(distinct, radius, shard_rows), "fp")
+    # a component of many fingerprints is dealt over several tasks
+    roots = nodes.groupBy("root").agg(F.min("least").alias("of_root")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    named = nodes.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(roots, ["root", "salt"]).select("fp", "of_root", F.lit(True).alias("linked"))
+    of = distinct.join(named, "fp", "left").select("fp", "n", F.when(F.col("linked"), F.col("of_root")).otherwise(F.col("least")).alias("component_id"))
+    # rows of the commonest fingerprints (each over a HOT-th of all rows, so under HOT in number) are not dealt by fingerprint
+    rows = distinct.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(checkpointed(spark, of.where(F.col("n") * HOT > rows).drop("n")))
+    return prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(of.drop("n"), "fp")).select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (a row without id only if none has one)."""
-    _, of = _grouped(docs, id_col, text_col, shingle, radius, shard_rows)
-    kept = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """docs with one row of each component: that of the smallest id (a row without id only if none has one); of equal rows one.
+
+    Rows alone in their component stay where they are: a map of fixed size (``ROW_BITS``) over hashed ids tells which rows may
+    be in a group, and only those are joined, by id and text digest, with the rows to keep.
+    """
+    spark = docs.sparkSession
+    prints = checkpointed(spark, fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, digest=True))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_digest"))
+    distinct = checkpointed(spark, prints.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
+    linked = _linked(distinct, radius, shard_rows)
+    alone = distinct.join(linked, "fp", "left_anti")
+    roots = distinct.join(linked, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = roots.select("first.id", "first._digest").unionByName(alone.select("first.id", "first._digest"))
+
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ROW_BITS))
+    grouped = distinct.where("n > 1").select("fp").unionByName(linked.select("fp")).distinct()
+    slots = prints.join(grouped, "fp", "left_semi").select(slot(id_col).alias("s"))
+    words = checkpointed(spark, slots.groupBy(F.shiftright("s", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s & 63 AS INT))")).alias("_bits")))
+
+    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows whose id has a bit, and the others."""
+        held = df.withColumn("slot", slot("id")).withColumn("_word", F.shiftright("slot", 6)).join(F.broadcast(words), "_word", "left")  # ROW_BITS / 64 rows at most
+        bit = F.coalesce(F.expr("_bits & shiftleft(1L, CAST(slot & 63 AS INT))"), F.lit(0)) != 0
+        return held.where(bit), held.where(~bit)
+
+    touched, others = split(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*map(F.col, docs.columns)).alias("row")))
+    wanted = split(kept)[0].select(*row_key("id", "id", F.col("_digest")))
+    held = touched.select("row", *row_key("id", "text")).dropDuplicates(["_id", "_digest"])
+    return others.select("row.*").unionByName(held.join(wanted, ["_id", "_digest"], "left_semi").select("row.*"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(read(spark, sf_dir, "documents"))
+    found = near_duplicates(texts(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
