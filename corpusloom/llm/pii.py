@@ -7,7 +7,7 @@ discloses PMI(e; t) = log(P(t | e) / P(t)) of it, with P(t) = df(t) / n and P(t
 prior), so that values seen once or twice count, with less certainty. Where that share reaches ``remove`` the term is
 removed, where it reaches ``generalise`` it is generalised to its shape, in every document that has both.
 
-Entities that occur in the same documents have the same shares and count as one class, named by an xor of row hashes;
+Entities that occur in the same documents have the same shares and count as one class, named by two xors of row hashes;
 a class of one document needs no count of pairs. Terms are 64-bit hashes. df(t) is counted over all documents, for the
 terms of documents with entities: a bitmap of fixed size (``BITS``) over their hashes tells the scan which words to count;
 others whose bits collide are counted too and fall out of the exact join.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import checkpointed
 
-from .common import WORD, fold_rows, map_rows, read, spans_text
+from .common import WORD, fold_rows, map_rows, row_key, spans_text, texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -128,7 +128,7 @@ def document_counts(docs: DataFrame, text_col: str, slots: np.ndarray) -> DataFr
         known: dict[str, int | None] = {}
 
         def candidate(w: str) -> int | None:
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
             h = term_hash(w)
             known[w] = h = h if h is not None and bitmap[(h % BITS) >> 3] >> (h & 7) & 1 else None
@@ -138,7 +138,7 @@ def document_counts(docs: DataFrame, text_col: str, slots: np.ndarray) -> DataFr
             for t in texts:
                 here = {h for w in set(WORD.findall(t)) if (h := known[w] if w in known else candidate(w)) is not None} if t else ()
                 total.update(here)
-                if len(total) > 200_000:
+                if len(total) > 100_000:
                     yield from total.items()
                     total.clear()
 
@@ -150,39 +150,40 @@ def document_counts(docs: DataFrame, text_col: str, slots: np.ndarray) -> DataFr
     return fold_rows(docs, [F.col(text_col)], make, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
 
 
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
-    """key, doc_id and spans: array of (start, end, kind, action), one row per input row.
-
-    key identifies a row by its id and text, for ``sanitise``.
-    """
+def assess(docs: DataFrame, id_col: str, text_col: str, prior: float, generalise: float, remove: float) -> tuple[DataFrame, DataFrame]:
+    """(base, told). base, one row per input row: row (a number), _id and _digest (its key), doc_id, base spans, and the terms of texts
+    with entities, with their places. told, for rows with disclosing terms: row, told (terms), actions."""
     spark = docs.sparkSession
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
 
     def make():
         def fn(texts):
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             for t in texts:
                 found = base_spans(t)
-                cols[0].append([{"start": s, "end": e, "kind": k} for s, _, e, k in found])
-                cols[1].append(sorted({entity(k, t[s:e]) for s, _, e, k in found}))
-                for c, x in zip(cols[2:], document_terms(t, found) if found else ([], [], []), strict=True):
+                cols[0].append(b"" if t is None else hashlib.sha256(t.encode()).digest())
+                cols[1].append([{"start": s, "end": e, "kind": k} for s, _, e, k in found])
+                cols[2].append(sorted({entity(k, t[s:e]) for s, _, e, k in found}))
+                for c, x in zip(cols[3:], document_terms(t, found) if found else ([], [], []), strict=True):
                     c.append(x)
             return cols
 
         return fn
 
-    schema = "base array<struct<start:int,end:int,kind:string>>, entities array<string>, terms array<long>, starts array<int>, ends array<int>"
-    base = map_rows(docs, [key.alias("key"), F.col(id_col), F.col(text_col)], make, schema, 2)
-    base = checkpointed(spark, base.withColumn("row", F.monotonically_increasing_id()))
+    schema = "_digest binary, base array<struct<start:int,end:int,kind:string>>, entities array<string>, terms array<long>, starts array<int>, ends array<int>"
+    base = map_rows(docs, [F.col(id_col), F.col(text_col)], make, schema, 1)
+    key = row_key(id_col, id_col, F.col("_digest"))[0]
+    base = checkpointed(spark, base.select(F.monotonically_increasing_id().alias("row"), key, "_digest", F.col(id_col), "base", "entities", "terms", "starts", "ends"))
     n_docs = base.count()
     here = base.where(F.size("entities") > 0)
     slots = here.select(F.explode("terms").alias("term")).select(F.pmod("term", F.lit(BITS)).alias("slot")).distinct()
-    df_term = document_counts(docs, text_col, slots.toArrow().column(0).to_numpy())  # BITS rows at most
+    df_term = checkpointed(spark, document_counts(docs, text_col, slots.toArrow().column(0).to_numpy()))  # BITS slots at most
 
     occurs = here.select("row", F.explode("entities").alias("entity"))
-    named = occurs.groupBy("entity").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("row")).alias("sig"))
-    classes = occurs.join(named.where(F.col("df") < n_docs), "entity").select("row", "df", "sig").distinct()
-    pairs = here.select("row", F.array_distinct("terms").alias("terms")).join(classes, "row").select("row", "df", "sig", F.explode("terms").alias("term"))
+    signs = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"sign{k}") for k in (0, 1)]
+    named = occurs.groupBy("entity").agg(F.count("*").alias("df"), *signs)
+    of = ["df", "sign0", "sign1"]
+    classes = occurs.join(named.where(F.col("df") < n_docs), "entity").select("row", *of).distinct()
+    pairs = here.select("row", F.array_distinct("terms").alias("terms")).join(classes, "row").select("row", *of, F.explode("terms").alias("term"))
     n = F.lit(float(max(n_docs, 1)))
     p = F.col("df_term") / n
     share = F.log((F.col("both") + prior * p) / (F.col("df") + prior) / p) / F.log(n / F.col("df"))
@@ -190,25 +191,33 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # a class of one document has each of its terms once
     once = pairs.where("df = 1").withColumn("both", F.lit(1)).join(df_term, "term").select("row", "term", action.alias("action")).where("action IS NOT NULL")
     often = pairs.where("df > 1")
-    joint = often.groupBy("df", "sig", "term").agg(F.count("*").alias("both")).join(df_term, "term").select("df", "sig", "term", action.alias("action")).where("action IS NOT NULL")
-    told = once.unionByName(often.join(checkpointed(spark, joint), ["df", "sig", "term"]).select("row", "term", "action"))
-    told = told.groupBy("row").agg(F.collect_list("term").alias("told"), F.collect_list("action").alias("actions"))
-
-    def place():
-        def fn(bases, terms, starts, ends, tolds, actions):
-            out = []
-            for found, hs, ss, es, told_, acts in zip(bases, terms, starts, ends, tolds, actions, strict=True):
-                do: dict[int, str] = {}
-                for h, x in zip(told_ or (), acts or (), strict=True):
-                    do[h] = max(x, do.get(h, x))
-                spans = [s | {"action": "mask"} for s in found]
-                out.append(spans + [{"start": s, "end": e, "kind": "term", "action": do[h]} for h, s, e in zip(hs, ss, es, strict=True) if h in do])
-            return [out]
+    joint = often.groupBy(*of, "term").agg(F.count("*").alias("both")).join(df_term, "term").select(*of, "term", action.alias("action")).where("action IS NOT NULL")
+    told = once.unionByName(often.join(checkpointed(spark, joint), [*of, "term"]).select("row", "term", "action"))
+    return base, told.groupBy("row").agg(F.collect_list("term").alias("told"), F.collect_list("action").alias("actions"))
 
-        return fn
 
-    columns = [F.col(c) for c in ("key", id_col, "base", "terms", "starts", "ends", "told", "actions")]
-    return map_rows(base.join(told, "row", "left"), columns, place, "spans array<struct<start:int,end:int,kind:string,action:string>>", 2)
+def place(base: list[dict], places: tuple[list[int], list[int], list[int]], told: list[int] | None, actions: list[str] | None) -> list[dict]:
+    """A text's spans: its base spans, masked, and those of its terms that are told, by their strongest action."""
+    do: dict[int, str] = {}
+    for h, x in zip(told or (), actions or (), strict=True):
+        do[h] = max(x, do.get(h, x))
+    spans = [s | {"action": "mask"} for s in base]
+    return spans + [{"start": s, "end": e, "kind": "term", "action": do[h]} for h, s, e in zip(*places, strict=True) if h in do] if do else spans
+
+
+def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5, generalise: float = 0.75, remove: float = 0.95, make=None, schema: str = "") -> DataFrame:
+    """doc_id and spans: array of (start, end, kind, action), one row per input row.
+
+    ``make`` and ``schema``, if given, turn the lists of spans to other columns, in the same map.
+    """
+    base, told = assess(docs, id_col, text_col, prior, generalise, remove)
+
+    def spans_of():
+        then = make() if make else lambda lists: [lists]
+        return lambda bases, terms, starts, ends, tolds, actions: then([place(b, p, t, a) for b, *p, t, a in zip(bases, terms, starts, ends, tolds, actions, strict=True)])
+
+    columns = [F.col(c) for c in (id_col, "base", "terms", "starts", "ends", "told", "actions")]
+    return map_rows(base.join(told, "row", "left"), columns, spans_of, schema or "spans array<struct<start:int,end:int,kind:string,action:string>>", 1)
 
 
 def redact(text: str, spans: list) -> str:
@@ -228,18 +237,37 @@ def redact(text: str, spans: list) -> str:
     return "".join(out)
 
 
-def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with its texts redacted; all other columns stay."""
-    found = find_pii(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0)
-    found = found.groupBy("key").agg(F.first("spans").alias("_spans"))
-    held = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(found, F.col("_key") == F.col("key"), "left")
+#: Every text with a base span matches one of these (regular expressions of the JVM).
+MAY_HOLD = (r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"[0-9]([ -]?[0-9]){11}", r"\+[0-9][ ().0-9-]{7}")
+
+
+def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
+    """docs with its texts redacted; all other columns stay. Null and empty texts stay as they are.
+
+    Texts that no pattern can match stay where they are; the others are joined with their told terms by id and text digest.
+    """
+    base, told = assess(docs, id_col, text_col, prior, generalise, remove)
+    told = base.select("row", "_id", "_digest").join(told, "row").groupBy("_id", "_digest").agg(F.first(F.struct("told", "actions")).alias("told"))
+    may = F.lit(False)
+    for rx in MAY_HOLD:
+        may = may | F.col(text_col).rlike(rx)
+    may = F.coalesce(may, F.lit(False))
     names = [c for c in docs.columns if c != text_col]
 
     def make():
-        return lambda texts, spans: [[redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)]]
+        def clean(t, said):
+            found = base_spans(t)
+            spans = [{"start": s, "end": e, "kind": k} for s, _, e, k in found]
+            return redact(t, place(spans, document_terms(t, found) if said else ((), (), ()), *(said or {"told": None, "actions": None}).values())) if found else t
+
+        return lambda texts, tolds: [[clean(t, x) for t, x in zip(texts, tolds, strict=True)]]
 
-    out = map_rows(held, [*(F.col(c) for c in names), F.col(text_col).alias("_text"), F.col("_spans")], make, f"`{text_col}` string", len(names))
-    return out.select(*docs.columns)
+    row = F.struct(*map(F.col, names)) if names else F.lit(0)
+    held = docs.where(may).select(row.alias("rest"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
+    held = held.join(told, ["_id", "_digest"], "left")
+    out = map_rows(held, [F.col("rest"), F.col("text"), F.col("told")], make, "text string", 1)
+    columns = [F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return docs.where(~may).unionByName(out.select(*columns))
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
@@ -260,5 +288,4 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
 
         return fn
 
-    found = find_pii(read(spark, sf_dir, "documents"))
-    return map_rows(found, [F.col("doc_id"), F.col("spans")], make, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long", 1)
+    return find_pii(texts(spark, sf_dir), make=make, schema="n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
