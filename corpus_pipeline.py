@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.byte_bpe import digests
-from corpusloom.llm.common import DOC_COLUMNS, map_rows, read
+from corpusloom.llm.common import DOC_COLUMNS, read, texts
 from corpusloom.llm.decontaminate import find_contamination
 from corpusloom.llm.language import identify, model, train, training_rows
 from corpusloom.llm.near_dups import keep_one
@@ -25,35 +25,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates; null and empty texts are one group."""
     return keep_one(docs.select(*DOC_COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; from the others any benchmark passage is cut out."""
-    found = find_contamination(docs, read(spark, sf_dir, "benchmark"), keep=DOC_COLUMNS)
-
-    def make():
-        def cut(text, hits):
-            for h in sorted(hits or [], key=lambda h: -h["start"]):
-                text = text[: h["start"]] + text[h["end"] :]
-            return text
-
-        return lambda texts, hits: [[cut(t, h) for t, h in zip(texts, hits, strict=True)]]
-
-    names = [c for c in DOC_COLUMNS if c != "text"]
-    clean = map_rows(found.where(~F.col("contaminated")), [*map(F.col, names), F.col("text").alias("_text"), F.col("hits")], make, "text string", len(names))
+    """Contaminated documents go; from the others any benchmark passage is cut out. Null and empty texts stay as they are."""
+    found = find_contamination(docs, read(spark, sf_dir, "benchmark"), keep=DOC_COLUMNS, cut=True).where(~F.col("contaminated"))
+    clean = found.withColumn("text", F.col("clean_text"))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*DOC_COLUMNS)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, and the terms that give it away, masked, generalised or removed."""
+    """Personal data, and the terms that give it away, masked, generalised or removed. Null and empty texts stay as they are."""
     out = sanitise(docs.select(*DOC_COLUMNS))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and their decoding, as digests."""
+    """Token ids of each text, and their decoding, as digests; null and empty texts have no ids."""
     return digests(docs)
 
 
@@ -70,7 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = checkpointed(spark, stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
