@@ -78,6 +78,53 @@ def test_guess_costs():
     assert cost("a" * 5000) < cost("x9Kq!7vLp2#m" * 3)
 
 
+def slow_cost(value, words):
+    """The least cost over all segmentations, each span priced by its definition."""
+    ranks, _ = words
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+
+    def span(i, j):
+        v, c, n = value[i:j], low[i:j], j - i
+        out = [0.5 + sum(map(secrets.char_cost, v))]
+        if n >= 3 and c in ranks:
+            out.append(ranks[c] + 0.3 * (v != c) + 0.3)
+        if n >= 3 and c not in ranks and (p := c.translate(secrets.LEET)) in ranks:
+            out.append(ranks[p] + 1.0)
+        steps = {ord(b) - ord(a) for a, b in zip(c, c[1:], strict=False)}
+        if n >= 3 and steps in ({1}, {-1}):
+            out.append(secrets.run_cost(n))
+        if n >= 3 and all(b in secrets.neighbours().get(a, ()) for a, b in zip(c, c[1:], strict=False)):
+            out.append(secrets.walk_cost(n))
+        out += [sum(map(secrets.char_cost, c[:u])) + secrets.repeat_cost(n // u) for u in secrets.UNITS if n % u == 0 and n // u >= 3 and c == c[:u] * (n // u)]
+        if v[0].isdigit() and v[-1].isdigit() and secrets.DATES.fullmatch(v):
+            out.append((2.1 if n == 4 else 4.6) + 0.3)
+        return min(out)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + span(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_cost_is_the_minimum():
+    ranks = secrets.word_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(11)
+    parts = ["hello", "ab", "abab", "ghjk", "banana", "qwer", "a", "nan", "1987", "2019-04-12", "0", "abcde", "cba", "P@ss", "Z", "x9", "!", "İ", "aaaa", "qwqwqw"]
+    values = ["helloababababghjk", "a" * 40, "qw" * 20, "İİİ"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(600)] + ["".join(rng.choice("abqwn12-") for _ in range(rng.randint(1, 25))) for _ in range(600)]
+    for v in values:
+        assert secrets.guess_cost(v, ranks) == pytest.approx(slow_cost(v, ranks)), v
+
+
+def test_guess_cost_of_long_values_is_linear():
+    import time
+
+    ranks = secrets.word_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for unit in ("a", "qw", "abc", "banana", "x9Kq"):
+        began = time.time()
+        secrets.guess_cost((unit * 60_000)[:60_000], ranks)
+        assert time.time() - began < 20, unit
+
+
 def test_guessed_values_are_added_beside_the_base(spark, docs):
     texts = ["pwd: x9Kq!7vLp2#m and so on", "pwd: password1990", "https://joe:hT6vbQ0zWm3R@host/", "Authorization: Bearer hT6vbQ0zWm3R.zz", None, "", "secret=abcdefghijklmnop"]
     rows = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.find_secrets(docs(*texts)).collect()}
@@ -90,7 +137,10 @@ def tik():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_replay_equals_the_library(tik):
+@pytest.mark.parametrize("many", [1, 4, 100, 10**9])
+def test_replay_equals_the_library(tik, many, monkeypatch):
+    """Merges that take many pieces at once, and those that go place by place."""
+    monkeypatch.setattr(byte_bpe, "MANY", many)
     rng = random.Random(1)
     enc = byte_bpe.Encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, store=50)
     texts = [None, "", " ", "a" * 3000, "ab" * 500, "é" * 77, "日本語テキスト" * 9, "<|endoftext|>", "\u0000\n\n  x", "don't  DON'T 12345 !!!"]
@@ -100,6 +150,14 @@ def test_replay_equals_the_library(tik):
         assert enc.decode(ids) == (t or "").encode()
 
 
+def test_ascii_pieces_are_those_of_the_pattern():
+    rng = random.Random(4)
+    enc = byte_bpe.Encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for _ in range(3000):
+        t = "".join(rng.choice([chr(rng.randrange(128)), " ", "'", "s", "ll", "a", "1", "\n", "\x1c"]) for _ in range(rng.randint(0, 30)))
+        assert enc.plain(t) == enc.pattern.findall(t), repr(t)
+
+
 def test_long_texts_in_blocks(tik, monkeypatch):
     monkeypatch.setattr(byte_bpe, "LONG", 500)
     enc = byte_bpe.Encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, store=50)
@@ -127,7 +185,14 @@ def test_contamination_against_plain_windows(spark, docs):
     texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     texts += [a[: rng.randint(0, 90)] + ", " + (b or "").upper() + "!" for a, b in zip(texts, items * 4, strict=False)] + [None, "", "é b É É b"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {r["doc_id"]: r for r in find_contamination(docs(*texts), bench, max_benchmark_bytes=200).collect()}
+    got = {r["doc_id"]: r for r in find_contamination(docs(*texts), bench).collect()}
+    parted = find_contamination(docs(*texts), bench, max_benchmark_bytes=400, keep=("doc_id", "text"), cut=True).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["hits"], r["contaminated"]) for r in parted} == {d: (r["n_words"], r["n_hit"], r["items"], r["hits"], r["contaminated"]) for d, r in got.items()}
+    for r in parted:
+        rest = r["text"]
+        for h in reversed(r["hits"]):
+            rest = rest[: h["start"]] + rest[h["end"] :]
+        assert r["clean_text"] == (None if r["contaminated"] else rest)
     wins = {}
     for k, t in enumerate(items):
         w = words(t)
@@ -147,6 +212,22 @@ def test_contamination_against_plain_windows(spark, docs):
     assert none[0]["n_hit"] == 0 and not none[0]["contaminated"]
 
 
+def test_benchmark_groups_have_every_window(spark, monkeypatch):
+    """Items longer than a group come in parts that lose no window."""
+    from corpusloom.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "GROUP_WORDS", 50)
+    rng = random.Random(6)
+    items = [" ".join(f"w{rng.randint(0, 40)}" for _ in range(n)) for n in (1, 12, 13, 14, 51, 300)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for size in (1, 90, 4_000_000):
+        wins = set()
+        for group in decontaminate.groups(bench, "item_id", "text", WINDOW, size):
+            assert sum(len(t.split()) for _, t in group) <= 50 or len(group) == 1
+            wins |= {(k, tuple(w[i : i + WINDOW])) for k, t in group for w in [t.split()] for i in range(max(1, len(w) - WINDOW + 1))}
+        assert wins == {(str(k), tuple(w[i : i + WINDOW])) for k, t in enumerate(items) for w in [t.split()] for i in range(max(1, len(w) - WINDOW + 1))}
+
+
 def slow_print(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     grams = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
@@ -182,9 +263,9 @@ def test_simhash_table(spark, sf):
     assert {r["doc_id"]: int(r["fingerprint"], 16) for r in got} == {r["doc_id"]: p for r, p in zip(rows, prints, strict=True)}
 
 
-@pytest.mark.parametrize("shard_rows", [20_000, 40])
-def test_links_join_every_pair(spark, shard_rows):
-    """Random fingerprints and dense clusters, in small shards (one tree) and in rings."""
+@pytest.mark.parametrize("shard_rows,one_block", [(20_000, near_dups.ONE_BLOCK), (40, near_dups.ONE_BLOCK), (40, 1)])
+def test_links_join_every_pair(spark, shard_rows, one_block):
+    """Random fingerprints and dense clusters, in small shards (one tree) and in shards of several vantage points."""
     rng = random.Random(7)
     points = {rng.getrandbits(64) for _ in range(300)}
     for _ in range(3):
@@ -196,12 +277,65 @@ def test_links_join_every_pair(spark, shard_rows):
             points.add(x)
     points = sorted(points)
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
-    rows = near_dups.links(spark.createDataFrame([(p,) for p in signed], "fp long"), shard_rows=shard_rows)
+    rows = near_dups.links(spark.createDataFrame([(p,) for p in signed], "fp long"), shard_rows=shard_rows, one_block=one_block)
     roots = {r["node"]: r["root"] for r in near_dups.components(spark, rows).collect()}
     want = slow_components(signed, points)
     assert [roots.get(p, p) for p in signed] == want
 
 
+def test_trees_prune():
+    """A tree finds every pair within the radius, and takes the distance of far fewer."""
+    rng = np.random.default_rng(3)
+    points = np.unique(rng.integers(0, 1 << 63, 6000, np.int64).view(np.uint64))
+    near = points[:500] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+    points = np.unique(np.concatenate([points, near]))
+    tree = near_dups.Tree(points)
+    found = {(int(min(a, b)), int(max(a, b))) for x, y in tree.links(4) for a, b in zip(x, y, strict=True) if a != b}
+    want = {(a, int(b) + a + 1) for a in range(len(points)) for b in np.flatnonzero(np.bitwise_count(points[a + 1 :] ^ points[a]) <= 4)}
+    assert found == want and len(want) >= 500
+    assert tree.compared < 0.5 * len(points) ** 2
+
+
+def test_dense_family(spark):
+    """Very many fingerprints within eight bits of one: links end, and join what is linked by hand."""
+    rng = np.random.default_rng(5)
+    flips = np.zeros(30_000, np.uint64)
+    for _ in range(8):
+        flips ^= np.uint64(1) << rng.integers(0, 64, len(flips)).astype(np.uint64)
+    points = np.unique(flips ^ np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    rows = near_dups.links(spark.createDataFrame([(int(p),) for p in points], "fp long"), shard_rows=1000)
+    roots = {r["node"]: r["root"] for r in near_dups.components(spark, rows).collect()}
+    u = points.view(np.uint64)
+    for k in range(0, len(u), 500):
+        mates = np.flatnonzero(np.bitwise_count(u ^ u[k]) <= 4)
+        assert {roots.get(int(points[m]), int(points[m])) for m in mates} == {roots.get(int(points[k]), int(points[k]))}
+
+
+def test_keep_one_tells_nulls_and_repeats_apart(spark):
+    """Ids of text, nulls on either side, equal rows, and columns with clashing names."""
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve"]
+    rows = [(None, texts[0]), (texts[0], None), ("b", texts[1]), ("a", texts[1]), ("a", texts[1]), ("c", "alone here"), (None, None), ("d", "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id string, text string, slot int")
+    for c in ("_id", "_digest", "_word", "_bits", "row", "id", "fp"):
+        docs = docs.withColumn(c, near_dups.F.lit("x"))
+    kept = near_dups.keep_one(docs).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted([("None", texts[0]), ("a", texts[1]), ("c", "alone here"), ("d", "")])
+    clean = pii.sanitise(docs.withColumn("text", near_dups.F.when(near_dups.F.col("slot") == 0, "mail a@b.com now").otherwise(near_dups.F.col("text"))).withColumn("doc_id", near_dups.F.when(near_dups.F.col("slot") == 1, "mail a@b.com now").otherwise(near_dups.F.col("doc_id"))))
+    got = {r["slot"]: r for r in clean.collect()}
+    assert len(got) == len(rows) and "[EMAIL]" in got[0]["text"] and got[1]["text"] is None and got[2]["text"] == texts[1] and clean.columns == docs.columns
+
+
+def test_every_text_with_a_span_may_hold_one():
+    rng = random.Random(12)
+    hit = 0
+    for _ in range(6000):
+        t = noise(rng, rng.randint(0, 12))
+        if pii.base_spans(t):
+            hit += 1
+            assert any(re.search(rx, t) for rx in pii.MAY_HOLD), t
+    assert hit > 1000
+
+
 def test_simhash_edge_cases(spark, docs):
     rows = [(5, None, None), (3, "", "en"), (None, "  ", "en"), (7, "a b c d e f g h", "en"), (7, "a b c d e f g h", "en"), (None, "only one here", "en")]
     got = near_dups.near_duplicates(docs(*rows).withColumn("fp", near_dups.F.lit(1)).withColumn("key", near_dups.F.lit(2))).collect()

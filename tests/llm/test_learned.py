@@ -81,6 +81,46 @@ def test_language_mixtures_and_edges(spark, docs):
     assert language.identify(docs("x").limit(0), trained).count() == 0
 
 
+def test_trigrams_of_long_texts_are_those_of_one_piece(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(200):
+        t = "".join(rng.choice(["a", "B", " ", "1", "  ", "é", "ΑΣ", "İ", "\U0001f600", ".", "z"]) for _ in range(rng.randint(0, 60)))
+        want = language.trigrams(t)
+        with monkeypatch.context() as m:
+            m.setattr(language, "CHUNK", rng.randint(1, 9))
+            got = language.trigrams(t)
+        assert (want is None) == (got is None)
+        if want is not None:
+            assert all((a == b).all() for a, b in zip(want, got, strict=True))
+
+
+def slow_mixture(bins, counts, logp):
+    """Proportions by EM over all languages, row by row in plain Python."""
+    n = logp.shape[1]
+    w = [1 / n] * n
+    for _ in range(400):
+        new = [0.0] * n
+        for b, c in zip(bins, counts, strict=True):
+            p = [w[k] * float(np.exp(logp[b, k])) for k in range(n)]
+            for k in range(n):
+                new[k] += c * p[k] / sum(p)
+        w = [x / sum(counts) for x in new]
+    return w
+
+
+def test_mixture_against_plain_em():
+    """The chosen set's proportions, and ties of two equal languages."""
+    rng = np.random.default_rng(4)
+    logp = np.log(rng.dirichlet(np.full(60, 0.2), 4).T + 1e-5)
+    counts = rng.multinomial(900, (0.6 * np.exp(logp[:, 1]) + 0.4 * np.exp(logp[:, 3])) / (0.6 * np.exp(logp[:, 1]) + 0.4 * np.exp(logp[:, 3])).sum())
+    bins = np.flatnonzero(counts)
+    w = language.mixture(bins, counts[bins], logp)
+    assert w[0] == w[2] == 0
+    assert np.allclose(w[[1, 3]], slow_mixture(bins.tolist(), counts[bins].tolist(), logp[:, [1, 3]]), atol=5e-3)
+    same = np.repeat(logp[:, :1], 2, axis=1)
+    assert language.mixture(bins, counts[bins], same).sum() == pytest.approx(1)
+
+
 def test_mixture_finds_proportions():
     rng = np.random.default_rng(0)
     logp = np.log(rng.dirichlet(np.full(400, 0.1), 3).T + 1e-6)
@@ -213,6 +253,30 @@ def test_main_text_in_several_places():
     assert pages.extract(f"<body><article><p>{para}</p><form><p>Mail us</p></form></article></body>") == para.strip()
 
 
+def test_main_text_follows_the_clusters():
+    """Pages without article, main or telling names: the threshold decides."""
+    para = "A sentence of the story that goes on for a while, as sentences do. " * 4
+    menu = "<div>" + "<div><a href=/>Some link</a> <a href=/>Other</a></div>" * 8 + "</div>"
+    body = f"<div><h2>Head</h2><p>Lead. {para}</p><p>Short.</p><p>More. {para}</p><p>End.</p></div>"
+    page = f"<body>{menu}{body}{menu}</body>"
+    assert pages.extract(page) == f"Head\n\nLead. {para.strip()}\n\nShort.\n\nMore. {para.strip()}\n\nEnd."
+    assert "Some link" in pages.extract(page, threshold=0) and pages.extract(page, threshold=50) == ""
+    flat = f"<body><p>Lead. {para}</p><p>Short.</p><p>More. {para}</p>{menu}</body>"
+    assert pages.extract(flat) == f"Lead. {para.strip()}\n\nShort.\n\nMore. {para.strip()}"
+    assert pages.extract(flat, sigma=9, threshold=3) != pages.extract(flat)
+
+
+def test_main_text_of_malformed_pages_in_linear_time():
+    import time
+
+    for odd in ("<![foo[x]]><p>a", "<p>a</p><![ x", "<![CDATA[<p>a", "<!-- x <p>a", "<p>a<!---- -- >", "<p>a <b", "<!DOCTYPE [<p>a", "<?php <p>a", "</ <p>a"):
+        assert "a" in pages.extract(odd), odd
+    for bit in ("<div>x", "<div class=ad>x", "<div class=ad><article>x", "<p><span>", "<b><div>", "</b>x", "<a ", '<a href="', "<!--", "<!---- ", "<![ x", "<"):
+        began = time.time()
+        pages.extract("<b>" + bit * 50_000 + "</i>" * 1000)
+        assert time.time() - began < 15, bit
+
+
 def test_main_text_table(spark, sf):
     got = {r["page_id"]: r for r in QUERIES["op5_main_text"](spark, sf).collect()}
     import html
@@ -253,3 +317,134 @@ def test_whole_pipeline(spark, sf):
     out = cp.STAGES[-1][1](spark, seen[4], sf).collect()
     assert len(out) == len(ids[4])
     assert cp.run(spark, sf).count() == len(out)
+
+
+def test_toxicity_against_plain_loops(spark):
+    """The whole operator on the smallest table: counts, scores, passages, chance, levels and scores, a document at a time."""
+    import math
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in read(spark, sf, "documents").collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in texts}
+    labels = [(r["doc_id"], r["toxic"]) for r in read(spark, sf, "labels").collect() if r["toxic"] is not None and not held[r["doc_id"]]]
+    bins = {d: [zlib.crc32(w.strip(toxicity.EDGE).lower().encode()) % toxicity.BINS for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for d, t in texts.items()}
+    n = [Counter(), Counter()]
+    for d, y in labels:
+        n[y].update(set(bins[d]))
+    both = n[0] + n[1]
+    whole = sum(both.values())
+    prior = min(1000.0, 0.1 * whole)
+
+    def score(b):
+        a = prior * both[b] / whole + 0.5
+        odds = [math.log((n[y][b] + a) / (sum(n[y].values()) + prior - n[y][b] - a + 0.5)) for y in (0, 1)]
+        error = math.sqrt(1 / (n[1][b] + a) + 1 / (n[0][b] + a))
+        d = odds[1] - odds[0]
+        return d - error if d > 3 * error and d - error > 1 and n[1][b] else -0.05
+
+    scores = {b: score(b) for b in {x for v in bins.values() for x in v}}
+    dense = np.array([scores.get(b, -0.05) for b in range(toxicity.BINS)], np.float32)
+    lam = toxicity.solve_lambda(dense, np.array([n[0][b] for b in range(toxicity.BINS)], float) + 1e-12)
+    passages = {d: toxicity.segments([float(dense[x]) for x in v]) for d, v in bins.items()}
+    draws = [math.exp(-toxicity.level(lam * max((s for *_, s in passages[d]), default=0.0) - math.log(len(bins[d]))) / 4) for d, y in labels if not y and bins[d]]
+    k = len(draws) / sum(draws)
+
+    def evidence(d):
+        out = 0.0
+        for *_, s in passages[d]:
+            chance = 1 - math.exp(-math.exp(min(50.0, math.log(k) + math.log(len(bins[d])) - lam * s)))
+            out -= math.log(max(chance, 1e-300)) if chance < 0.5 else 0
+        return out
+
+    table = np.zeros((2, toxicity.LEVELS))
+    for d, y in labels:
+        table[y, toxicity.place(evidence(d))] += 1
+    by_level = toxicity.monotone(table)
+    got = {r["doc_id"]: r for r in QUERIES["op8_toxicity"](spark, sf).collect()}
+    assert len(got) == len(texts)
+    for d in texts:
+        assert got[d]["held_out"] == held[d] and got[d]["score"] == pytest.approx(by_level[toxicity.place(evidence(d))], abs=1e-9)
+
+
+def test_weak_labels_against_plain_loops(spark):
+    """The whole operator on the smallest table: votes by pattern, posteriors by plain EM, and the scores of the scorer they train."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    qc = quality_classifier
+    texts = {r["doc_id"]: r["text"] for r in read(spark, sf, "documents").collect()}
+    votes = {d: qc.votes(qc.Reader()(t)[0]) for d, t in texts.items()}
+    patterns = Counter(votes.values())
+    k = len(qc.LABELLERS)
+    rate = [[0.4, 0.03] for _ in range(k)]  # of bad votes on bad and on good documents
+    good, post = 0.85, dict.fromkeys(patterns, 0.85)
+    for _ in range(300):
+        new = {}
+        for p in patterns:
+            side = [1 - good, good]
+            for j, v in enumerate(p):
+                for y in (0, 1):
+                    side[y] *= {"0": 1.0, "+": 1 - rate[j][y], "-": rate[j][y]}[v]
+            new[p] = side[1] / sum(side)
+        moved = max(abs(new[p] - post[p]) for p in patterns)
+        post = new
+        weight = {p: (n * (1 - post[p]), n * post[p]) for p, n in patterns.items()}
+        for j in range(k):
+            for y, first in ((0, 0.4), (1, 0.03)):
+                rate[j][y] = (sum(w[y] for p, w in weight.items() if p[j] == "-") + first) / (sum(w[y] for p, w in weight.items() if p[j] != "0") + 1)
+        good = min(0.99, max(0.01, (sum(w[1] for w in weight.values()) + 0.85) / (len(texts) + 1)))
+        if moved < 1e-6:
+            break
+    got = {r["doc_id"]: r for r in QUERIES["op6_weak_label_quality"](spark, sf).collect()}
+    assert len(got) == len(texts)
+    for d in texts:
+        assert got[d]["votes"] == votes[d] and got[d]["weak_label"] == pytest.approx(post[votes[d]], abs=1e-6)
+    # fewer rows than the sample: every distinct text trains, in the order of its hash
+    hashed = {r["h"]: r["text"] for r in read(spark, sf, "documents").selectExpr("xxhash64(text) AS h", "text").collect()}
+    rows = [(qc.features(*qc.Reader()(hashed[h])), post[qc.votes(qc.Reader()(hashed[h])[0])]) for h in sorted(hashed)]
+    weights = qc.train(rows)
+    for d, t in texts.items():
+        b, v = qc.features(*qc.Reader()(t))
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[i] * x for i, x in zip(b, v, strict=True)))))) if len(b) else 0.0
+        assert got[d]["score"] == pytest.approx(want, abs=1e-4) and got[d]["kept"] == (got[d]["score"] >= 0.5)
+
+
+def test_quality_verdicts_against_plain_loops(spark):
+    """Distances of every document of the smallest table from references counted word by word."""
+    import math
+    import unicodedata
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    rows = read(spark, sf, "documents").collect()
+    group = {"Ll": 0, "Lu": 1, "Lt": 1, "L": 2, "M": 2, "Nd": 3, "N": 3, "Zs": 4, "Zl": 4, "Zp": 4, "P": 5, "S": 6}
+
+    def kind(c):
+        name = unicodedata.category(c)
+        return 6 if c in "#*$%&|<>" else 4 if "\t" <= c <= "\r" else group.get(name, group.get(name[0], 7))
+
+    def shares(c):
+        total = sum(c.values())
+        return {k: v / total for k, v in c.items()}
+
+    def js(p, q):
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+        kl = lambda a: sum(x * math.log2(x / m[k]) for k, x in a.items() if x > 0)
+        return math.sqrt(min(1, max(0, (kl(p) + kl(q)) / 2)))
+
+    words = lambda t: [zlib.crc32(w.strip(quality_rules.EDGE).lower().encode()) % quality_rules.BINS for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    refs = []
+    for lang in sorted({r["lang"] for r in rows} - {None}):
+        mine = [r["text"] for r in rows if r["lang"] == lang and r["text"] is not None]
+        w = shares(Counter(b for t in mine for b in words(t)))
+        common = {b: x for b, x in w.items() if x >= 0.004}
+        refs.append((shares(Counter(kind(c) for t in mine for c in t)), common | {None: max(0.0, 1 - sum(common.values()))}))
+    got = {r["doc_id"]: r for r in QUERIES["op2_quality_rules"](spark, sf).collect()}
+    for r in rows:
+        g, t, w = got[r["doc_id"]], r["text"], words(r["text"])
+        chars = min(js(shares(Counter(map(kind, t))), c) for c, _ in refs) if t and len(t) >= 100 else None
+        apart = min(js(shares(Counter(b if b in ref else None for b in w)), ref) for _, ref in refs) if len(w) >= 40 else None
+        assert g["class_distance"] == (None if chars is None else pytest.approx(chars, abs=1e-9))
+        assert g["word_distance"] == (None if apart is None else pytest.approx(apart, abs=1e-9))
+        assert g["kept"] == (not g["base_failed"] and (chars is None or chars <= 0.33) and (apart is None or apart <= 0.22 + 1 / math.sqrt(len(w))))
