@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import checkpointed
 
-from .common import WORD, bucket, fold_rows, map_rows, read, texts
+from .common import WORD, bounded, bucket, fold_rows, map_rows, read, texts
 
 BINS = 1 << 18
 EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_"
 LEVELS = 64
-LABEL_BITS = 1 << 23
+LABEL_BITS, MOST_BITS = 1 << 23, 1 << 26
 
 
 class Hasher:
@@ -286,22 +286,24 @@ def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep=None) ->
 def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Packed bins and label of the documents that have one, as a checkpoint that the training scans share.
 
-    A bitmap of fixed size over the labels' hashed ids drops documents without label before the join, so that hardly anything
-    else is shuffled, and no text at all; the join itself is exact.
+    A bitmap over the labels' hashed ids (16 bits a label, up to ``MOST_BITS``) drops documents without label before the join, so that hardly
+    anything else is shuffled, and no text at all; the join itself is exact.
     """
     labels = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("label"))
-    slot = F.pmod(F.xxhash64(id_col), F.lit(LABEL_BITS)).cast("int")
-    held = np.zeros(LABEL_BITS, bool)
-    for r in labels.select(slot.alias("s")).distinct().toLocalIterator():
-        held[r[0]] = True
-    bitmap = np.packbits(held).tobytes()
-    src = docs.select(id_col, slot.alias("slot"), F.col(text_col).alias("text"))
+    n = min(MOST_BITS, max(LABEL_BITS, 1 << (16 * labels.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(id_col), F.lit(n)).alias("slot")
+    words = np.zeros(n // 64, np.uint64)
+    found = labels.select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()  # n / 64 rows at most
+    words[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    src = bounded(docs).select(id_col, slot, F.col(text_col).alias("text"))
     kind = src.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hasher = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool), Hasher()
+        hasher = Hasher()
         for b in batches:
-            may_be = b.filter(pa.array(bits[b.column(1).to_numpy()]))
+            at = b.column(1).to_numpy().astype(np.uint64)
+            held = words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+            may_be = b.filter(pa.array(held.astype(bool)))
             packed = pa.array([pack(hasher.bins(t)) for t in may_be.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([may_be.column(0), packed], names=[id_col, "bins"])
 
