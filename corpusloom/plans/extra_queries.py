@@ -149,7 +149,7 @@ def room_state(spark, sf):
 @query("credibility", f"WITH {LOADED}, {LOADED_TERMS}, {READ} SELECT d.doc_id, level, density AS density_per_100_words, CASE WHEN c >= 0.3 THEN 'Strongly positive' WHEN c >= 0.05 THEN 'Leaning positive' WHEN c <= -0.3 THEN 'Strongly negative' WHEN c <= -0.05 THEN 'Leaning negative' ELSE 'Neutral' END AS tone, CASE WHEN e.n = 0 THEN NULL ELSE round(ease, 1) END AS flesch_reading_ease, 'https://search.example.org/?q=' || replace('claim ' || d.doc_id || ' & more', ' ', '%20').replace('&', '%26') AS search_url FROM (SELECT *, CASE WHEN density >= 3 THEN 'High' WHEN density >= 1 THEN 'Moderate' ELSE 'Low' END AS level, (CAST((doc_id * 37) % 201 AS DOUBLE) - 100) / 100 AS c FROM d) d JOIN e ON d.doc_id = e.doc_id")
 def credibility(spark, sf):
     """The panel of loaded language, tone, readability and claims; tone comes from a scorer's number, claims from a model."""
-    d = table(spark, sf, "documents").select("doc_id", loaded_text().alias("t"), "text", (((F.col("doc_id") * 37) % 201 - 100) / 100.0).alias("c"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", loaded_text().alias("t"), "text", (((F.col("doc_id") * 37) % 201 - 100) / 100.0).alias("c"))
     p = d.select("doc_id", ex.credibility(F.col("t"), F.col("c"), F.array(F.concat(F.lit("claim "), F.col("doc_id").cast("string"), F.lit(" & more"))), "https://search.example.org/?q=").alias("p"), tx.readability(F.col("text")).alias("r"))
     return p.select("doc_id", "p.loaded_language.level", "p.loaded_language.density_per_100_words", "p.sentiment.tone", "r.flesch_reading_ease", F.col("p.claims")[0]["search_url"].alias("search_url"))
 

@@ -43,7 +43,7 @@ READ = f"""w AS (SELECT doc_id, text, regexp_extract_all(trim(text), '[A-Za-z'']
 
 @query("readability", f"WITH {READ} SELECT doc_id, n AS word_count, s AS sentence_count, CASE WHEN n = 0 THEN NULL ELSE round(ease, 1) END AS flesch_reading_ease, CASE WHEN n = 0 THEN NULL ELSE round(greatest(grade, 0), 1) END AS flesch_kincaid_grade, CASE WHEN n = 0 THEN 'N/A' WHEN ease >= 70 THEN 'Easy' WHEN ease >= 50 THEN 'Standard' WHEN ease >= 30 THEN 'Difficult' ELSE 'Very difficult' END AS level FROM e", ints=("word_count", "sentence_count"))
 def readability(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tx.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 def _sql_terms(terms):
@@ -63,7 +63,7 @@ def loaded_text():
 
 @query("loaded_language", f"WITH {LOADED}, {LOADED_TERMS} SELECT doc_id, density AS density_per_100_words, CASE WHEN density >= 3 THEN 'High' WHEN density >= 1 THEN 'Moderate' ELSE 'Low' END AS level, a AS n_absolutist, e AS n_emotional, h AS n_hedging, k AS clickbait FROM d")
 def loaded_language(spark, sf):
-    r = table(spark, sf, "documents").select("doc_id", tx.loaded_language(loaded_text()).alias("r")).select("doc_id", "r.*")
+    r = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tx.loaded_language(loaded_text()).alias("r")).select("doc_id", "r.*")
     return r.select("doc_id", "density_per_100_words", "level", F.size("absolutist_terms").alias("n_absolutist"), F.size("emotional_terms").alias("n_emotional"), F.size("hedging_phrases").alias("n_hedging"), F.col("clickbait_patterns_matched").alias("clickbait"))
 
 
