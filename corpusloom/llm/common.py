@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -61,6 +62,8 @@ def map_rows(
                 cols = [part.column(i).cast(arrow.field(i).type) for i in range(keep)]
                 cols += [pa.array(v, arrow.field(keep + i).type) for i, v in enumerate(added)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        fn = part = added = cols = b = None
+        hand_back()
 
     return src.mapInArrow(run, out)
 
@@ -100,6 +103,8 @@ def fold_rows(
                 held = []
         if held:
             yield batch(held)
+        take = finish = held = None
+        hand_back()
 
     return src.mapInArrow(run, out)
 
@@ -113,6 +118,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def hand_back() -> None:
+    """Give freed memory back to the system: a worker stays for later tasks, which may be others."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def parts(batch: pa.RecordBatch, rows: int = 1000, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``rows`` rows, and of ``size`` bytes of text where a single row is not larger."""
     held = np.zeros(batch.num_rows, np.int64)
