@@ -288,6 +288,23 @@ def test_convergence(spark):
     ops = [(f"op{k}", f"r{k % 3}", "note", f"n{rng.randint(0, 4)}", rng.choice(["title", "tags"]), "set", f"v{rng.randint(0, 9)}", k // 3 + 1, float(k)) for k in range(120)]
     ops = [(*o[:5], rng.choice(["add", "add", "remove"]) if o[4] == "tags" else "set", *o[6:]) for o in ops]
     schema = "op_id string, replica_id string, entity string, entity_id string, field string, action string, value string, lamport long, wall_clock double"
+def test_chain_goes_on_from_heads_that_turn_out_small(spark):
+    """A join that is planned by exchange and then broadcast must not tear chains apart."""
+    rows = spark.range(40_000).selectExpr("id % 3 AS chain_id", "id AS position", "CAST(id AS STRING) AS record_id", "'h' AS content_hash", "'{}' AS metadata").repartition(7)
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
+    held = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        first = ledger.build_chain(rows.where("position < 100"))
+        both = first.unionByName(ledger.build_chain(rows.where("position >= 100"), heads=ledger.chain_heads(first)))
+        got = {(r["chain_id"], r["sequence"], r["entry_hash"]) for r in both.collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {(r["chain_id"], r["sequence"], r["entry_hash"]) for r in ledger.build_chain(rows).collect()}
+
+
     states = []
     for _ in range(3):
         sent = ops + rng.sample(ops, 40)
