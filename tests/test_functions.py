@@ -190,6 +190,13 @@ def test_provenance():
     assert c["support"] != "none" and "sluices by hand" in c["matched_text"]
 
 
+def test_sentence_of_function_words_is_traced_where_it_is_lifted():
+    text = "The mill stood. " + "In " * 30 + "and. Ice came."
+    (a,) = pv.align_summary("In " * 30 + "and.", text)
+    assert a["support"] == "strong" and text[a["start"] : a["end"]] == a["matched_text"] == a["sentence"]
+    assert pv.align_summary("And in the.", text)[0]["support"] == "none"
+
+
 def test_trace_of_long_and_missing_texts(spark, tmp_path):
     """Every document has its row, long and null ones too, with the coverage of its own sentences."""
     from corpusloom.plans import registry
