@@ -232,6 +232,14 @@ def test_stems(word, stem):
     assert tx.porter_stem(word) == stem
 
 
+def test_readability_rounds_halves_up(spark):
+    """One sentence of 296 words with 295 and more vowel groups: a grade of 111.65."""
+    texts = [" ".join(["ba"] * (296 - k) + ["baba"] * k) for k in range(296)]
+    got = [r["g"] for r in spark.createDataFrame(list(enumerate(texts)), "id int, text string").select(tx.readability(tx.F.col("text"))["flesch_kincaid_grade"].alias("g"), "id").orderBy("id").collect()]
+    want = [int((0.39 * 296 + 11.8 * ((296 + k) / 296) - 15.59) * 10 + 0.5) / 10 for k in range(296)]
+    assert got == want and 111.7 in got
+
+
 def test_text():
     assert tx.split_sentences("Prof. Lund measured 2.75 meters. It held! A. B. Berg wrote approx. six notes.") == ["Prof. Lund measured 2.75 meters.", "It held!", "A. B. Berg wrote approx. six notes."]
     assert tx.tokenize("She’s Zoë") == ["she's", "zoe"]
