@@ -84,8 +84,8 @@ def model_fallback(spark, sf):
 
 @query("comment_sentiment", "SELECT user_id AS video_id, count(*) AS n, CASE WHEN avg(c) >= 0.05 THEN 'positive' WHEN avg(c) <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM (SELECT user_id, CAST((event_id * 37 + user_id * 11) % 21 - 10 AS DOUBLE) / 10 AS c FROM events) GROUP BY 1")
 def comment_sentiment(spark, sf):
-    c = table(spark, sf, "events").selectExpr("user_id AS video_id", "((event_id * 37 + user_id * 11) % 21 - 10) / 10.0D AS compound")
-    return readers.comment_sentiment(c).select("video_id", "n", "label")
+    c = table(spark, sf, "events").selectExpr("user_id AS video_id", "event_id", "((event_id * 37 + user_id * 11) % 21 - 10) / 10.0D AS compound")
+    return readers.comment_sentiment(c, order="event_id").select("video_id", "n", "label")
 
 
 @query("transcripts", "SELECT lpad(CAST(conv_id AS VARCHAR), 11, 'v') AS video_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")

@@ -116,8 +116,13 @@ def transcripts(segments: DataFrame) -> DataFrame:
     return segments.groupBy(youtube_id(F.col("url")).alias("video_id")).agg(F.array_join(F.transform(part, lambda s: s["text"]), " ").alias("text"))
 
 
-def comment_sentiment(comments: DataFrame, compound: str = "compound") -> DataFrame:
-    """Mean score and label of each video's comments, given a scored column."""
-    mean = F.avg(compound)
-    label = F.when(mean >= 0.05, "positive").when(mean <= -0.05, "negative").otherwise("neutral")
-    return comments.groupBy("video_id").agg(F.count("*").alias("n"), mean.alias("mean"), label.alias("label"))
+def comment_sentiment(comments: DataFrame, compound: str = "compound", order: str | None = None) -> DataFrame:
+    """Mean score and label of each video's comments, given a scored column. With ``order`` (a column) the scores are added in that order,
+    so that the last digit of a mean, and with it a label at the limit, does not hang on how the rows are dealt."""
+    if order is None:
+        mean = F.avg(compound)
+    else:
+        scores = F.transform(F.array_sort(F.collect_list(F.when(F.col(compound).isNotNull(), F.struct(F.col(order).alias("k"), F.col(compound).cast("double").alias("v"))))), lambda s: s["v"])
+        mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda t, x: t + x) / F.size(scores))
+    label = F.when(F.col("mean") >= 0.05, "positive").when(F.col("mean") <= -0.05, "negative").otherwise("neutral")
+    return comments.groupBy("video_id").agg(F.count("*").alias("n"), mean.alias("mean")).withColumn("label", label)

@@ -126,3 +126,25 @@ def test_small_helpers(spark):
     assert pos.shape == (5, 2) and np.isfinite(pos).all()
     with pytest.raises(ValueError):
         lib.bulk_action(entries(spark), entries(spark), "explode")
+
+
+def test_delete_cascade_reaches_every_key(spark, tmp_path):
+    """Entries above a million are deleted too."""
+    from corpusloom.plans import registry
+
+    registry.load()
+    spark.createDataFrame([(1, 5), (2, 7), (3, 2_000_005), (4, 2_000_006)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, 2_000_000, 3), (2, 1, 3, 2_000_005), (3, 1, 3, 2_000_007)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, registry.QUERIES["delete_cascade"](spark, str(tmp_path)).collect()), key=lambda r: r[0])
+    assert got == [(1, None), (2, 7), (3, None), (4, 2_000_006), (31, 3)]
+
+
+def test_comment_means_are_added_in_order(spark):
+    """However the rows are dealt, the mean is that of the scores added one by one."""
+    rows = [(v, k, ((k * 37 + v * 11) % 21 - 10) / 10) for v in range(60) for k in range(62)]
+    comments = spark.createDataFrame(rows, "video_id long, k long, compound double").orderBy(sinks.F.xxhash64("k")).repartition(5)
+    got = {r["video_id"]: r["mean"] for r in readers.comment_sentiment(comments, order="k").collect()}
+    want = {}
+    for v, _, x in rows:
+        want[v] = want.get(v, 0.0) + x
+    assert got == {v: x / 62 for v, x in want.items()}
