@@ -107,9 +107,11 @@ def bulk_archive(spark, sf):
 
 @query("delete_cascade", "SELECT id, entry_id FROM (SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey END AS entry_id, 1 AS k FROM orders) UNION ALL SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS entry_id FROM lineitem WHERE l_suppkey % 5 <> 0 AND l_partkey % 5 <> 0")
 def delete_cascade(spark, sf):
-    gone = spark.range(0, 1_000_000, 5)
+    """Every fifth entry that anything refers to is deleted."""
     recordings = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey AS entry_id")
     links = table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "l_suppkey AS from_id", "l_partkey AS to_id")
+    referred = recordings.select("entry_id").union(links.select("from_id")).union(links.select("to_id"))
+    gone = referred.where("entry_id % 5 = 0").selectExpr("entry_id AS id").distinct()
     out = lib.delete_cascade(gone, {"recordings": (recordings, ("entry_id",), True), "links": (links, ("from_id", "to_id"), False)})
     return out["recordings"].unionByName(out["links"].select("id", F.col("from_id").alias("entry_id")))
 
