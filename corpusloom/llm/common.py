@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -14,13 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.batches import BATCH_BYTES, bounded, hand_back
 from corpusloom.plans.relations import spread
 
 #: Words are runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-BATCH_BYTES = 4_000_000
-
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -109,23 +107,6 @@ def fold_rows(
     return src.mapInArrow(run, out)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, whose session gives Python no Arrow batches above ``BATCH_BYTES`` from now on (but for single rows that are larger)."""
-    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    held = int("".join(c for c in (conf.get(key, None) or "0") if c.isdigit()) or 0)
-    if not 0 < held <= BATCH_BYTES:
-        conf.set(key, BATCH_BYTES)
-    return df
-
-
-def hand_back() -> None:
-    """Give freed memory back to the system: a worker stays for later tasks, which may be others."""
-    pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def parts(batch: pa.RecordBatch, rows: int = 1000, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``rows`` rows, and of ``size`` bytes of text where a single row is not larger."""
     held = np.zeros(batch.num_rows, np.int64)

@@ -40,6 +40,21 @@ def test_dates(text, literal, start, end, kind, precision):
     assert text[d["start"] : d["end"]] == d["text"]
 
 
+def test_rules_are_tried_where_they_may_match():
+    """What the index of first letters leads to is what each rule finds by itself."""
+    rng = random.Random(5)
+    words = "from to between and May may Jan feb. March 5 12 3rd 1999 2004 1990s '90s 90s the early mid late - – of first quarter Q1 q4 2004-05-06 2004-05 3/4/2005 5.6.2007 12/2004 spring last next this Monday tue week decade century 19th day before yesterday today a couple few ten weeks ago later from now in within soon these days page no. circa c. as back x'80s , . Q12004 Q1of2004 users 1500 mid-May İ K ²  ٣".split()
+    tried = 0
+    for _ in range(3000):
+        text = rng.choice([" ", " ", "  ", "-", "\n", ""]).join(rng.choice(words) for _ in range(rng.randint(1, 14)))
+        want = {(k, m.span()) for k, (p, *_) in enumerate(tm.RULES) for m in p.finditer(text)}
+        assert {(k, m.span()) for k, m in tm.matches(text)} == want, text
+        tried += len(want)
+    assert tried > 1000
+    plain = "Nothing of the kind is said by anyone here; " * 50
+    assert sum(len(tm.rules_at(w.lower())) for w in plain.split()) < len(tm.RULES) * len(plain.split()) / 4
+
+
 def test_dates_that_are_none():
     assert tm.extract_dates("Nobody was born on 2023-11-31.", REF) == []
     for junk in (None, "", "31/31/31 00/00/0000 Q0 the 0th century", "\x00\x01" * 20, "march on, may we"):
