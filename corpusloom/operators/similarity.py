@@ -35,8 +35,13 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", ve
     return scored.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+COPIES, LARGEST = 24, 16_000
+
+
 def _blocks(rows: int, block_rows: int) -> int:
-    return max(1, math.ceil(rows / block_rows))
+    """Blocks of about ``block_rows``, or more rows where there would be over ``COPIES`` blocks, for each vector goes to as many groups as there
+    are blocks; never above ``LARGEST`` rows, which bound a task's memory (unless ``block_rows`` is larger itself)."""
+    return max(1, math.ceil(rows / max(block_rows, min(LARGEST, math.ceil(rows / COPIES)))))
 
 
 def _block_pairs(vectors: DataFrame, id_col: str, vec_col: str, block_rows: int) -> DataFrame:
@@ -128,18 +133,23 @@ def neighbours(vectors: DataFrame, k: int = 5, floor: float = 0.35, id_col: str
 
     def best(key, frame: pd.DataFrame) -> pd.DataFrame:
         sides = _sides(frame, *key)
-        out = [pd.DataFrame({"id": np.zeros(0, "int64"), "other": np.zeros(0, "int64"), "similarity": np.zeros(0)})]
+        out = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]
         for (ids, x), (other, y) in (sides, sides[::-1])[: 1 if key[0] == key[1] else 2]:
             by_id = np.argsort(other, kind="stable")
             other, y = other[by_id], y[by_id]
             for at in range(0, len(x) if len(y) else 0, 1000):
                 s = x[at : at + 1000] @ y.T
                 s[ids[at : at + 1000, None] == other[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                val = np.take_along_axis(s, top, axis=1)
-                r, c = np.nonzero(val > floor)
-                out.append(pd.DataFrame({"id": ids[at + r], "other": other[top[r, c]], "similarity": val[r, c]}))
-        return pd.concat(out, ignore_index=True)
+                few = np.count_nonzero(s > floor, axis=1) <= k
+                # what lies above the floor is seldom more than k; only other rows are sorted (stable: ties go to the smaller id)
+                r, c = np.nonzero((s > floor) & few[:, None])
+                out.append((ids[at + r], other[c], s[r, c]))
+                for n in np.nonzero(~few)[0]:
+                    kth = np.partition(s[n], -k)[-k]
+                    c = np.nonzero(s[n] >= kth)[0]
+                    c = c[np.argsort(-s[n, c], kind="stable")[:k]]
+                    out.append((np.full(len(c), ids[at + n]), other[c], s[n, c]))
+        return pd.DataFrame({name: np.concatenate(v) for name, v in zip(("id", "other", "similarity"), zip(*out, strict=True), strict=True)})
 
     found = _block_pairs(vectors, id_col, vec_col, block_rows).groupBy("i", "j").applyInPandas(best, "id long, other long, similarity double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
