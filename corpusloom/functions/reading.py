@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from corpusloom.functions.batches import bounded, hand_back
 from corpusloom.functions.lexicon import ABBREVIATIONS, STOPWORDS
 from corpusloom.functions.text import count_syllables
 
@@ -20,6 +26,7 @@ BANDS = (1, 2, 6, 10, 14)
 UNITS = frozenset("ca cf dept fl ft lb oz hr min sec".split())
 INITIALS = re.compile(r"(?:[A-Za-z]\.)+[A-Za-z]?")
 GAP = re.compile(r"\n[ \t\r]*\n")
+WORD = re.compile(r"\S+")
 
 
 def orp_index(word: str | None) -> int:
@@ -79,24 +86,58 @@ def prepare_words(text: str | None) -> list[dict]:
 WORD_SCHEMA = "word string, orp int, delay_multiplier double, is_sentence_end boolean, is_paragraph_end boolean, index int, char_offset int"
 
 
-def rsvp(docs: DataFrame, id_col: str = "id", text_col: str = "text", wpm: float | None = None) -> DataFrame:
-    """One row per word of each document, with its milliseconds on display (``ms``) if a pace is given. Documents stream through; nothing
-    is shuffled."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i, t in zip(f["id"], f["text"], strict=True):
-                words = prepare_words(t)
-                if wpm:
-                    words = [w | {"ms": ms} for w, ms in zip(words, pacing_plan([w["delay_multiplier"] for w in words], wpm), strict=True)]
-                for at in range(0, len(words), 20_000):
-                    part = pd.DataFrame(words[at : at + 20_000])
-                    part.insert(0, "id", i)
-                    yield part
-
-    return src.mapInPandas(run, f"id {kind}, {WORD_SCHEMA}" + ", ms int" * bool(wpm))
+@lru_cache(100_000)
+def shape(word: str) -> tuple[int, bool, tuple[float, ...]]:
+    """Pivot, whether it ends a sentence by itself, and display time inside one, at the end of one, and of a paragraph."""
+    return orp_index(word), ends_sentence(word), (delay(word, False, False), delay(word, True, False), delay(word, True, True))
+
+
+def word_columns(text: str | None, wanted: frozenset[str]) -> dict[str, list]:
+    """``prepare_words`` by column, of those wanted. Word forms repeat, so what hangs on the word alone is worked out once each."""
+    text = text or ""
+    if wanted <= {"index"}:
+        return {"index": range(len(text.split()) if text.isascii() else sum(1 for _ in WORD.finditer(text)))}
+    found = list(WORD.finditer(text))
+    words = [m[0] for m in found]
+    starts = [m.start() for m in found]
+    paras = [False] * len(words)
+    if words:
+        paras[-1] = True
+        for g in GAP.finditer(text):
+            k = bisect.bisect_left(starts, g.end()) - 1
+            if k >= 0:
+                paras[k] = True
+    shapes = [shape(w) for w in words]
+    stops = [p or s[1] for p, s in zip(paras, shapes, strict=True)]
+    out = {"word": words, "orp": [s[0] for s in shapes], "delay_multiplier": [s[2][p + e] for p, e, s in zip(paras, stops, shapes, strict=True)], "is_sentence_end": stops, "is_paragraph_end": paras, "index": range(len(words)), "char_offset": starts}
+    return {c: v for c, v in out.items() if c in wanted}
+
+
+def rsvp(docs: DataFrame, id_col: str = "id", text_col: str = "text", wpm: float | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per word of each document, with its milliseconds on display (``ms``) if a pace is given. ``columns``: those that are read, if
+    not all; the others are not worked out. Documents stream through; nothing is shuffled."""
+    src = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    every = [c.split() for c in (WORD_SCHEMA + ", ms int" * bool(wpm)).split(", ")]
+    kept = [c for c in every if columns is None or c[0] in columns]
+    wanted = frozenset(c for c, _ in kept) - {"ms"} | ({"delay_multiplier"} if any(c == "ms" for c, _ in kept) else set())
+    schema = to_arrow_schema(T._parse_datatype_string(", ".join(f"{c} {k}" for c, k in kept)))
+    ids = to_arrow_schema(src.select("id").schema).field(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([ids.with_nullable(True), *schema])
+        for b in batches:
+            for i, t in enumerate(b.column(1)):
+                made = word_columns(t.as_py(), wanted)
+                if "ms" in schema.names:
+                    made["ms"] = pacing_plan(made["delay_multiplier"], wpm)
+                n = len(next(iter(made.values())))
+                for at in range(0, n, 20_000):
+                    size = min(20_000, n - at)
+                    key = b.column(0).slice(i, 1).take(pa.array(np.zeros(size, "i4"))).cast(ids.type)
+                    yield pa.RecordBatch.from_arrays([key, *(pa.array(np.arange(at, at + size) if f.name == "index" else made[f.name][at : at + size], f.type) for f in schema)], schema=out)
+        hand_back()
+
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} {k}" for c, k in kept))
 
 
 def pacing_plan(multipliers: list[float], wpm: float = DEFAULT_WPM) -> list[int]:
