@@ -234,6 +234,16 @@ def test_pivots(word, want):
     assert rd.orp_index(word) == want
 
 
+def test_word_columns_are_those_of_the_plain_form():
+    rng = random.Random(3)
+    texts = [None, "", "a\n\nb", "\n\n x. \n \n\n y", "Mr. A\n\n"] + ["".join(rng.choice(["a", "B.", "\n", "\n\n", " ", "\t", "e.g.", "!", "\u2003", "9"]) for _ in range(30)) for _ in range(300)]
+    names = [c.split()[0] for c in rd.WORD_SCHEMA.split(", ")]
+    for t in texts:
+        want = rd.prepare_words(t)
+        assert {c: list(v) for c, v in rd.word_columns(t, frozenset(names)).items()} == {c: [w[c] for w in want] for c in names}
+        assert len(rd.word_columns(t, frozenset({"index"}))["index"]) == len(want)
+
+
 def test_pacing():
     plan = rd.pacing_plan([1.2, 1.8, 1.0, 0.9] * 40, 240)
     assert abs(sum(plan) - 160 * 250) < 5 and rd.pacing_plan([]) == []
@@ -370,3 +380,18 @@ def test_audio(spark):
         w.writeframes(np.array([[0, 0], [32767, 32767], [-32768, -32768]], "<i2").tobytes())
     x, rate = audio.load_wav(buf.getvalue())
     assert rate == 8000 and np.allclose(x, [0, 1, -1], atol=1e-4)
+
+
+def test_blocks_do_not_multiply_with_the_table():
+    from corpusloom.operators import similarity as sim
+
+    assert sim._blocks(1000, 200) == 5 and sim._blocks(600_000, 150) <= 40 and sim._blocks(10_256, 200) <= 24
+    assert -(-10_000_000 // sim._blocks(10_000_000, 150)) <= sim.LARGEST
+
+
+def test_python_gets_bounded_batches(spark):
+    from corpusloom.plans.relations import spread
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spread(spark.range(3))
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4_000_000
