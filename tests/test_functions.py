@@ -395,3 +395,13 @@ def test_python_gets_bounded_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     spread(spark.range(3))
     assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4_000_000
+
+
+def test_proofs_are_folded_before_rows_move(spark):
+    from corpusloom.plans import registry
+
+    registry.load()
+    node = registry.QUERIES["merkle_proofs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().head()
+    assert "proof" not in node.children().head().output().mkString(" ")
