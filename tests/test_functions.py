@@ -382,6 +382,26 @@ def test_audio(spark):
     assert rate == 8000 and np.allclose(x, [0, 1, -1], atol=1e-4)
 
 
+def test_recordings_are_compared_block_by_block(spark, monkeypatch):
+    """What joins stays inside a task: the plan joins nothing, and blocks and parts of any size give what plain Python gives."""
+    monkeypatch.setattr(audio, "BLOCK", (20, 30)), monkeypatch.setattr(audio, "JOINED", 50)
+    rows = [(f"r{k * 7 % 5}", f"{k * k % 6:06x}", float(k * 13 % 11)) for k in range(120)]
+    h = spark.createDataFrame(rows, "rec_id string, hash string, time double")
+    got = audio.compare(h.where("rec_id < 'r2'"), h, hop=1.0)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for a in ("r0", "r1"):
+        for b in {r for r, _, _ in rows} - {a}:
+            met = [(c, round(t - u)) for r, c, u in rows if r == a for s, d, t in rows if s == b and c == d]
+            n = {k: sum(x == k for _, x in met) for k in {x for _, x in met}}
+            if n:
+                peak = max(n, key=lambda k: (n.get(k - 1, 0) + n[k] + n.get(k + 1, 0), n[k], -k))
+                want[a, b] = len({c for c, x in met if abs(x - peak) <= 1}), len({c for c, _ in met}), float(peak)
+    assert {(r["a"], r["b"]): (r["aligned_hashes"], r["common_hashes"], r["offset_seconds"]) for r in got.collect()} == want
+    best = audio.query_index(h.where("rec_id < 'r2'"), h, 1, hop=1.0).collect()
+    assert {r["a"]: r["aligned_hashes"] for r in best} == {a: max(v[0] for k, v in want.items() if k[0] == a) for a in ("r0", "r1")}
+
+
 def test_blocks_do_not_multiply_with_the_table():
     from corpusloom.operators import similarity as sim
 
