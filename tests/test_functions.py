@@ -382,6 +382,14 @@ def test_audio(spark):
     assert rate == 8000 and np.allclose(x, [0, 1, -1], atol=1e-4)
 
 
+def test_growing_sides_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(1, "The bridge weighs 10 kg."), (2, "The bridge weighs 20 kg."), (3, "The bridges weigh 30 kg.")], "id long, text string")
+    g = qt.summarize_groups(qt.group_claims(qt.quantities(docs)), 2)
+    assert [r["claims"] for r in g.collect()] == [3]
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_recordings_are_compared_block_by_block(spark, monkeypatch):
     """What joins stays inside a task: the plan joins nothing, and blocks and parts of any size give what plain Python gives."""
     monkeypatch.setattr(audio, "BLOCK", (20, 30)), monkeypatch.setattr(audio, "JOINED", 50)
