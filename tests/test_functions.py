@@ -382,6 +382,16 @@ def test_audio(spark):
     assert rate == 8000 and np.allclose(x, [0, 1, -1], atol=1e-4)
 
 
+def test_lifted_sentences_need_no_alignment(monkeypatch):
+    text = "The old harbour wall was mended by hand. Gulls came back. The old harbour wall was painted twice. The old harbour wall was mended by hand. " * 9 + "Nobody saw the ferry leave at dawn."
+    got = pv.align_summary(text, text)
+    monkeypatch.setattr(pv.Source, "lifted", lambda self, stems: [])
+    assert got == pv.align_summary(text, text)
+    monkeypatch.undo()
+    monkeypatch.setattr(pv, "local_alignment", lambda pairs: 1 / 0)
+    assert got == pv.align_summary(text, text) and {r["support"] for r in got} == {"strong"}
+
+
 def test_growing_sides_are_not_broadcast(spark):
     docs = spark.createDataFrame([(1, "The bridge weighs 10 kg."), (2, "The bridge weighs 20 kg."), (3, "The bridges weigh 30 kg.")], "id long, text string")
     g = qt.summarize_groups(qt.group_claims(qt.quantities(docs)), 2)
