@@ -96,7 +96,7 @@ WEIGHT = "w AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderke
 
 @query("extract_quantities", f"WITH {WEIGHT} SELECT id AS document_id, round(kg, 6) AS canonical_value, CASE k WHEN 0 THEN 'kilogram' WHEN 1 THEN 'gram' ELSE 'pound' END AS unit, 'shipment' AS subject, 'mass' AS dimension FROM w")
 def extract_quantities(spark, sf):
-    return qt.quantities(weights(spark, sf)).select("document_id", F.round("canonical_value", 6).alias("canonical_value"), "unit", "subject", "dimension")
+    return qt.quantities(weights(spark, sf), columns=("canonical_value", "unit", "subject", "dimension")).select("document_id", F.round("canonical_value", 6).alias("canonical_value"), "unit", "subject", "dimension")
 
 
 @query(
@@ -111,7 +111,7 @@ def quantity_forms(spark, sf):
     text = F.when(k == 0, F.concat(F.lit("The shipment weighs between "), q, F.lit(" and "), high, F.lit(" kg."))).when(k == 1, F.concat(F.lit("At least "), q, F.lit(" boxes are missing.")))
     text = text.when(k == 2, F.concat(F.lit("No more than "), q, F.lit(" boxes are missing."))).when(k == 3, F.concat(F.lit("Costs rose by "), q, F.lit(" percent."))).when(k == 4, F.concat(F.lit("The fee is $"), q, F.lit(",000."))).otherwise(F.concat(F.lit("The fee is "), q, F.lit(" million dollars.")))
     notes = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("text"))
-    return qt.quantities(notes).select(F.col("document_id").alias("id"), "value", F.col("value_low").alias("low"), F.col("value_high").alias("high"), "unit", "marker")
+    return qt.quantities(notes, columns=("value", "value_low", "value_high", "unit", "marker")).select(F.col("document_id").alias("id"), "value", F.col("value_low").alias("low"), F.col("value_high").alias("high"), "unit", "marker")
 
 
 @query("unit_conversion", "SELECT l_orderkey * 10 + l_linenumber AS id, round(CASE l_orderkey % 4 WHEN 0 THEN l_quantity * 1609.344::DOUBLE WHEN 1 THEN (l_quantity - 32) * 5::DOUBLE / 9 + 273.15::DOUBLE WHEN 2 THEN l_quantity * 1024 ELSE l_quantity END, 6) AS canonical_value, CASE l_orderkey % 4 WHEN 0 THEN 'meter' WHEN 1 THEN 'kelvin' WHEN 2 THEN 'byte' ELSE 'widgets' END AS base_unit FROM lineitem")
@@ -147,7 +147,7 @@ def claim_severity(spark, sf):
 
 @query("document_quantities")
 def document_quantities(spark, sf):
-    return qt.quantities(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id").drop("subject_key")
+    return qt.quantities(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", columns=tuple(c.split()[0] for c in qt.QUANTITY_SCHEMA.split(", ")))
 
 
 @query("document_dates", "SELECT doc_id AS document_id, CAST(DATE '2001-01-01' + CAST(doc_id % 8000 AS INT) AS VARCHAR) AS start_date, 'day' AS precision FROM documents")

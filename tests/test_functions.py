@@ -382,6 +382,18 @@ def test_audio(spark):
     assert rate == 8000 and np.allclose(x, [0, 1, -1], atol=1e-4)
 
 
+def test_quantities_are_scanned_where_they_may_stand(spark, monkeypatch):
+    monkeypatch.setattr(qt, "SHORT", -1)
+    for t in ("Someone often listened.", "No. 3.5 or .5, 1,234 and e3; sixteen TENs f\u0131ve seventy-one 7one", "\u0663 x.9 Ninety", ""):
+        assert [m.span() for m in qt.numbers_of(t)] == [m.span() for m in qt.NUMBER.finditer(t)]
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(k, t) for k in range(40) for t in ("The crate weighs 5 kg and cost $7.", "No figures here.", None)], "id long, text string").coalesce(1)
+    whole = qt.quantities(docs).select("document_id", "value", "unit").collect()
+    got = qt.quantities(docs, columns=("value", "unit"))
+    assert got.columns == ["document_id", "value", "unit"] and got.collect() == whole
+    assert whole == [(k, v, u) for k in range(40) for v, u in ((5.0, "kilogram"), (7.0, "usd"))]
+
+
 def test_lifted_sentences_need_no_alignment(monkeypatch):
     text = "The old harbour wall was mended by hand. Gulls came back. The old harbour wall was painted twice. The old harbour wall was mended by hand. " * 9 + "Nobody saw the ferry leave at dawn."
     got = pv.align_summary(text, text)
