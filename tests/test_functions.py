@@ -394,6 +394,24 @@ def test_quantities_are_scanned_where_they_may_stand(spark, monkeypatch):
     assert whole == [(k, v, u) for k in range(40) for v, u in ((5.0, "kilogram"), (7.0, "usd"))]
 
 
+def test_pieces_are_of_bounded_size(spark, monkeypatch):
+    from corpusloom.plans import relations
+
+    monkeypatch.setattr(relations, "PIECE", 1000)
+    assert relations.pieces(spark.range(1000).coalesce(1)).rdd.getNumPartitions() == 8
+    assert relations.pieces(spark.range(10)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_tfidf_weights():
+    x, names = tx.tfidf(["Red foxes chase red hens.", "Hens sleep.", ""])
+    assert names == ["chase", "foxes", "hens", "red", "sleep"]
+    rare, held = np.log(4 / 2) + 1, np.log(4 / 3) + 1
+    want = np.array([[rare, rare, held, 2 * rare, 0], [0, 0, held, 0, rare], [0] * 5])
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(x, np.divide(want, norm, out=np.zeros_like(want), where=norm > 0))
+    assert tx.tfidf(["red red hens", "hens"], grams=2, most=2)[1] == ["hens", "red"]
+
+
 def test_lifted_sentences_need_no_alignment(monkeypatch):
     text = "The old harbour wall was mended by hand. Gulls came back. The old harbour wall was painted twice. The old harbour wall was mended by hand. " * 9 + "Nobody saw the ferry leave at dawn."
     got = pv.align_summary(text, text)
