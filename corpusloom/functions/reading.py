@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -166,25 +167,57 @@ def adapt_wpm(wpm: Column, comprehension: Column, floor: int = WPM_FLOOR, ceilin
     return {"new_wpm": new, "change": new - current.cast("int")}
 
 
+def slopes(sessions: DataFrame, by: str) -> DataFrame:
+    """Slope of ``effective`` by session of each reader (``_reader``, ``slope``): covariance over variance by running means, in the order of
+    the sessions, the covariance's products added unrounded. The SQL's engine works so (DuckDB's ``regr_slope``), and where the slope is
+    exactly 2 the last digit decides the trend. A reader's sessions stream through their sorted partition."""
+    keys = [F.asc_nulls_last("day"), F.col("id")]
+    scored = sessions.where("effective IS NOT NULL").select(by, "day", "id", "effective")
+    scored = scored.withColumn("x", F.count("*").over(Window.partitionBy(by).orderBy(*keys)))
+    src = bounded(scored.sortWithinPartitions(by, *keys).select(F.col(by).alias("_reader"), F.col("x").cast("double"), F.col("effective").cast("double")))
+    ids = to_arrow_schema(src.select("_reader").schema).field(0)
+    out = pa.schema([ids.with_nullable(True), pa.field("slope", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, reader, mx, my, cov, var = 0, None, 0.0, 0.0, 0.0, 0.0
+        made: list[tuple] = []
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([r for r, _ in made], ids.type), pa.array([v for _, v in made], pa.float64())], schema=out)
+        for b in batches:
+            for r, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n and r != reader:
+                    made.append((reader, cov / n / (var / n) if var else None))
+                    n, mx, my, cov, var = 0, 0.0, 0.0, 0.0, 0.0
+                reader, n = r, n + 1
+                dx, my = x - mx, my + (y - my) / n
+                mx += dx / n
+                cov, var = math.fma(dx, y - my, cov), var + (x - mx) * dx
+            yield packed()
+            made = []
+        if n:
+            made.append((reader, cov / n / (var / n) if var else None))
+            yield packed()
+        hand_back()
+
+    return src.mapInArrow(run, f"_reader {src.schema['_reader'].dataType.simpleString()}, slope double")
+
+
 def fitness(sessions: DataFrame, by: str = "user_id") -> DataFrame:
     """Per reader: totals, means, effective and best sustained speed, streak, and trend of the effective speed by session."""
     s = sessions.where("wpm > 0").withColumns({"score": F.when(F.col("comprehension").isNotNull(), F.least(F.greatest("comprehension", F.lit(0.0)), F.lit(1.0))), "day": F.to_date("created_at")})
     s = s.withColumn("effective", F.when(F.col("score").isNotNull(), F.rint(F.col("wpm") * F.col("score"))))
-    order = Window.partitionBy(by).orderBy(F.asc_nulls_last("day"), "id")
-    s = s.withColumn("x", F.when(F.col("score").isNotNull(), F.sum(F.col("score").isNotNull().cast("int")).over(order)))
     held = (F.col("words_read") >= 200) & (F.col("score") >= 0.70)
-    slope = F.when(F.count("effective") >= 4, F.regr_slope("effective", "x")).otherwise(0.0)
     out = s.groupBy(by).agg(
         F.count("*").alias("session_count"), F.sum("words_read").alias("total_words"), (F.sum("duration_ms") / 60000).alias("total_minutes"), F.rint(F.avg("wpm")).cast("int").alias("average_wpm"),
         F.coalesce(F.avg("score"), F.lit(0.0)).alias("average_comprehension"), F.coalesce(F.rint(F.avg("effective")), F.lit(0)).cast("int").alias("effective_wpm"),
-        F.coalesce(F.rint(F.max(F.when(held, F.col("wpm")))), F.lit(0)).cast("int").alias("best_sustained_wpm"), slope.alias("slope"), F.count("effective").alias("scored"),
+        F.coalesce(F.rint(F.max(F.when(held, F.col("wpm")))), F.lit(0)).cast("int").alias("best_sustained_wpm"), F.count("effective").alias("scored"),
     )
     trend = F.when(F.col("scored") < 4, "too_early").when(F.col("slope") > 2, "improving").when(F.col("slope") < -2, "declining").otherwise("steady")
     days = s.select(by, "day").where("day IS NOT NULL").distinct()
     w = Window.partitionBy(by)
     k = F.row_number().over(w.orderBy(F.desc("day")))
     runs = days.withColumns({"last": F.max("day").over(w), "k": k}).groupBy(by).agg(F.count_if(F.datediff("last", "day") == F.col("k") - 1).alias("streak_days"))
-    return out.withColumn("trend", trend).join(runs, by, "left").withColumn("streak_days", F.coalesce("streak_days", F.lit(0)))
+    out = out.join(runs, by, "left").join(slopes(s, by), F.col(by).eqNullSafe(F.col("_reader")), "left").drop("_reader")
+    return out.withColumn("slope", F.when(F.col("scored") >= 4, F.col("slope")).otherwise(0.0)).withColumns({"trend": trend, "streak_days": F.coalesce("streak_days", F.lit(0))})
 
 
 def sm2(ease: Column, interval: Column, repetitions: Column, quality: Column) -> dict[str, Column]:

@@ -473,3 +473,11 @@ def test_proofs_are_folded_before_rows_move(spark):
     while node.nodeName() != "Window":
         node = node.children().head()
     assert "proof" not in node.children().head().output().mkString(" ")
+
+
+def test_trend_of_a_reader_without_id_and_of_sessions_that_tie(spark):
+    """Sessions of one day and id share their place; readers without an id are one reader."""
+    scores = {None: [(1, 0.1), (2, 0.2), (3, 0.3), (4, 0.4)], 1: [(5, 0.5), (5, 0.3), (5, 0.4), (6, 0.1)], 2: [(1, 0.1), (1, 0.2), (1, 0.3), (1, 0.4)], 3: [(1, 0.5), (2, 0.1), (3, None)]}
+    sessions = spark.createDataFrame([(i, u, 200.0, c, 300, 1000.0, "2024-01-01") for u, v in scores.items() for i, c in v], "id long, user_id long, wpm double, comprehension double, words_read long, duration_ms double, created_at string")
+    got = {r["user_id"]: (r["trend"], r["slope"] and round(r["slope"], 9)) for r in rd.fitness(sessions).collect()}
+    assert got == {None: ("improving", 20.0), 1: ("declining", -60.0), 2: ("steady", None), 3: ("too_early", 0.0)}

@@ -126,3 +126,29 @@ CHECKS = {name.removeprefix("check_"): fn for name, fn in list(globals().items()
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_against_plain_python(spark, name):
     CHECKS[name](spark, registry.QUERIES[name](spark, SF).collect())
+
+
+#: Readers, as the ids of their sessions, whose trend has a slope of exactly 2 or -2 and is steady or not by the last digit of it.
+AT_THE_LIMIT = [
+    [152, 3764, 10827, 18681, 35551, 64153, 82276, 87302], [11143, 13698, 25787, 34775, 40235, 43077, 43301, 56734, 83341], [209514, 222891, 254153, 268951, 283959, 294620],
+    [304835, 320410, 325198, 347143, 355879, 366092, 370320], [310673, 328670, 328852, 333493, 345722, 386350], [300847, 333642, 365303, 366234, 380241], [443448, 460913, 473863, 478119, 481794, 490866],
+    [421974, 425635, 461286, 475370, 481985, 484582, 495957], [406706, 410948, 443358, 459255, 465219, 467634, 480997, 498014], [3118829, 3122623, 3130106, 3151281], [3818829, 3822623, 3830106, 3851281],
+]
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_trends_at_the_limit_are_those_of_the_sql(spark, tmp_path, batch):
+    sessions = [(i, pd.Timestamp("2024-01-01"), user) for user, ids in enumerate(AT_THE_LIMIT) for i in ids]
+    pd.DataFrame(sessions, columns=["event_id", "ts", "user_id"]).astype({"ts": "datetime64[us]"}).to_parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect(config={"threads": 1})
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        got = registry.QUERIES["reading_fitness"](spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.set(key, before)
+    want = c.sql(registry.ORACLE_SQL["reading_fitness"]).df()
+    assert set(want["trend"]) == {"improving", "declining", "steady"}
+    assert rows(got) == rows(want)
